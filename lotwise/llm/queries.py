@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import common as C
 from lotwise.llm.decontaminate import decontaminate
 from lotwise.llm.quality_rules import QualityParams, quality_rules
+from lotwise.llm.substring_dedup import substring_dedup
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,67 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(C.read(spark, sf_dir, "documents"), texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5(text) AS body,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+l AS (SELECT doc_id, source, body, unnest(ls) AS line FROM d),
+ln AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
+hosts AS (SELECT source, count(DISTINCT body) AS n_host FROM d GROUP BY source),
+freq AS (SELECT ln.source, norm FROM ln JOIN hosts ON ln.source IS NOT DISTINCT FROM hosts.source
+         GROUP BY ln.source, norm, n_host HAVING count(DISTINCT body) > 20 AND count(DISTINCT body) > 0.1e0 * n_host),
+boiler AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM ln JOIN freq ON ln.source IS NOT DISTINCT FROM freq.source AND ln.norm = freq.norm GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS win FROM d, unnest(range(1, len(ws) - 3)) AS r(i)),
+rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(5) AS r(j) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(boiler.n, 0) AS BIGINT) AS n_boiler_words
+      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN boiler USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - n_boiler_words >= 0.3e0 * n_words AS kept, n_boiler_words FROM b
+"""
+
+_OP3 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win FROM iw, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS r(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+occ AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM dw, sizes, unnest(range(1, len(ws) - n + 2)) AS r(i)),
+met AS (SELECT doc_id, i, occ.n, item_id FROM occ JOIN win ON occ.win = win.win AND occ.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM met), unnest(range(n)) AS r(j) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+_PASSAGES = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS win FROM w, unnest(range(1, len(ws) - 48)) AS r(i)),
+late AS (SELECT doc_id, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY win)),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM late, range(50) AS r(j)),
+words AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) AS r(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _OP2,
+    "op3_decontaminate": _OP3,
+    "op5_substring_dedup": _PASSAGES,
+}
