@@ -9,6 +9,12 @@ from lotwise.llm import common as C
 from lotwise.llm.decontaminate import decontaminate
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
+from lotwise.llm.suffix_dedup import suffix_dedup
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(C.read(spark, sf_dir, "documents"), texts=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +33,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
@@ -81,6 +88,7 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": _PASSAGES,
     "op2_quality_rules": _OP2,
     "op3_decontaminate": _OP3,
     "op5_substring_dedup": _PASSAGES,

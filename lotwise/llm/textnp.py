@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,7 +129,7 @@ def covered(at: np.ndarray, total: int, width: int) -> np.ndarray:
 
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, so that the arrays over it stay small; a longer text is a slice of its own."""
-    sizes = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))])
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
