@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import common as C
+from lotwise.llm import token_files
 from lotwise.llm.decontaminate import decontaminate
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
@@ -32,11 +35,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{C.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(C.read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_index(spark, path)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_files": op6_token_files,
 }
 
 _OP2 = r"""
