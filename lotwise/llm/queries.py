@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import common as C
 from lotwise.llm import token_files
 from lotwise.llm.decontaminate import decontaminate
+from lotwise.llm.near_dedup import NearParams, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
 from lotwise.llm.suffix_dedup import suffix_dedup
@@ -43,12 +44,17 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(C.read(spark, sf_dir, "documents"), NearParams(k=3, percent=85)).drop("body")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 _OP2 = r"""
@@ -99,9 +105,23 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + least(len(ws), 3) - 1], ' '), least(len(ws), 3)) AS s FROM d, unnest(range(1, len(ws) - least(len(ws), 3) + 2)) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS hits FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * hits >= 85 * (na.n + nb.n - hits)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS node, b AS other FROM s UNION SELECT reach.node, s.b FROM reach JOIN s ON reach.other = s.a),
+c AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(doc_id, coalesce(low, doc_id)) AS BIGINT) AS component_id, doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _PASSAGES,
     "op2_quality_rules": _OP2,
     "op3_decontaminate": _OP3,
     "op5_substring_dedup": _PASSAGES,
+    "op9_near_dedup": _OP9,
 }
