@@ -14,6 +14,7 @@ from lotwise.llm.near_dedup import NearParams, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
 from lotwise.llm.suffix_dedup import suffix_dedup
+from lotwise.llm.toxicity import toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(C.read(spark, sf_dir, "documents"), NearParams(k=3, percent=85)).drop("body")
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
     "op9_near_dedup": op9_near_dedup,
 }
 
