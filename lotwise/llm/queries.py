@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from lotwise.llm import common as C
 from lotwise.llm import token_files
 from lotwise.llm.decontaminate import decontaminate
+from lotwise.llm.mixing import mix
 from lotwise.llm.near_dedup import NearParams, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
 from lotwise.llm.suffix_dedup import suffix_dedup
 from lotwise.llm.toxicity import toxicity
+from lotwise.llm.url_filter import url_filter
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +51,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(C.read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(C.read(spark, sf_dir, "documents"), NearParams(k=3, percent=85)).drop("body")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(C.read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -60,7 +71,9 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
+    "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 _OP2 = r"""
