@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import common as C
 from lotwise.llm import token_files
 from lotwise.llm.decontaminate import decontaminate
+from lotwise.llm.license_scan import license_scan
 from lotwise.llm.mixing import mix
 from lotwise.llm.near_dedup import NearParams, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
@@ -34,6 +35,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(C.read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(C.read(spark, sf_dir, "documents"), texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op4_license_scan": op4_license_scan,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
