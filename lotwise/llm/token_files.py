@@ -12,6 +12,7 @@ are the writer's line separator.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -31,41 +32,68 @@ from lotwise.llm import common as C
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 HEAD, ENTRY, FRAME = struct.Struct("<4sIIIIB"), struct.Struct("<qqIII"), struct.Struct("<III")
 MAGIC, HAS_CHECKSUMS = b"LWT1", 0x80
-_MEMO_MOST = 1_500_000
-_memo: dict[str, bytes] = {}
+#: Letters that the byte-level pattern below knows as such, of those up to U+00FF.
+_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Cuts a text only where a byte-level pre-tokenizer cuts it too; a piece may still hold several of its tokens' words.
+_PIECE = re.compile(
+    rf" ?[{_LETTER}]+| ?[^ \n{_LETTER}]+(?:(?<=')[{_LETTER}]+)?|\n(?![ \n])|[ \n]{{2,}}(?:[{_LETTER}]+|[^ \n{_LETTER}]+(?:(?<=')[{_LETTER}]+)?)?| "
+)
+_WORD = re.compile(rf" ?[{_LETTER}]+")
+#: Texts with other white space, other scripts or a special token's opening are encoded whole.
+_OTHER = re.compile(r"[^\S \n]|[^\x00-\xff]|<\|")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Ids of pieces, as little-endian unsigned 32-bit numbers; a new piece is encoded when it is first asked for."""
+
+    MOST = 1_500_000
+
+    def __init__(self, tokenizer):
+        self.encode, self.model, self.letters = tokenizer.encode, tokenizer.model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if _WORD.fullmatch(piece):  # one word for the model, which needs no further cutting
+            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.encode(piece, add_special_tokens=False).ids
+        self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
 
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    """The tokenizer of a file, and its memo of pieces if it is of the plain byte-level kind."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
-
-
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD_SPACE = re.compile(r"[^\S \n]|<\|")
+    tokenizer = Tokenizer.from_file(path)
+    how = json.loads(tokenizer.to_str())
+    before = how["pre_tokenizer"] or {}
+    plain = how["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and how["model"]["type"] == "BPE" and not how["model"].get("dropout")
+    return tokenizer, _Pieces(tokenizer) if plain else None
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, as little-endian unsigned 32-bit numbers.
-
-    A byte-level vocabulary never joins a space or line break with a visible character before it, so texts are cut there and each distinct
-    piece is encoded once per worker. Texts with other white space or a special token's opening are encoded whole.
-    """
-    tokenizer = _tokenizer(path)
-    if len(_memo) > _MEMO_MOST:
-        _memo.clear()
-    out: list[bytes | None] = [None] * len(texts)
-    cut = {i: _PIECE.findall(t) for i, t in enumerate(texts) if not _ODD_SPACE.search(t)}
-    new = list(set().union(*cut.values()).difference(_memo))
-    for piece, got in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-        _memo[piece] = np.array(got.ids, "<u4").tobytes()
-    rest = [i for i in range(len(texts)) if i not in cut]
-    for i, got in zip(rest, tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-        out[i] = np.array(got.ids, "<u4").tobytes()
-    for i, pieces in cut.items():
-        out[i] = b"".join(map(_memo.__getitem__, pieces))
-    return out  # type: ignore[return-value]
+    """Ids of each text, as little-endian unsigned 32-bit numbers. With a byte-level vocabulary each distinct piece of the texts is encoded once per worker."""
+    tokenizer, pieces = _tokenizer(path)
+    if pieces is None:
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    if len(pieces) > pieces.MOST:
+        pieces.clear()
+    out = []
+    for text in texts:
+        if _OTHER.search(text):
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        else:
+            out.append(b"".join(map(pieces.__getitem__, _PIECE.findall(text))))
+    return out
 
 
 def pack(documents: list[tuple[int, bytes]], part: int, seq: int, frame_bytes: int, level: int = 3) -> bytes:
