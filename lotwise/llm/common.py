@@ -29,10 +29,14 @@ def words(text: Column, pattern: str = WORD) -> Column:
 
 def grams(tokens: Column, k: int) -> Column:
     """64-bit hashes of all runs of ``k`` consecutive tokens, in order; empty when there are fewer."""
-    return F.when(
-        F.size(tokens) >= k,
-        F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    hashed = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(k)]))
+    return let(tokens, lambda t: F.when(F.size(t) >= k, hashed(t)).otherwise(F.array().cast("array<bigint>")))
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns that are computed once per row: neither filters nor other columns over them repeat their expressions below."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_row")
+    return df.select("*", row).select(*[F.col(c) for c in df.columns], "_row.*")
 
 
 def covered(starts: Column, width: int) -> Column:

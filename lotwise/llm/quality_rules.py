@@ -88,14 +88,14 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), host
     if C.small(found, params.most_broadcast):
         by_host = F.broadcast(by_host)
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boiler_words", "base_failed", "kept", "clean_text"]
-    own = docs.drop(*made, "_boiler")
+    own = docs.drop(*made, "_boiler", "_words", "_lines", "_host")
     joined = own.join(by_host.withColumnRenamed("host", "_host"), own[host].eqNullSafe(F.col("_host")), "left").drop("_host")
     tokens, lines = F.col("_words"), F.col("_lines")
     boiler = lambda x: F.array_contains(F.col("_boiler"), _line_hash(x))
     has = F.size(F.coalesce(F.col("_boiler"), F.array().cast("array<bigint>"))) > 0
     judged = (
-        joined.withColumns({"_words": C.words(F.col("text")), "_lines": _lines(F.col("text"))})
-        .withColumns(
+        C.computed(
+            C.computed(joined, {"_words": C.words(F.col("text")), "_lines": _lines(F.col("text"))}),
             {
                 "n_words": F.size(tokens).cast("bigint"),
                 "word_chars": F.length(F.array_join(tokens, "")).cast("bigint"),
@@ -104,7 +104,7 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams(), host
                 "n_repeat_words": _repeat_words(tokens, params.window),
                 "n_boiler_words": F.when(has, F.aggregate(F.filter(lines, boiler), F.lit(0).cast("bigint"), lambda a, x: a + F.size(C.words(x)))).otherwise(F.lit(0).cast("bigint")),
                 "clean_text": F.when(has, F.array_join(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: ~(x.rlike(C.WORD) & boiler(x))), "\n")).otherwise(F.coalesce(F.col("text"), F.lit(""))),
-            }
+            },
         )
         .withColumn("base_failed", (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.repeat_percent * F.col("n_words")))
     )
