@@ -101,7 +101,7 @@ def warnings(rolled: DataFrame, synthetic: bool = False) -> DataFrame:
 
 
 def worst_first(rolled: DataFrame, limit: int | None = None) -> DataFrame:
-    """Parcels by class, then score, then id; with a limit only damaged ones, at most so many."""
+    """Parcels by class, then score to six places, then id; with a limit only damaged ones, at most so many."""
     ordered = rolled if limit is None else rolled.where(F.col("worst_class") != "none")
-    ordered = ordered.orderBy(F.col("worst_rank").desc(), F.coalesce("parcel_score", F.lit(0.0)).desc(), "id")
+    ordered = ordered.orderBy(F.col("worst_rank").desc(), F.bround(F.coalesce("parcel_score", F.lit(0.0)), 6).desc(), "id")
     return ordered if limit is None else ordered.limit(limit)

@@ -562,7 +562,7 @@ def summary(spark, d):
     return rounded(_assessed(spark, d).summary, 0)
 
 
-@query("worst_first_top60", f"WITH {_ROLLUP} SELECT id, worst_class, round_even(parcel_score, 3) AS score FROM rolled WHERE worst_class <> 'none' ORDER BY CASE worst_class {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {i}' for i, c in enumerate(CLASSES))} END DESC, coalesce(parcel_score, 0) DESC, id LIMIT 60", ("parcels", "pixels"))
+@query("worst_first_top60", f"WITH {_ROLLUP} SELECT id, worst_class, round_even(parcel_score, 3) AS score FROM rolled WHERE worst_class <> 'none' ORDER BY CASE worst_class {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {i}' for i, c in enumerate(CLASSES))} END DESC, round_even(coalesce(parcel_score, 0), 6) DESC, id LIMIT 60", ("parcels", "pixels"))
 def worst_first_top60(spark, d):
     return rollup.worst_first(_assessed(spark, d).parcels, 60).select("id", "worst_class", F.bround("parcel_score", 3).alias("score"))
 
@@ -646,11 +646,11 @@ def scene_either_side(spark, d):
 
 @query(
     "demo_calendar",
-    """SELECT day, concat('demo-', strftime(day, '%Y-%m-%d')) AS id, day > DATE '2024-03-03' AS after_event FROM (SELECT CAST(DATE '2020-01-01' + INTERVAL 1 DAY * (12 * k) AS DATE) AS day FROM range(1000) AS t(k)
+    """SELECT strftime(day, '%Y-%m-%d') AS day, concat('demo-', strftime(day, '%Y-%m-%d')) AS id, day > DATE '2024-03-03' AS after_event FROM (SELECT CAST(DATE '2020-01-01' + INTERVAL 1 DAY * (12 * k) AS DATE) AS day FROM range(1000) AS t(k)
     UNION SELECT DATE '2024-02-26' UNION SELECT DATE '2024-03-07') WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-06-30'""",
 )
 def demo_calendar(spark, d):
-    return scenes.calendar(spark, "2024-01-01", "2024-06-30", "2024-03-03")
+    return scenes.calendar(spark, "2024-01-01", "2024-06-30", "2024-03-03").withColumn("day", scenes.date(F.col("day")))
 
 
 @query(
@@ -666,10 +666,10 @@ def simulated_truth(spark, d):
     return V.parcels(spark, d).select("id", simulate.damage(F.concat(F.lit("p"), F.col("id").cast("string")), "storm", level, 0.9).alias("state"))
 
 
-@query("phenology", "SELECT DISTINCT CAST(ts AS DATE) AS day, round_even(0.55e0 + 0.45e0 * (0.5e0 - 0.5e0 * cos(2e0 * 3.141592653589793e0 * (dayofyear(ts) - 20) / 365.25e0)), 9) AS greenness FROM events")
+@query("phenology", "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, round_even(0.55e0 + 0.45e0 * (0.5e0 - 0.5e0 * cos(2e0 * 3.141592653589793e0 * (dayofyear(ts) - 20) / 365.25e0)), 9) AS greenness FROM events")
 def phenology(spark, d):
     day = V.table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
-    return rounded(day.select("day", simulate.phenology(F.col("day")).alias("greenness")), 9)
+    return rounded(day.select(scenes.date(F.col("day")).alias("day"), simulate.phenology(F.col("day")).alias("greenness")), 9)
 
 
 @query("world_noise")
