@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def arrivals(spark: SparkSession, folder: str, schema, late: str = "2 days") -> DataFrame:
     """Scenes from Parquet files as they arrive, each id once within the time that an event may be late."""
-    stream = spark.readStream.schema(schema).parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder).withColumn("datetime", F.col("datetime").cast("timestamp"))
     return stream.withWatermark("datetime", late).dropDuplicatesWithinWatermark(["id"])
 
 
