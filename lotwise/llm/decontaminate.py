@@ -84,10 +84,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_body"))
     hit_docs = docs.select("doc_id", "text").join(touched, same, "left_semi").dropDuplicates(["doc_id", "text"])
     hit_docs = hit_docs.select("doc_id", F.xxhash64("text").alias("body"), item_words(F.col("text")).alias("_words"))
-    places = F.concat(
-        F.transform(C.grams(tokens, k), lambda h, i: F.struct(h.alias("fp"), i.alias("at"), F.lit(width).alias("m"))),
-        *[F.transform(_short(tokens, m), lambda h, i, m=m: F.struct(h.alias("fp"), i.alias("at"), F.lit(m).alias("m"))) for m in shorts],
-    )
+    placed = lambda hashes, m: F.transform(hashes, lambda h, i: F.struct(h.alias("fp"), i.alias("at"), F.lit(m).alias("m")))
+    places = F.concat(placed(C.grams(tokens, k), width), *[placed(_short(tokens, m), m) for m in shorts])
     laid = hit_docs.withColumn("_n", F.size(tokens)).withColumn("_p", F.explode(places)).select("doc_id", "body", "_words", "_p.*")
     met = laid.join(near(windows.withColumnRenamed("words", "_item")), ["fp"]).where(F.col("n") == F.col("m"))
     start = F.col("at") - F.col("off")
