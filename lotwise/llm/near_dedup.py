@@ -32,9 +32,9 @@ class NearParams:
 
     k: int = 5
     percent: int = 80
-    bands: int = 32
-    rows: int = 5
-    base: float = 1.02
+    bands: int = 40
+    rows: int = 6
+    base: float = 1.1
     slack: float = 5.0
     most_broadcast: int = 2_000_000
 
@@ -62,7 +62,7 @@ def _sets(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(grams: np.ndarray, bounds: np.ndarray, params: NearParams) -> np.ndarray:
-    """Registers (uint16) of every non-empty set, one row each."""
+    """Registers (uint8) of every non-empty set, one row each."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     low = np.empty((params.registers, len(starts)), np.uint32)
     short = (grams >> np.uint64(32)).astype(np.uint32)
@@ -70,7 +70,7 @@ def _sketches(grams: np.ndarray, bounds: np.ndarray, params: NearParams) -> np.n
     for j, factor in enumerate(factors):
         low[j] = np.minimum.reduceat(short * factor, starts)
     variate = -np.log1p(-(low.T + 0.5) / 2**32)
-    return np.clip(np.floor(1 - np.log(variate) / np.log(params.base)) + 256, 0, 65535).astype("<u2")
+    return np.clip(np.floor(1 - np.log(variate) / np.log(params.base)) + 24, 0, 255).astype(np.uint8)
 
 
 def sketched(docs: DataFrame, params: NearParams) -> DataFrame:
@@ -100,7 +100,7 @@ def _bucketed(classes: DataFrame, params: NearParams) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, params.bands, params.rows).astype(np.uint64)
+                regs = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, params.bands, params.rows).astype(np.uint64)
                 mixed = np.zeros(regs.shape[:2], np.uint64) + np.arange(params.bands, dtype=np.uint64)
                 for j in range(params.rows):
                     mixed = T.mix(mixed * np.uint64(T._ODD[0]) + regs[:, :, j])
@@ -130,7 +130,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, params: NearParams) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(part.num_rows, -1) for c in ("sa", "sb"))
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sa", "sb"))
                 n_a, n_b = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
                 yes = likelihood(a, b, n_a, n_b, params.base) >= least
                 yield part.select(["a", "b"]).filter(pa.array(yes))
@@ -171,13 +171,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: NearParams) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
+#: Ratio of the set sizes in one size class.
+_CLASS = 1.02
+
+
 def _rare_pairs(sets: DataFrame, labels: DataFrame, params: NearParams) -> DataFrame:
     """Pairs of classes with different labels that share one of their rarest shingles.
 
-    Linked sets share at least ``percent`` of the larger one, so with all sets in one order of shingles they share one of the first
-    ``n - ceil(n * percent / 100) + 1``. Rarest first, what a whole group of copies has in common comes last. In each shingle's group the most common label is only ever
-    on one side, so a large connected group is not paired with itself.
+    With all sets in one order of shingles, linked sets of x and y shingles, which share at least o = t / (1 + t) * (x + y), share one that is among the first
+    x - o + 1 and y - o + 1. Rarest first, what a whole group of copies has in common comes last and is seldom among them. The smaller set of a pair is found under
+    its size class; the larger one looks into all classes that its partner may have, into each only as deep as that class needs. In each group of a shingle and a class
+    the most common label is only ever on one side, so that a large connected group is not paired with itself.
     """
+    t = params.percent / 100
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +196,26 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, params: NearParams) -> DataF
     held = sets.join(labels, "key").mapInArrow(emit, "s long, key long, label long, n long")
     seen = held.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "s"))
-    first = held.join(seen, "s").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * params.percent / 100) + 1) & (F.col("df") > 1))
-    first = C.cut(first.select("s", "key", "label", "n"))
-    sizes = first.groupBy("s", "label").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    marked = first.join(sizes, "s")
-    left = marked.where("label <> main").select("s", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    right = marked.select("s", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    close = 100 * F.least("na", "nb") >= params.percent * F.greatest("na", "nb")
-    return left.join(right, "s").where((F.col("la") != F.col("lb")) & close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    n = F.col("n")
+    first = held.join(seen, "s").withColumn("r", rank).where((F.col("r") <= n - F.ceil(n * t - 1e-9) + 1) & (F.col("df") > 1))
+    first = C.cut(first.select("s", "key", "label", "n", "r"))
+    # only shingles that several components have among their first can bring them together
+    mixed = first.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("s")
+    first = C.cut(first.join(mixed, "s", "left_semi"))
+    size_class = lambda x: F.floor(F.log(x) / float(np.log(_CLASS)))
+    least = lambda x, y: F.ceil((x + y) * (t / (1 + t)) - 1e-9)
+    index = first.where(F.col("r") <= n - least(n, n) + 1).select("s", size_class(n).alias("c"), "key", "label", "n", "r")
+    low = F.greatest(size_class(n * t) - 1, F.lit(0))
+    probe = first.withColumn("c", F.explode(F.sequence(low, size_class(n))))
+    smallest = F.greatest(F.ceil(n * t - 1e-9), F.floor(F.pow(F.lit(_CLASS), F.col("c"))))
+    probe = probe.where(F.col("r") <= n - least(n, smallest) + 1)
+    main = index.groupBy("s", "c", "label").agg(F.count("*").alias("k")).groupBy("s", "c").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    x = probe.join(main, ["s", "c"]).select("s", "c", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("r").alias("ra"), "main")
+    y = index.join(main, ["s", "c"]).select("s", "c", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("main").alias("mb"))
+    o = least(F.col("na"), F.col("nb"))
+    fits = (F.col("la") != F.col("lb")) & (F.col("nb") <= F.col("na")) & (F.col("ra") <= F.col("na") - o + 1) & (F.col("rb") <= F.col("nb") - o + 1)
+    both = x.where("la <> main").join(y, ["s", "c"]).where(fits).select("a", "b").union(x.where("la = main").join(y.where("lb <> mb"), ["s", "c"]).where(fits).select("a", "b"))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
