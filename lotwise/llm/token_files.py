@@ -51,14 +51,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces, as little-endian unsigned 32-bit numbers; a new piece is encoded when it is first asked for."""
+    """Ids of pieces, as little-endian unsigned 32-bit numbers; a new piece is encoded when it is first asked for.
 
-    MOST = 1_500_000
+    Bounded, as workers outlive their tasks: when the young pieces are many they become the old ones, and the former old ones that were not asked for again go.
+    """
+
+    MOST = 300_000
 
     def __init__(self, tokenizer):
+        self.old: dict[str, bytes] = {}
         self.encode, self.model, self.letters = tokenizer.encode, tokenizer.model, _byte_letters()
 
+    def age(self) -> None:
+        if len(self) > self.MOST:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, piece: str) -> bytes:
+        if piece in self.old:
+            self[piece] = packed = self.old[piece]
+            return packed
         if _WORD.fullmatch(piece):  # one word for the model, which needs no further cutting
             ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         else:
@@ -84,10 +96,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     tokenizer, pieces = _tokenizer(path)
     if pieces is None:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    if len(pieces) > pieces.MOST:
-        pieces.clear()
     out = []
     for text in texts:
+        pieces.age()
         if _OTHER.search(text):
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             out.append(struct.pack(f"<{len(ids)}I", *ids))
