@@ -351,9 +351,11 @@ def test_urls(spark):
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, odd, rows, tmp_path):
+def test_pipeline(spark, odd, rows, tmp_path, monkeypatch):
     import corpus_pipeline as P
 
+    monkeypatch.setattr(P, "mix", lambda docs: mix(docs, MixParams(most_rounds=2)))
+
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     leak = " ".join(dict((i, t) for i, t, _ in rows)[21].split()[-15:])
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
