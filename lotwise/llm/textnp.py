@@ -30,12 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a multiplier and of its inverse. Kept for the next call up to a size that idle workers can hold."""
     if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 20)
+        size = 1 << max(16, (n - 1).bit_length())
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
         np.multiply.accumulate(down, out=down)
+        if size > 1 << 21:
+            return up[:n], down[:n]
         _POWERS[base] = up, down
     up, down = _POWERS[base]
     return up[:n], down[:n]
@@ -127,7 +130,7 @@ def covered(at: np.ndarray, total: int, width: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, so that the arrays over it stay small; a longer text is a slice of its own."""
     sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))])
     at = 0
