@@ -56,7 +56,7 @@ class _Pieces(dict):
     Bounded, as workers outlive their tasks: when the young pieces are many they become the old ones, and the former old ones that were not asked for again go.
     """
 
-    MOST = 300_000
+    MOST = 450_000
 
     def __init__(self, tokenizer):
         self.old: dict[str, bytes] = {}
@@ -72,7 +72,11 @@ class _Pieces(dict):
             self[piece] = packed = self.old[piece]
             return packed
         if _WORD.fullmatch(piece):  # one word for the model, which needs no further cutting
-            ids = [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            if piece.isascii():
+                letters = "\u0120" + piece[1:] if piece[0] == " " else piece  # the space's stand-in
+            else:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.model.tokenize(letters)]
         else:
             ids = self.encode(piece, add_special_tokens=False).ids
         self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
@@ -107,7 +111,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def pack(documents: list[tuple[int, bytes]], part: int, seq: int, frame_bytes: int, level: int = 3) -> bytes:
+def pack(documents: list[tuple[int, bytes]], part: int, seq: int, frame_bytes: int, level: int = 1) -> bytes:
     """A shard of (doc_id, ids as bytes), without the seek table's last four bytes."""
     packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
     frames, table, index = [], [], []
