@@ -2,15 +2,17 @@
 
 Documents are summed to cells (source, language, topic) of tokens. Each step scales the cells' weights so that one dimension's totals meet its
 targets, by sums over the cells and a join of the few totals back to them; the steps repeat until all dimensions fit. A document's
-sampling probability is its cell's factor times a common scale, at most 1, the scale being set so that the expected tokens are ``keep_share`` of
-all. Only DataFrame operations; what the driver sees are single numbers.
+sampling probability is its cell's factor times a common scale. The expected tokens are ``keep_share`` of all, or less where a cell would have to give more
+than its tokens: the targets come first, no probability is cut off at 1. The driver sees the cells if they are few enough to be broadcast, else single numbers.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,14 @@ DIMENSIONS = ("source", "lang", "topic")
 
 @dataclass(frozen=True)
 class MixParams:
-    """temper: targets are the present shares to this power where none are given. tolerance: the largest relative misfit left."""
+    """temper: targets are the present shares to this power where none are given. keep_share: of the tokens, the most that is kept. tolerance: the largest
+    relative misfit left; more is warned of. bounded_rounds: the most rounds with bounded weights, see probabilities."""
 
     temper: float = 0.7
     keep_share: float = 0.75
     tolerance: float = 1e-4
     most_rounds: int = 30
+    bounded_rounds: int = 10
     seed: int = 17
     most_broadcast: int = 200_000
 
@@ -51,38 +55,112 @@ def tempered_targets(cells: DataFrame, dimension: str, temper: float) -> DataFra
     return share.crossJoin(F.broadcast(share.agg(F.sum("p").alias("all")))).select(dimension, (F.col("p") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], params: MixParams) -> DataFrame:
-    """(dimensions, tokens, weight): cells with weights whose totals over each dimension are its targets times the sum of all tokens."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goals = {d: C.cut(t.select(F.col(d), (F.col("target") * float(total)).alias("goal"))) for d, t in targets.items()}
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(params.most_rounds if total else 0):
-        for d, goal in goals.items():
-            factor = now.groupBy(d).agg(F.sum("weight").alias("has")).join(goal, d).select(d, (F.col("goal") / F.col("has")).alias("by"))
+def goals_of(cells: DataFrame, targets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """By dimension (dimension, goal): the targets times the sum of all tokens."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    return {d: C.cut(t.select(F.col(d), (F.col("target") * total).alias("goal"))) for d, t in targets.items()}
+
+
+class FrameCells:
+    """Raking of any number of cells by DataFrame operations. A weighting is a frame (dimensions, tokens, weight)."""
+
+    def __init__(self, cells: DataFrame, goals: dict[str, DataFrame]):
+        self.cells, self.goals = cells, goals
+        self.tokens = cells.withColumn("weight", F.col("tokens").cast("double"))
+
+    def _round(self, now: DataFrame) -> DataFrame:
+        """One step for each dimension: its totals are brought to its goals."""
+        for d, goal in self.goals.items():
+            by = F.coalesce(F.col("goal") / F.nullif(F.col("has"), F.lit(0.0)), F.lit(0.0))
+            factor = now.groupBy(d).agg(F.sum("weight").alias("has")).join(goal, d).select(d, by.alias("by"))
             now = now.join(factor, d).withColumn("weight", F.col("weight") * F.col("by")).drop("by")
-        now = C.cut(now)
-        by = [now.groupBy(d).agg(F.sum("weight").alias("has")).join(goal, d).select(F.abs(F.col("goal") / F.col("has") - 1).alias("off")) for d, goal in goals.items()]
-        if (reduce(DataFrame.union, by).agg(F.max("off")).first()[0] or 0.0) <= params.tolerance:
-            break
-    return now
-
-
-def probabilities(weighted: DataFrame, params: MixParams) -> DataFrame:
-    """The cells with ``probability``: factor (weight / tokens) times the scale at which the expected tokens are the wanted share, at most 1."""
-    some = weighted.where("tokens > 0").withColumn("factor", F.col("weight") / F.col("tokens"))
-    wanted = params.keep_share * float(some.agg(F.sum("tokens")).first()[0] or 0)
-    scale = params.keep_share
-    for _ in range(50):
-        full = F.col("factor") * F.lit(scale) >= 1
-        row = some.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("sure"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
-        if not row["open"]:
-            break
-        new = (wanted - row["sure"]) / row["open"]
-        if abs(new - scale) <= 1e-9 * max(scale, 1e-9):
-            break
-        scale = new
-    factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
-    return weighted.withColumn("probability", F.least(F.lit(1.0), factor * F.lit(scale)))
+        return now
+
+    def _misfit(self, now: DataFrame) -> float:
+        off = F.abs(F.coalesce("has", F.lit(0.0)) / F.col("goal") - 1)
+        by = [goal.where("goal > 0").join(now.groupBy(d).agg(F.sum("weight").alias("has")), d, "left").select(off.alias("off")) for d, goal in self.goals.items()]
+        return reduce(DataFrame.union, by).agg(F.max("off")).first()[0] or 0.0
+
+    def rake(self, now: DataFrame, rounds: int, tolerance: float, scale: float | None = None) -> tuple[DataFrame, float]:
+        """Weights whose totals over each dimension are its goals, and the largest relative misfit that is left (a goal of 0 does not count). With a ``scale``, each
+        round ends with cutting every cell's weight to its tokens / scale."""
+        off = 0.0
+        for _ in range(rounds):
+            now = self._round(now)
+            now = C.cut(now if scale is None else now.withColumn("weight", F.least("weight", F.col("tokens") / F.lit(scale))))
+            off = self._misfit(now)
+            if off <= tolerance:
+                break
+        return now, off
+
+    def room(self, now: DataFrame) -> float:
+        """The largest scale at which no cell gives more than its tokens."""
+        return 1 / (now.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 1.0)
+
+    def most(self) -> float:
+        """The largest scale at which no single value has to give more than its tokens."""
+        has = [self.cells.groupBy(d).agg(F.sum("tokens").alias("t")).join(goal.where("goal > 0"), d).select((F.col("t") / F.col("goal")).alias("r")) for d, goal in self.goals.items()]
+        return reduce(DataFrame.union, has).agg(F.min("r")).first()[0] or 1.0
+
+    def chances(self, now: DataFrame, scale: float) -> DataFrame:
+        return now.withColumn("probability", F.least(F.lit(1.0), F.col("weight") / F.col("tokens") * F.lit(scale))).select(*DIMENSIONS, "probability")
+
+
+class ArrayCells:
+    """The same on arrays, for so few cells that they may be broadcast: a round costs no Spark job."""
+
+    def __init__(self, cells: DataFrame, goals: dict[str, DataFrame]):
+        self.spark, self.rows = cells.sparkSession, cells.collect()
+        self.tokens = np.array([r["tokens"] for r in self.rows], float)
+        self.at, self.goals = {}, {}
+        for d, frame in goals.items():
+            goal = {r[d]: r["goal"] for r in frame.collect()}
+            place = {v: i for i, v in enumerate(dict.fromkeys([*goal, *(r[d] for r in self.rows)]))}
+            self.at[d] = np.array([place[r[d]] for r in self.rows], int)
+            self.goals[d] = np.array([goal.get(v, 0.0) for v in place])
+
+    def _totals(self, d: str, now: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at[d], now, len(self.goals[d]))
+
+    def rake(self, now: np.ndarray, rounds: int, tolerance: float, scale: float | None = None) -> tuple[np.ndarray, float]:
+        off = 0.0
+        for _ in range(rounds):
+            for d, goal in self.goals.items():
+                has = self._totals(d, now)
+                now = now * np.divide(goal, has, out=np.zeros(len(goal)), where=has > 0)[self.at[d]]
+            now = now if scale is None else np.minimum(now, self.tokens / scale)
+            off = max((float(np.abs(self._totals(d, now)[g > 0] / g[g > 0] - 1).max(initial=0.0)) for d, g in self.goals.items()), default=0.0)
+            if off <= tolerance:
+                break
+        return now, off
+
+    def room(self, now: np.ndarray) -> float:
+        return 1 / (float((now / self.tokens).max(initial=0.0)) or 1.0)
+
+    def most(self) -> float:
+        shares = [self._totals(d, self.tokens)[g > 0] / g[g > 0] for d, g in self.goals.items()]
+        return min((float(x[x > 0].min(initial=np.inf)) for x in shares), default=1.0)
+
+    def chances(self, now: np.ndarray, scale: float) -> DataFrame:
+        some = [(*(r[d] for d in DIMENSIONS), float(p)) for r, p in zip(self.rows, np.minimum(1.0, now / self.tokens * scale))]
+        return self.spark.createDataFrame(some, ", ".join(f"{d} string" for d in DIMENSIONS) + ", probability double")
+
+
+def probabilities(cells: FrameCells | ArrayCells, params: MixParams) -> tuple[DataFrame, float]:
+    """(dimensions, probability), and the misfit that is left: the expected tokens of each value of a dimension have the ratios of the goals.
+
+    Plain raking is enough if no cell has to give more than its tokens at ``keep_share``. Otherwise the share that is kept falls, as targets and share cannot both be met: rounds
+    with bounded weights first move the load to cells that have room, then plain rounds from there meet the goals, and the scale follows from the fullest cell.
+    """
+    weights, off = cells.rake(cells.tokens, params.most_rounds, params.tolerance)
+    scale = min(params.keep_share, cells.room(weights))
+    if scale < params.keep_share * (1 - 1e-9):
+        bounded, _ = cells.rake(cells.tokens, min(params.bounded_rounds, params.most_rounds), params.tolerance, min(params.keep_share, cells.most()))
+        moved, moved_off = cells.rake(bounded, params.most_rounds, params.tolerance)
+        moved_scale = min(params.keep_share, cells.room(moved))
+        if moved_off <= max(off, params.tolerance) and moved_scale > scale:
+            weights, off, scale = moved, moved_off, moved_scale
+    return cells.chances(weights, scale), off
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -99,7 +177,12 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), targets: dict[str, Dat
     cells = C.cut(own.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     goals = {d: (targets or {}).get(d) for d in DIMENSIONS}
     goals = {d: t if t is not None else tempered_targets(cells, d, params.temper) for d, t in goals.items()}
-    chances = C.cut(probabilities(rake(cells, goals, params), params).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability"))
+    goals = goals_of(cells, goals)
+    few = all(C.small(x, params.most_broadcast) for x in (cells, *goals.values()))
+    chances, off = probabilities(ArrayCells(cells, goals) if few else FrameCells(cells, goals), params)
+    if off > params.tolerance:
+        warnings.warn(f"mixture: targets missed by up to {off:.2g} of their value after {params.most_rounds} rounds", stacklevel=2)
+    chances = C.cut(chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability"))
     chances = F.broadcast(chances) if C.small(chances, params.most_broadcast) else chances
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(params.seed), "doc_id", "text"), 11) / float(2**53)
     out = own.join(chances, list(keys), "left").drop(*keys)

@@ -300,6 +300,26 @@ def test_mixing_meets_its_targets(spark, odd, rows, none):
     assert mix(none).count() == 0
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_mixing_meets_targets_that_leave_no_room(spark, recwarn, few):
+    rng = random.Random(8)
+    docs = [(k, prose(rng, 10 if k % 40 == 0 else rng.randrange(60, 90)), "big" if k % 9 else f"s{k % 2}") for k in range(720)]
+    out = mix(table(spark, docs), MixParams(most_broadcast=few)).toPandas()
+    weight = out["probability"] * out["n_tokens"]
+    assert out["probability"].max() <= 1 and 0 < weight.sum() < 0.75 * out["n_tokens"].sum()
+    for d in ("source", "topic"):
+        share = out.groupby(d)["n_tokens"].sum() / out["n_tokens"].sum()
+        drawn = weight.groupby(out[d]).sum() / weight.sum()
+        assert (abs(drawn / (share**0.7 / (share**0.7).sum()) - 1) < 1e-3).all()
+    # the share kept is near to the most that the rarest topic allows, not only what the fullest cell of plain raking does
+    share = out.groupby("topic")["n_tokens"].sum() / out["n_tokens"].sum()
+    most = (share / (share**0.7 / (share**0.7).sum())).min()
+    assert weight.sum() / out["n_tokens"].sum() > 0.9 * most
+    recwarn.clear()
+    mix(table(spark, docs), MixParams(most_rounds=1, most_broadcast=few)).count()
+    assert any("targets missed" in str(w.message) for w in recwarn)
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------------
 
 
