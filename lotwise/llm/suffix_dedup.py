@@ -73,16 +73,17 @@ def suffixes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(emit, SUFFIXES)
 
 
-def shared_suffixes(sorted_suffixes: DataFrame) -> DataFrame:
+def shared_suffixes(sorted_suffixes: DataFrame, most_held: int = 1 << 16) -> DataFrame:
     """Of suffixes sorted within range partitions, those that share their beginning with a neighbour of another document.
 
     The sort key ends with id and spot, so a beginning that very many documents share spreads over as many partitions as its rows
-    need. The first and the last group of a partition are kept unseen, as their neighbours may be in the next one.
+    need. The first and the last group of a partition are kept unseen, as their neighbours may be in the next one. A shared group of more than
+    ``most_held`` rows goes out in parts.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        opening = True
+        opening, shared = True, False  # shared: the open group is known to have several ids, also if those rows are out already
         for batch in batches:
             held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             keys, ids = held["key"].to_numpy(), held["id"].to_numpy()
@@ -96,6 +97,7 @@ def shared_suffixes(sorted_suffixes: DataFrame) -> DataFrame:
                 continue
             end = np.concatenate([edge, [len(keys)]])
             same = ids[begin] == ids[end - 1]  # ids ascend inside a group
+            same[0] &= not shared
             keep = np.repeat(~same, end - begin)
             if opening:
                 keep[: end[0]] = True
@@ -103,8 +105,8 @@ def shared_suffixes(sorted_suffixes: DataFrame) -> DataFrame:
             last = begin[-1]
             if len(begin) > 1 or last:
                 yield from held.slice(0, last).filter(pa.array(keep[:last])).select(["id", "spot"]).to_batches()
-            rest = held.slice(last)
-            if rest.num_rows > 1 << 16 and not same[-1]:  # a very large group: its rows are known to be shared
+            rest, shared = held.slice(last), not same[-1]
+            if rest.num_rows > most_held and shared:  # a very large group: its rows are known to be shared
                 yield from rest.slice(0, rest.num_rows - 1).select(["id", "spot"]).to_batches()
                 rest = rest.slice(rest.num_rows - 1)
         if rest is not None and rest.num_rows:

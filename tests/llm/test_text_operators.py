@@ -18,7 +18,7 @@ from lotwise.llm.mixing import MixParams, mix
 from lotwise.llm.near_dedup import NearParams, likelihood, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
-from lotwise.llm.suffix_dedup import suffix_dedup
+from lotwise.llm.suffix_dedup import shared_suffixes, suffix_dedup
 from lotwise.llm.toxicity import toxicity
 from lotwise.llm.url_filter import RULES, split_words, url_filter
 
@@ -128,6 +128,21 @@ def test_crowded_passages(operator, spark):
     assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == kept_words(rows, 6)
 
 
+def test_large_shared_groups_go_out_whole(spark):
+    opening, closing, alone = [(0, 1, 0)], [(9, 1, 0)], [(5, 7, k) for k in range(6)]
+    shared = [(2, 1, 0), *[(2, 2, k) for k in range(40)]] + [(3, 1, k) for k in range(9)] + [(3, 2, 0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (2, 5, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            array = spark.createDataFrame(opening + shared + alone + closing, "key long, id long, spot long").coalesce(1).sortWithinPartitions("key", "id", "spot")
+            got = sorted((r["id"], r["spot"]) for r in shared_suffixes(array, 4).collect() if r["id"] != 7)
+            assert got == sorted(x[1:] for x in opening + shared + closing)
+            assert shared_suffixes(array, 4).where("id = 7").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_words_of_arrow_columns():
     import pyarrow as pa
 
