@@ -28,6 +28,10 @@ ORDINARY = (
     "mobile money music my net new news night now office online open org page park party pay people pet phone photo plan play plus post power press pro shop school science search shoes site smart social soft "
     "solar sport star stock store story street studio style tech top toy trade travel tube tv video vip water web wiki win wine world www zone"
 ).split()
+_BLOCKED = frozenset(BLOCKED)
+ENDINGS = ("s", "es", "ing", "er", "ers")
+#: Letters of the longest word that split_words knows.
+LONGEST = 20
 _PART = re.compile(r"[a-zß-ÿ]+|[0-9]+")
 
 
@@ -70,7 +74,7 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return found
 
 
-def split_words(name: str, words: dict[str, float], longest: int = 20) -> list[str]:
+def split_words(name: str, words: dict[str, float], longest: int = LONGEST) -> list[str]:
     """The most probable division of a run of letters into words; an unknown word costs more with every letter."""
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(name)
     for end in range(1, len(name) + 1):
@@ -96,30 +100,45 @@ def url_words(host: str, path: str, words: dict[str, float], split) -> list[str]
     return out
 
 
+def is_blocked(word: str) -> bool:
+    """True for a seed word of the blocked kind and for one with a usual ending."""
+    return word in _BLOCKED or any(word.endswith(x) and word[: -len(x)] in _BLOCKED for x in ENDINGS)
+
+
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n): in hosts and whole paths of all distinct addresses, the runs of letters that are no longer than the words of split_words."""
+    host, path = url_parts(F.col("url"))
+    pairs = pages.select(host.alias("host"), F.lower(path).alias("path")).where("host <> ''").distinct()
+    found = pairs.select(F.explode(F.regexp_extract_all(F.concat_ws("/", "host", "path"), F.lit("[a-zß-ÿ]+"), F.lit(0))).alias("word"))
+    return found.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def train(pages: DataFrame, most: int = 20_000) -> UrlModel:
-    """Word and class counts from at most ``most`` distinct pairs of host and first path part, those with the least hash."""
+    """Word counts from all addresses; class counts from at most ``most`` distinct pairs of host and first path part, those with the least hash."""
     host, path = url_parts(F.col("url"))
     first = F.regexp_extract("path", r"^(/[^/]*)", 1)
     pairs = pages.select(host.alias("host"), path.alias("path")).select("host", first.alias("path")).where("host <> ''").distinct()
     rows = sorted((r["host"], r["path"]) for r in pairs.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).collect())
     counts = Counter(dict.fromkeys(ORDINARY, 50) | dict.fromkeys(BLOCKED, 50))
-    for h, p in rows:
-        counts.update(x for x in _PART.findall(h) + _PART.findall(p.lower()) if not x[0].isdigit())
     total = sum(counts.values())
-    words = {w: math.log(n / total) for w, n in counts.items() if len(w) > 1 and (n > 1 or w in BLOCKED)}
+    if rows:
+        found = C.cut(word_counts(pages))
+        total += found.agg(F.sum("n")).first()[0] or 0
+        counts.update({x["word"]: x["n"] for x in found.where("n > 1").collect()})
+    words = {w: math.log(n / total) for w, n in counts.items()}
     split = functools.lru_cache(maxsize=200_000)(lambda part: tuple(split_words(part, words)))
     seen = {True: Counter(), False: Counter()}
     docs = {True: 1, False: 1}
     for h, p in rows + [(f"{w}.example", "") for w in BLOCKED] + [(f"{w}.example", "") for w in ORDINARY]:
         got = url_words(h, p, words, split)
-        bad = any(x.partition(":")[2] in BLOCKED for x in got)
+        bad = any(is_blocked(x.partition(":")[2]) for x in got)
         docs[bad] += 1
         seen[bad].update(got)
     kinds = len(set(seen[True]) | set(seen[False])) + 1
     size = {c: sum(seen[c].values()) for c in seen}
     odds = lambda x: math.log((seen[True][x] + 0.5) / (size[True] + 0.5 * kinds)) - math.log((seen[False][x] + 0.5) / (size[False] + 0.5 * kinds))
     # a word that was seen a few times says little, unless it is a seed word
-    trust = lambda x: 1.0 if x.partition(":")[2] in BLOCKED else (n := seen[True][x] + seen[False][x]) / (n + 10)
+    trust = lambda x: 1.0 if is_blocked(x.partition(":")[2]) else (n := seen[True][x] + seen[False][x]) / (n + 10)
     return UrlModel(words, {x: trust(x) * odds(x) for x in set(seen[True]) | set(seen[False])}, math.log(docs[True] / docs[False]))
 
 

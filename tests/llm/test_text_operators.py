@@ -20,7 +20,7 @@ from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
 from lotwise.llm.suffix_dedup import shared_suffixes, suffix_dedup
 from lotwise.llm.toxicity import toxicity
-from lotwise.llm.url_filter import RULES, split_words, url_filter
+from lotwise.llm.url_filter import RULES, split_words, train, url_filter
 
 from .conftest import prose, table
 
@@ -383,6 +383,15 @@ def test_urls(spark):
     assert url_filter(pages.limit(0)).count() == 0
 
 
+def test_url_words_of_all_addresses(spark):
+    urls = [f"http://site{k}.net/a/quokka/wombat{k % 3}" for k in range(60)] + [f"http://free-bets.example{k}.net/x" for k in range(6)] + [f"http://news-of-day.example{k}.net/x" for k in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls + ["http://last.net/quokkawombat"])), "page_id long, url string")
+    model = train(pages, most=3)
+    assert {"quokka", "wombat", "bets"} <= set(model.words) and split_words("quokkawombat", model.words) == ["quokka", "wombat"]
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter(pages, rules=()).collect()}
+    assert {verdict[k] for k in range(60, 66)} == {"block"} and {verdict[k] for k in range(66, 96)} == {"allow"}
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 
