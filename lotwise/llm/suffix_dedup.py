@@ -1,10 +1,10 @@
-"""Passage dedup with a sparse suffix array.
+"""Passage dedup with sparse suffixes, joined by fingerprint. This is no suffix array: no order of suffixes by their words is built.
 
 A suffix (document, word position) is retained where the half-length word gram that starts there is the least-hashed one of some window of
 ``width`` words; the choice depends on content alone, so every passage of ``width`` words that two documents share retains a suffix at the same
-place in both. Suffixes are sorted by their first words over all partitions, and neighbours are compared: a suffix whose beginning no
-neighbour from another document shares is dropped. The others are extended to the left and right into the windows around them,
-which are then matched exactly.
+place in both. Suffixes are sorted over all partitions by the 64-bit hash of their first ``width // 2`` words, and neighbours are compared: a suffix
+whose hash no neighbour from another document shares is dropped. The windows whose least gram is at one of the others are then hashed and grouped
+as in substring_dedup.
 """
 
 from __future__ import annotations
