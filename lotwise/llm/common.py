@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,22 +50,59 @@ def covered(starts: Column, width: int) -> Column:
     return F.when(n == 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(gaps, F.lit(width).cast("bigint"), lambda a, x: a + x))
 
 
+#: Folders of the tables that ``cut`` wrote and nobody has dropped.
+_CUTS: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder, so that lost executors cost nothing.
+    """``df`` written once as a table in the cluster's shared folder and read from there, so that lost executors cost nothing.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    What was shuffled on the way is given free at once. The table stays until it is dropped by ``drop`` or at the end of ``scratch``.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _CUTS.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes tables that ``cut`` made and that nothing reads any more."""
+    for df in cuts:
+        _delete(df.sparkSession, df._cut)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end whatever was cut inside; for callers that have written their result by then."""
+    held = set(_CUTS)
+    try:
+        yield
+    finally:
+        for path in [x for x in _CUTS if x not in held]:
+            _delete(spark, path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lotwise-")
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -171,8 +171,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: NearParams) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-#: Ratio of the set sizes in one size class.
+#: Ratio of the set sizes in one size class, and how many rows of the larger side one task of the search holds of a shingle and class.
 _CLASS = 1.02
+_HELD = 500
 
 
 def _rare_pairs(sets: DataFrame, labels: DataFrame, params: NearParams) -> DataFrame:
@@ -199,23 +200,29 @@ def _rare_pairs(sets: DataFrame, labels: DataFrame, params: NearParams) -> DataF
     n = F.col("n")
     first = held.join(seen, "s").withColumn("r", rank).where((F.col("r") <= n - F.ceil(n * t - 1e-9) + 1) & (F.col("df") > 1))
     first = C.cut(first.select("s", "key", "label", "n", "r"))
-    # only shingles that several components have among their first can bring them together
-    mixed = first.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("s")
-    first = C.cut(first.join(mixed, "s", "left_semi"))
     size_class = lambda x: F.floor(F.log(x) / float(np.log(_CLASS)))
     least = lambda x, y: F.ceil((x + y) * (t / (1 + t)) - 1e-9)
-    index = first.where(F.col("r") <= n - least(n, n) + 1).select("s", size_class(n).alias("c"), "key", "label", "n", "r")
+    smaller = first.where(F.col("r") <= n - least(n, n) + 1).withColumn("c", size_class(n)).withColumn("probe", F.lit(False))
     low = F.greatest(size_class(n * t) - 1, F.lit(0))
-    probe = first.withColumn("c", F.explode(F.sequence(low, size_class(n))))
+    larger = first.withColumn("c", F.explode(F.sequence(low, size_class(n))))
     smallest = F.greatest(F.ceil(n * t - 1e-9), F.floor(F.pow(F.lit(_CLASS), F.col("c"))))
-    probe = probe.where(F.col("r") <= n - least(n, smallest) + 1)
-    main = index.groupBy("s", "c", "label").agg(F.count("*").alias("k")).groupBy("s", "c").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    x = probe.join(main, ["s", "c"]).select("s", "c", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("r").alias("ra"), "main")
-    y = index.join(main, ["s", "c"]).select("s", "c", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("main").alias("mb"))
+    larger = larger.where(F.col("r") <= n - least(n, smallest) + 1).withColumn("probe", F.lit(True))
+    sides = smaller.unionByName(larger)
+    # only groups in which several components meet can bring them together
+    main = sides.groupBy("s", "c", "label").agg(F.count_if(~F.col("probe")).alias("k"), F.count_if("probe").alias("m"))
+    main = main.groupBy("s", "c").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("k").alias("k"), F.sum("m").alias("m"))
+    main = C.cut(main.where("low < high and k > 0 and m > 0").select("s", "c", "main", F.ceil(F.col("m") / _HELD).alias("parts")))
+    placed = C.cut(sides.join(main, ["s", "c"]))
+    part = F.pmod(F.xxhash64("key"), "parts")
+    x = placed.where("probe").select("s", "c", part.alias("part"), F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("r").alias("ra"), "main")
+    y = placed.where("not probe").select("s", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("main").alias("mb"))
     o = least(F.col("na"), F.col("nb"))
     fits = (F.col("la") != F.col("lb")) & (F.col("nb") <= F.col("na")) & (F.col("ra") <= F.col("na") - o + 1) & (F.col("rb") <= F.col("nb") - o + 1)
-    both = x.where("la <> main").join(y, ["s", "c"]).where(fits).select("a", "b").union(x.where("la = main").join(y.where("lb <> mb"), ["s", "c"]).where(fits).select("a", "b"))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    on = ["s", "c", "part"]
+    both = x.where("la <> main").join(y, on).where(fits).select("a", "b").union(x.where("la = main").join(y.where("lb <> mb"), on).where(fits).select("a", "b"))
+    pairs = C.cut(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    C.drop(first, main, placed)
+    return pairs
 
 
 def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -241,12 +248,14 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
 
     # buckets that the hubs have not made one component
     label = F.coalesce("label", F.col("key"))
-    labelled = C.cut(met.select("bucket", "key").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", label.alias("label")))
+    labelled = met.select("bucket", "key").join(grouped.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", label.alias("label"))
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
     open_keys = C.cut(labelled.join(apart, "bucket", "left_semi").select("key", "label").distinct())
     sets = C.cut(_full_sets(own, classes, open_keys.select("key"), params))
-    more = _verified(_likely(_rare_pairs(sets, open_keys, params), classes, params), sets, params)
+    near = C.cut(_likely(_rare_pairs(sets, open_keys, params), classes, params))
+    more = C.cut(_verified(near, sets, params))
     final = components(linked.union(more)) if more.limit(1).count() else grouped
+    C.drop(met, pairs, open_keys, sets, near)
 
     named = classes.select("key", F.col("first.id").alias("low")).join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "low", label.alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("lowest"))
