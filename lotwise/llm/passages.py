@@ -39,23 +39,32 @@ def with_copies(docs: DataFrame, most_broadcast: int) -> DataFrame:
     return docs.join(late, ["id", "body"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
 
 
-def window_rows(part: pa.RecordBatch, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int) -> pa.RecordBatch:
-    """Rows of WINDOWS for the windows that start at the words ``at``; ``owner``: the row of ``part`` each belongs to."""
+def window_rows(part: pa.RecordBatch, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int, shift: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of WINDOWS for the windows that start at the words ``at``; ``owner``: the row of ``part`` each belongs to; ``shift``: the place of a row's first word in its document."""
     if not len(at):
         return pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())], ["h1", "h2", "id", "spot"])
     h1 = T._runs(T.mix(hashes), at, at + width, T._ODD[1])
     h2 = T._runs(T.mix(hashes + np.uint64(1)), at, at + width, T._ODD[2])
     ids = part.column("id").to_numpy(zero_copy_only=False)[owner]
     body = part.column("body").to_numpy(zero_copy_only=False)[owner].astype(np.int64)
-    spot = (body << 32) | (at - first[owner])
+    spot = (body << 32) | (at - first[owner] + (0 if shift is None else shift[owner]))
     return pa.record_batch([h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), ids, spot], ["h1", "h2", "id", "spot"])
 
 
-def later_starts(windows: DataFrame) -> DataFrame:
-    """(id, body, starts): where windows start that also start in a document with a smaller id. Hot windows are pre-aggregated and then joined, never gathered."""
+def later(windows: DataFrame) -> DataFrame:
+    """(id, body, start): where windows start that also start in a document with a smaller id.
+
+    Windows are aggregated first; the few that several documents hold are written and joined back, so that Spark may split a hot window's rows over tasks.
+    """
     known = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    late = windows.join(known, ["h1", "h2"]).where("id > least")
-    return late.groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(F.collect_list(F.col("spot").bitwiseAND(0xFFFFFFFF)).alias("starts"))
+    late = windows.join(C.cut(known), ["h1", "h2"]).where("id > least")
+    return late.select("id", F.shiftright("spot", 32).cast("int").alias("body"), F.col("spot").bitwiseAND(0xFFFFFFFF).alias("start"))
+
+
+def gathered(parts: DataFrame) -> DataFrame:
+    """(id, body, lo, hi): of each document the word ranges (id, body, lo, hi) as two arrays."""
+    both = parts.distinct().groupBy("id", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("p"))
+    return both.select("id", "body", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
 
 
 def _result(text: bytes, n: int, gone: np.ndarray | None) -> dict:
@@ -67,12 +76,14 @@ def _result(text: bytes, n: int, gone: np.ndarray | None) -> dict:
     return {"n_words": n, "n_removed": 0 if gone is None else int(gone.sum()), "kept_text": joined.decode(), "kept_sha256": hashlib.sha256(joined).hexdigest(), "spans": [{"start": a, "end": b} for a, b in edges]}
 
 
-def settle(docs: DataFrame, starts: DataFrame, touched: Callable, width: int, texts: bool) -> DataFrame:
-    """The final row of each document. ``touched(part, words)``: mask of the rows that may lose words; only their texts are shuffled to meet ``starts``."""
+def settle(docs: DataFrame, spans: DataFrame, touched: Callable, width: int, texts: bool, most_broadcast: int) -> DataFrame:
+    """The final row of each document. ``spans``: a cut table as ``gathered`` makes it. If it is short it meets the documents where they are; else the texts of
+    those documents are shuffled that may lose words, by ``touched(part, words)``."""
     slim = pa.schema([("id", pa.int64()), ("body", pa.int32()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     full = slim.remove(2)
 
-    def trim(row: dict) -> dict:
+    def finished(text: str, n: int, gone: np.ndarray | None) -> dict:
+        row = _result(text.encode(), n, gone)
         return row if texts else row | {"kept_text": None}
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,29 +94,36 @@ def settle(docs: DataFrame, starts: DataFrame, touched: Callable, width: int, te
                 for i, (doc, body, text, n) in enumerate(zip(part.column("id").to_pylist(), part.column("body").to_pylist(), part.column("text").to_pylist(), w.counts.tolist())):
                     row = {"id": doc, "body": body, "text": None}
                     if copied[i] and n >= width:
-                        row |= trim(_result(text.encode(), n, np.ones(n, bool)))
+                        row |= finished(text, n, np.ones(n, bool))
                     elif may[i]:
                         row["text"] = text
                     else:
-                        row |= trim(_result(text.encode(), n, None))
+                        row |= finished(text, n, None)
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, slim)
 
+    def gone(n: int, lo: pa.Scalar, hi: pa.Scalar) -> np.ndarray:
+        step = np.zeros(n + 1, np.int64)
+        np.add.at(step, lo.values.to_numpy(zero_copy_only=False), 1)
+        np.add.at(step, np.minimum(hi.values.to_numpy(zero_copy_only=False), n), -1)
+        return np.cumsum(step[:-1]) > 0
+
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
             for part, w in T.rows(batch):
-                out = []
-                lists = part.column("starts")
-                for i, (row, n) in enumerate(zip(part.select(full.names + ["text"]).to_pylist(), w.counts.tolist())):
-                    if row["text"] is not None:
-                        found = lists[i].values if lists[i].is_valid else None
-                        gone = None if found is None else T.covered(np.unique(found.to_numpy(zero_copy_only=False)), n, width)
-                        row |= trim(_result(row["text"].encode(), n, gone))
-                    out.append(row)
-                at += part.num_rows
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in full.names} for r in out], full)
-
-    met = docs.mapInArrow(first_pass, SLIM).join(starts, ["id", "body"], "left")
+                los, his = part.column("lo"), part.column("hi")
+                copied = part.column("copied").to_pylist() if "copied" in part.schema.names else [False] * part.num_rows
+                done = part.select([c for c in full.names if c in part.schema.names]).to_pylist()
+                for i, (row, text, n) in enumerate(zip(done, part.column("text").to_pylist(), w.counts.tolist())):
+                    if text is not None:
+                        mask = np.ones(n, bool) if copied[i] and n >= width else gone(n, los[i], his[i]) if los[i].is_valid else None
+                        row |= finished(text, n, mask)
+                yield pa.RecordBatch.from_pylist([{k: r[k] for k in full.names} for r in done], full)
+
+    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
+    if sum(size) <= most_broadcast:
+        met = docs.join(F.broadcast(spans), ["id", "body"], "left")
+    else:
+        met = docs.mapInArrow(first_pass, SLIM).join(spans, ["id", "body"], "left")
     done = met.mapInArrow(last_pass, FULL)
     return done.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id"))).drop("id", "body")

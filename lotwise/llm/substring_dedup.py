@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm import common as C
 from lotwise.llm import passages as P
 from lotwise.llm import textnp as T
 
@@ -121,5 +122,6 @@ def substring_dedup(docs: DataFrame, width: int = 50, most_bits: int = 30, most_
         mask[likely(w, part)[2]] = True
         return mask
 
-    starts = P.later_starts(own.mapInArrow(emit, P.WINDOWS))
-    return P.settle(own, starts, touched, width, texts)
+    late = P.later(own.mapInArrow(emit, P.WINDOWS))
+    spans = C.cut(P.gathered(late.select("id", "body", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))))
+    return P.settle(own, spans, touched, width, texts, most_broadcast)

@@ -1,14 +1,18 @@
-"""Passage dedup with sparse suffixes, joined by fingerprint. This is no suffix array: no order of suffixes by their words is built.
+"""Passage dedup with a sparse suffix array.
 
 A suffix (document, word position) is retained where the half-length word gram that starts there is the least-hashed one of some window of
 ``width`` words; the choice depends on content alone, so every passage of ``width`` words that two documents share retains a suffix at the same
-place in both. Suffixes are sorted over all partitions by the 64-bit hash of their first ``width // 2`` words, and neighbours are compared: a suffix
-whose hash no neighbour from another document shares is dropped. The windows whose least gram is at one of the others are then hashed and grouped
-as in substring_dedup.
+place in both. Suffixes whose first ``width // 2`` words stand in one document only cannot be part of a match and leave by a fingerprint of those words.
+
+The others are written with their words: up to ``width`` to the right, up to half as many to the left. They are sorted by their words, over
+all partitions, and compared with their neighbours in that order: the words a neighbour shares bound the run of suffixes that agree so far to the right. Inside each run
+matches are extended to the left, word by word, and a suffix loses the words of all matches of ``width`` words with a document of a smaller id.
+Suffixes of a beginning that very many documents share would all be neighbours in one task; these alone are matched by the windows over them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm import common as C
 from lotwise.llm import passages as P
 from lotwise.llm import textnp as T
 
 SUFFIXES = "key long, id long, spot long"
+CONTEXTS = "hot boolean, before string, after string, id long, body int, at long"
+PARTS = "id long, body int, lo long, hi long"
+#: Longer words stand in a suffix by a digest, so that suffixes over a very long word stay short.
+LONGEST = 64
 
 
-def _anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window of ``width`` words: the word index of its retained suffix (the first place of its least gram) and that gram's hash; the windows'
-    first words and bounds."""
+    bounds."""
     half = width // 2
     grams, _, inner = T.windows(hashes, first, half)
     least, at, bounds = T.sampled(hashes, first, width)
     if not len(at):
-        return at, least, at, bounds
+        return at, least, bounds
     owner = np.repeat(np.arange(len(first) - 1), np.diff(bounds))
     start = at - first[owner] + inner[owner]  # of the window's first gram among all grams
     # the least gram's place: the first gram at or after the window's start that equals the least one
@@ -51,7 +60,7 @@ def _anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
             a = np.where(open_ & low, mid + 1, a)
             b = np.where(open_ & ~low, mid, b)
         place[behind] = order[a]
-    return place - inner[owner] + first[owner], least, at, bounds
+    return place - inner[owner] + first[owner], least, bounds
 
 
 def suffixes(docs: DataFrame, width: int) -> DataFrame:
@@ -60,91 +69,158 @@ def suffixes(docs: DataFrame, width: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, w in T.rows(batch):
-                place, least, _, bounds = _anchors(w.hashes(), w.first, width)
+                place, least, bounds = _anchors(w.hashes(), w.first, width)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 new = np.ones(len(place), bool)
                 new[1:] = place[1:] != place[:-1]
-                new &= ~part.column("copied").to_numpy(zero_copy_only=False)[owner]
                 place, least, owner = place[new], least[new], owner[new]
                 ids = part.column("id").to_numpy(zero_copy_only=False)[owner]
                 spot = (part.column("body").to_numpy(zero_copy_only=False)[owner].astype(np.int64) << 32) | (place - w.first[owner])
                 yield pa.record_batch([least.view(np.int64), ids, spot], ["key", "id", "spot"])
 
-    return docs.mapInArrow(emit, SUFFIXES)
+    return docs.where(~F.col("copied")).select("id", "body", "text").mapInArrow(emit, SUFFIXES)
 
 
-def shared_suffixes(sorted_suffixes: DataFrame, most_held: int = 1 << 16) -> DataFrame:
-    """Of suffixes sorted within range partitions, those that share their beginning with a neighbour of another document.
+def contexts(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """Rows of CONTEXTS: each wanted suffix (``places``: id, body, anchors as structs of at and hot) with the words around its start."""
+    back = width - width // 2
 
-    The sort key ends with id and spot, so a beginning that very many documents share spreads over as many partitions as its rows
-    need. The first and the last group of a partition are kept unseen, as their neighbours may be in the next one. A shared group of more than
-    ``most_held`` rows goes out in parts.
-    """
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body, text, anchors in zip(*(batch.column(c) for c in ("id", "body", "text", "anchors"))):
+                words = text.as_py().encode().split()
+                words = [x if len(x) <= LONGEST else b"\x00" + hashlib.blake2b(x, digest_size=16).hexdigest().encode() for x in words]
+                edge = np.concatenate([[0], np.cumsum([len(x) + 1 for x in words])]).tolist()
+                joined = b" ".join(words) + b" "
+                at = anchors.values.field("at").to_pylist()
+                hot = anchors.values.field("hot")
+                n = len(words)
+                for k in range(0, len(at), 4000):
+                    some = at[k : k + 4000]
+                    before = pa.array([joined[edge[max(a - back, 0)] : edge[a]] for a in some], pa.binary()).cast(pa.string())
+                    after = pa.array([joined[edge[a] : edge[min(a + width, n)]] for a in some], pa.binary()).cast(pa.string())
+                    m = len(some)
+                    yield pa.record_batch([hot.slice(k, m), before, after, pa.array([i.as_py()] * m, pa.int64()), pa.array([body.as_py()] * m, pa.int32()), pa.array(some, pa.int64())], ["hot", "before", "after", "id", "body", "at"])
+
+    return docs.select("id", "body", "text").join(places, ["id", "body"]).mapInArrow(emit, CONTEXTS)
+
+
+def _words_of(texts: pa.Array, most: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of each text as a row of ``most`` columns (the nearest word first), and how many there are."""
+    w = T.words(texts)
+    out = np.zeros((len(texts), most), np.uint64)
+    n = w.counts
+    owner = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(w.starts)) - w.first[owner]
+    out[owner, n[owner] - 1 - at if backwards else at] = w.hashes()
+    return out, n
+
+
+def matches(block: pa.Table, width: int) -> pa.Table:
+    """Rows of PARTS for suffixes in the order of their words: what each loses to documents of smaller ids in the block."""
+    back = width - width // 2
+    ids, at = block["id"].to_numpy(), block["at"].to_numpy()
+    right, n_right = _words_of(block["after"].combine_chunks(), width, False)
+    left, n_left = _words_of(block["before"].combine_chunks(), back, True)
+    unequal = np.concatenate([right[1:] != right[:-1], np.ones((max(len(ids) - 1, 0), 1), bool)], axis=1)
+    common = np.minimum(unequal.argmax(1), np.minimum(n_right[1:], n_right[:-1])) if len(ids) > 1 else np.zeros(0, int)
+    most, least = np.full(len(ids), -1), np.full(len(ids), -1)
+    side = np.zeros(len(ids), np.uint64)  # hash of the nearest words to the left
+    for o in range(back + 1):
+        if o:
+            side = T.mix(side * np.uint64(T._ODD[0]) + left[:, o - 1])
+        run = np.concatenate([[0], np.cumsum(common < width - o)])
+        whole = np.flatnonzero((n_right >= width - o) & (n_left >= o))
+        if not len(whole):
+            continue
+        group = T.mix(side[whole] + T.mix(run[whole].astype(np.uint64)))
+        order = np.argsort(group, kind="stable")
+        ranked, own = group[order], ids[whole][order]
+        begin = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
+        lowest = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.concatenate([begin, [len(own)]])))
+        hit = whole[order[lowest < own]]
+        most[hit] = o
+        least[hit[least[hit] < 0]] = o
+    found = np.flatnonzero(most >= 0)
+    return pa.table({"id": ids[found], "body": block["body"].to_numpy()[found], "lo": at[found] - most[found], "hi": at[found] - least[found] + width})
+
+
+def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 15) -> DataFrame:
+    """Rows of PARTS from suffixes sorted within partitions of whole beginnings; a task holds some ``rows`` suffixes and the beginning that is open."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        opening, shared = True, False  # shared: the open group is known to have several ids, also if those rows are out already
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            block = pa.Table.from_batches(held)
+            cut = block.num_rows
+            if not last:  # up to where the last beginning starts
+                words, some = _words_of(block["after"].combine_chunks(), width, False)
+                half = width // 2
+                new = np.flatnonzero((words[1:, :half] != words[:-1, :half]).any(1))
+                cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield from matches(block.slice(0, cut), width).to_batches()
+            held = block.slice(cut).to_batches()
+            n = block.num_rows - cut
+
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            keys, ids = held["key"].to_numpy(), held["id"].to_numpy()
-            if not len(keys):
-                continue
-            edge = np.flatnonzero(np.diff(keys)) + 1
-            begin = np.concatenate([[0], edge])
-            if len(begin) == 1 and opening:  # all of it still belongs to the first group: keep as it comes
-                yield from held.select(["id", "spot"]).to_batches()
-                rest = held.slice(len(keys) - 1, 0)
-                continue
-            end = np.concatenate([edge, [len(keys)]])
-            same = ids[begin] == ids[end - 1]  # ids ascend inside a group
-            same[0] &= not shared
-            keep = np.repeat(~same, end - begin)
-            if opening:
-                keep[: end[0]] = True
-                opening = False
-            last = begin[-1]
-            if len(begin) > 1 or last:
-                yield from held.slice(0, last).filter(pa.array(keep[:last])).select(["id", "spot"]).to_batches()
-            rest, shared = held.slice(last), not same[-1]
-            if rest.num_rows > most_held and shared:  # a very large group: its rows are known to be shared
-                yield from rest.slice(0, rest.num_rows - 1).select(["id", "spot"]).to_batches()
-                rest = rest.slice(rest.num_rows - 1)
-        if rest is not None and rest.num_rows:
-            yield from rest.select(["id", "spot"]).to_batches()
-
-    return sorted_suffixes.mapInArrow(compare, "id long, spot long")
-
-
-def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_000, texts: bool = True) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (null unless ``texts``), kept_sha256, spans (word ranges removed).
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from settled(False)
+        if n:
+            yield from settled(True)
 
-    A word is removed if a passage of ``width`` words over it also occurs in a document with a smaller doc_id. Null and empty texts have no
-    words; repeated rows give repeated results; rows of one id and different texts are never held against each other; a null id counts as
-    larger than all others. Very long texts and texts of fewer than ``width`` words need no case of their own.
-    """
-    own = P.with_copies(P.keyed(docs), most_broadcast)
-    array = suffixes(own, width).repartitionByRange("key", "id", "spot").sortWithinPartitions("key", "id", "spot")
-    shared = shared_suffixes(array).groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(F.collect_set(F.col("spot").bitwiseAND(0xFFFFFFFF)).alias("anchors"))
+    return ordered.mapInArrow(compare, PARTS)
 
-    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts that have no windows leave before the shuffle."""
-        for batch in batches:
-            for part, w in T.rows(batch):
-                yield part.filter(pa.array((w.counts >= width) & ~part.column("copied").to_numpy(zero_copy_only=False)))
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_windows(hot: DataFrame, width: int) -> DataFrame:
+    """Rows of passages.WINDOWS: the windows over suffixes with a very common beginning."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, w in T.rows(batch):
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                before = T.words(part.column("before")).counts
+                w = T.words(pa.array([a + b for a, b in zip(part.column("before").to_pylist(), part.column("after").to_pylist())], pa.string()))
                 hashes = w.hashes()
-                place, _, at, bounds = _anchors(hashes, w.first, width)
+                _, at, bounds = T.windows(hashes, w.first, width)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                lists = part.column("anchors")
-                wanted = np.zeros(len(hashes), bool)
-                for i, a in enumerate(w.first[:-1]):
-                    if lists[i].is_valid:
-                        wanted[a + lists[i].values.to_numpy(zero_copy_only=False)] = True
-                yes = wanted[place] if len(place) else np.zeros(0, bool)
-                yield P.window_rows(part, hashes, w.first, at[yes], owner[yes], width)
-
-    windows = own.mapInArrow(slim, "id long, body int, text string, copied boolean").join(shared, ["id", "body"]).mapInArrow(extend, P.WINDOWS)
-    return P.settle(own, P.later_starts(windows), lambda part, w: w.counts >= width, width, texts)
+                shift = part.column("at").to_numpy(zero_copy_only=False) - before
+                yield P.window_rows(part, hashes, w.first, at, owner, width, shift)
+
+    return hot.mapInArrow(emit, P.WINDOWS)
+
+
+def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_000, most_neighbours: int = 4096, texts: bool = True) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (null unless ``texts``), kept_sha256, spans (word ranges removed).
+
+    A word is removed if a passage of ``width`` words over it also occurs in a document with a smaller doc_id. Null and empty texts have no
+    words; repeated rows give repeated results; rows of one id and different texts are never held against each other; a null id counts as
+    larger than all others. Very long texts and texts of fewer than ``width`` words need no case of their own. Of equal passages (ties) the one in the smallest id
+    stays, all its occurrences there with it. An empty table gives an empty result. Columns other than doc_id and text are not looked at, whatever their names.
+    ``most_neighbours``: suffixes of one beginning that are compared in one task; more frequent beginnings are matched by the windows over them, with the same result.
+    """
+    own = P.with_copies(P.keyed(docs), most_broadcast)
+    found = suffixes(own, width)
+    counts = found.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    shared = C.cut(counts.where("least < most").select("key", (F.col("n") > most_neighbours).alias("hot")))
+    near = F.broadcast(shared) if C.small(shared, most_broadcast) else shared
+    anchors = F.collect_set(F.struct(F.col("spot").bitwiseAND(0xFFFFFFFF).alias("at"), "hot")).alias("anchors")
+    places = found.join(near, "key").groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(anchors)
+    array = C.cut(contexts(own.where(~F.col("copied")), places, width))
+    C.drop(shared)
+
+    # so many letters lie within the first half of a window, so no beginning is dealt to two tasks
+    ordered = array.where("not hot").drop("hot").repartitionByRange(F.substring("after", 1, 2 * (width // 2))).sortWithinPartitions("after", "id")
+    parts = neighbours(ordered, width)
+    hot = array.where("hot")
+    if hot.limit(1).count():
+        late = P.later(_hot_windows(hot, width))
+        parts = parts.unionByName(late.select("id", "body", F.col("start").alias("lo"), (F.col("start") + width).alias("hi")))
+    spans = C.cut(P.gathered(parts))
+    C.drop(array)
+    return P.settle(own, spans, lambda part, w: w.counts >= width, width, texts, most_broadcast)
