@@ -145,7 +145,7 @@ def matches(block: pa.Table, width: int) -> pa.Table:
     return pa.table({"id": ids[found], "body": block["body"].to_numpy()[found], "lo": at[found] - most[found], "hi": at[found] - least[found] + width})
 
 
-def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 15) -> DataFrame:
+def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 12) -> DataFrame:
     """Rows of PARTS from suffixes sorted within partitions of whole beginnings; a task holds some ``rows`` suffixes and the beginning that is open."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +167,11 @@ def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 15) -> DataFrame
             n = block.num_rows - cut
 
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from settled(False)
+            for k in range(0, batch.num_rows, rows // 2 + 1):
+                held.append(batch.slice(k, rows // 2 + 1))
+                n += held[-1].num_rows
+                if n >= rows:
+                    yield from settled(False)
         if n:
             yield from settled(True)
 
