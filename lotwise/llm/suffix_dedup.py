@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -116,64 +117,82 @@ def _words_of(texts: pa.Array, most: int, backwards: bool) -> tuple[np.ndarray,
     return out, n
 
 
-def matches(block: pa.Table, width: int) -> pa.Table:
-    """Rows of PARTS for suffixes in the order of their words: what each loses to documents of smaller ids in the block."""
+@dataclass
+class Ordered:
+    """Suffixes in the order of their words. common: words shared with the one before; sides: hashes of the nearest 0, 1, 2, ... words to the left; the others: words
+    there are to either side, and whose they are."""
+
+    common: np.ndarray
+    sides: np.ndarray
+    n_right: np.ndarray
+    n_left: np.ndarray
+    ids: np.ndarray
+    body: np.ndarray
+    at: np.ndarray
+
+    def __getitem__(self, some: slice) -> Ordered:
+        return Ordered(*[getattr(self, f.name)[some] for f in fields(self)])
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    @staticmethod
+    def joined(parts: list[Ordered]) -> Ordered:
+        return Ordered(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Ordered)])
+
+
+def ordered_rows(part: pa.RecordBatch, width: int, last: tuple | None = None) -> tuple[Ordered, tuple]:
+    """The suffixes of a batch, and what the next batch needs of the last one."""
     back = width - width // 2
-    ids, at = block["id"].to_numpy(), block["at"].to_numpy()
-    right, n_right = _words_of(block["after"].combine_chunks(), width, False)
-    left, n_left = _words_of(block["before"].combine_chunks(), back, True)
-    unequal = np.concatenate([right[1:] != right[:-1], np.ones((max(len(ids) - 1, 0), 1), bool)], axis=1)
-    common = np.minimum(unequal.argmax(1), np.minimum(n_right[1:], n_right[:-1])) if len(ids) > 1 else np.zeros(0, int)
-    most, least = np.full(len(ids), -1), np.full(len(ids), -1)
-    side = np.zeros(len(ids), np.uint64)  # hash of the nearest words to the left
-    for o in range(back + 1):
-        if o:
-            side = T.mix(side * np.uint64(T._ODD[0]) + left[:, o - 1])
-        run = np.concatenate([[0], np.cumsum(common < width - o)])
-        whole = np.flatnonzero((n_right >= width - o) & (n_left >= o))
+    right, n_right = _words_of(part.column("after"), width, False)
+    left, n_left = _words_of(part.column("before"), back, True)
+    before, n_before = (np.zeros((1, width), np.uint64), np.zeros(1, n_right.dtype)) if last is None else last
+    before, n_before = np.concatenate([before, right[:-1]]), np.concatenate([n_before, n_right[:-1]])
+    unequal = np.concatenate([right != before, np.ones((len(right), 1), bool)], axis=1)
+    sides = np.zeros((len(right), back + 1), np.uint64)
+    for o in range(back):
+        sides[:, o + 1] = T.mix(sides[:, o] * np.uint64(T._ODD[0]) + left[:, o])
+    whose = [part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "body", "at")]
+    return Ordered(np.minimum(unequal.argmax(1), np.minimum(n_right, n_before)).astype(np.int32), sides, n_right, n_left, *whose), (right[-1:], n_right[-1:])
+
+
+def matches(rows: Ordered, width: int) -> pa.RecordBatch:
+    """Rows of PARTS: what each suffix loses to documents of smaller ids among the rows."""
+    most, least = np.full(len(rows), -1), np.full(len(rows), -1)
+    for o in range(width - width // 2 + 1):
+        whole = np.flatnonzero((rows.n_right >= width - o) & (rows.n_left >= o))
         if not len(whole):
             continue
-        group = T.mix(side[whole] + T.mix(run[whole].astype(np.uint64)))
+        run = np.cumsum(rows.common < width - o).astype(np.uint64)
+        group = T.mix(rows.sides[whole, o] + T.mix(run[whole]))
         order = np.argsort(group, kind="stable")
-        ranked, own = group[order], ids[whole][order]
+        ranked, own = group[order], rows.ids[whole][order]
         begin = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
         lowest = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.concatenate([begin, [len(own)]])))
         hit = whole[order[lowest < own]]
         most[hit] = o
         least[hit[least[hit] < 0]] = o
     found = np.flatnonzero(most >= 0)
-    return pa.table({"id": ids[found], "body": block["body"].to_numpy()[found], "lo": at[found] - most[found], "hi": at[found] - least[found] + width})
+    return pa.record_batch([rows.ids[found], rows.body[found], rows.at[found] - most[found], rows.at[found] - least[found] + width], ["id", "body", "lo", "hi"])
 
 
-def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 12) -> DataFrame:
-    """Rows of PARTS from suffixes sorted within partitions of whole beginnings; a task holds some ``rows`` suffixes and the beginning that is open."""
+def neighbours(ordered: DataFrame, width: int, rows: int = 1 << 11) -> DataFrame:
+    """Rows of PARTS from suffixes sorted within partitions of whole beginnings; a task holds some ``rows`` suffixes and, in short form, those of the beginning that is open."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-
-        def settled(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n
-            block = pa.Table.from_batches(held)
-            cut = block.num_rows
-            if not last:  # up to where the last beginning starts
-                words, some = _words_of(block["after"].combine_chunks(), width, False)
-                half = width // 2
-                new = np.flatnonzero((words[1:, :half] != words[:-1, :half]).any(1))
-                cut = int(new[-1]) + 1 if len(new) else 0
-            if cut:
-                yield from matches(block.slice(0, cut), width).to_batches()
-            held = block.slice(cut).to_batches()
-            n = block.num_rows - cut
-
+        held: list[Ordered] = []
+        last = None
         for batch in batches:
-            for k in range(0, batch.num_rows, rows // 2 + 1):
-                held.append(batch.slice(k, rows // 2 + 1))
-                n += held[-1].num_rows
-                if n >= rows:
-                    yield from settled(False)
-        if n:
-            yield from settled(True)
+            for k in range(0, batch.num_rows, rows):
+                now, last = ordered_rows(batch.slice(k, rows), width, last)
+                new = np.flatnonzero(now.common < width // 2)
+                if len(new) and (new[-1] or held):  # all before the last beginning is complete
+                    held.append(now[: new[-1]])
+                    yield matches(Ordered.joined(held), width)
+                    held, now = [], now[new[-1] :]
+                held.append(now)
+        if held:
+            yield matches(Ordered.joined(held), width)
 
     return ordered.mapInArrow(compare, PARTS)
 
@@ -196,14 +215,14 @@ def _hot_windows(hot: DataFrame, width: int) -> DataFrame:
     return hot.mapInArrow(emit, P.WINDOWS)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_000, most_neighbours: int = 4096, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 1_000_000, most_neighbours: int = 200_000, texts: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (null unless ``texts``), kept_sha256, spans (word ranges removed).
 
     A word is removed if a passage of ``width`` words over it also occurs in a document with a smaller doc_id. Null and empty texts have no
     words; repeated rows give repeated results; rows of one id and different texts are never held against each other; a null id counts as
     larger than all others. Very long texts and texts of fewer than ``width`` words need no case of their own. Of equal passages (ties) the one in the smallest id
     stays, all its occurrences there with it. An empty table gives an empty result. Columns other than doc_id and text are not looked at, whatever their names.
-    ``most_neighbours``: suffixes of one beginning that are compared in one task; more frequent beginnings are matched by the windows over them, with the same result.
+    ``most_neighbours``: suffixes of one beginning that are compared in one task (some 300 bytes each); more frequent beginnings are matched by the windows over them, with the same result.
     """
     own = P.with_copies(P.keyed(docs), most_broadcast)
     found = suffixes(own, width)
