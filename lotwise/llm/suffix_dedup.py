@@ -215,7 +215,7 @@ def _hot_windows(hot: DataFrame, width: int) -> DataFrame:
     return hot.mapInArrow(emit, P.WINDOWS)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 1_000_000, most_neighbours: int = 200_000, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_000, most_neighbours: int = 200_000, texts: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (null unless ``texts``), kept_sha256, spans (word ranges removed).
 
     A word is removed if a passage of ``width`` words over it also occurs in a document with a smaller doc_id. Null and empty texts have no
@@ -228,9 +228,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 1_000_0
     found = suffixes(own, width)
     counts = found.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     shared = C.cut(counts.where("least < most").select("key", (F.col("n") > most_neighbours).alias("hot")))
-    near = F.broadcast(shared) if C.small(shared, most_broadcast) else shared
     anchors = F.collect_set(F.struct(F.col("spot").bitwiseAND(0xFFFFFFFF).alias("at"), "hot")).alias("anchors")
-    places = found.join(near, "key").groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(anchors)
+    places = found.join(shared, "key").groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(anchors)
     array = C.cut(contexts(own.where(~F.col("copied")), places, width))
     C.drop(shared)
 
