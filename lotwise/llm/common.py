@@ -37,10 +37,27 @@ def grams(tokens: Column, k: int) -> Column:
     return let(tokens, lambda t: F.when(F.size(t) >= k, hashed(t)).otherwise(F.array().cast("array<bigint>")))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind them as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with new columns that are computed once per row: neither filters nor other columns over them repeat their expressions below."""
-    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_row")
-    return df.select("*", row).select(*[F.col(c) for c in df.columns], "_row.*")
+    (row,) = fresh(df, "row")
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(row)
+    return df.select("*", made).select(*[quoted(c) for c in df.columns], *[quoted(row)[n].alias(n) for n in columns])
 
 
 def covered(starts: Column, width: int) -> Column:

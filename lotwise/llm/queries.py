@@ -83,14 +83,14 @@ QUERIES = {
 }
 
 _OP2 = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5(text) AS body,
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t,
              regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-l AS (SELECT doc_id, source, body, unnest(ls) AS line FROM d),
+l AS (SELECT doc_id, source, unnest(ls) AS line FROM d),
 ln AS (SELECT *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
-hosts AS (SELECT source, count(DISTINCT body) AS n_host FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n_host FROM d GROUP BY source),
 freq AS (SELECT ln.source, norm FROM ln JOIN hosts ON ln.source IS NOT DISTINCT FROM hosts.source
-         GROUP BY ln.source, norm, n_host HAVING count(DISTINCT body) > 20 AND count(DISTINCT body) > 0.1e0 * n_host),
+         GROUP BY ln.source, norm, n_host HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) > 0.1e0 * n_host OR count(DISTINCT doc_id) > 50000)),
 boiler AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM ln JOIN freq ON ln.source IS NOT DISTINCT FROM freq.source AND ln.norm = freq.norm GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS win FROM d, unnest(range(1, len(ws) - 3)) AS r(i)),
 rep AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
