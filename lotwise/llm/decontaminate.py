@@ -16,6 +16,9 @@ from lotwise.llm import common as C
 #: A-Z are lower-cased first; words are then runs of a-z, 0-9 and anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The same words in a text that is not lower-cased.
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def item_words(text: Column) -> Column:
     return C.words(C.ascii_lower(text), WORD)
@@ -62,7 +65,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
 
     A word is hit if it lies inside an occurrence of a window of an item. Null and empty texts have no words, neither as documents nor as items;
     items with a null id count under the name "". Repeated rows of one id and text each get that text's result; one id with several texts gets
-    one row per text. Windows and hits are broadcast only while they are few (``most_broadcast`` rows, checked); beyond it the joins shuffle.
+    one row per text. Very long texts are searched whole. An item that stands in a document several times counts once. Without items or documents nothing is hit. Columns other
+    than doc_id, item_id and text are not looked at. Windows and hits are broadcast only while they are few (``most_broadcast`` rows, checked); beyond it the joins shuffle.
     """
     windows, held = benchmark_windows(benchmark, width, k)
     windows, held = C.cut(windows), C.cut(held.select("window", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")))
@@ -73,29 +77,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
     tokens = F.col("_words")
     marks = [C.let(C.grams(tokens, k), lambda h: _minima(h, width - k + 1)), *[_short(tokens, m) for m in shorts]]
     own = docs.select("doc_id", F.xxhash64("text").alias("body"), item_words(F.col("text")).alias("_words"))
-    # one row of each document without a fingerprint tells its length; the others look for the items
-    scanned = own.select("doc_id", "body", F.size(tokens).cast("bigint").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct(F.concat(*marks)))).alias("mark"))
-    prints = windows.select(F.col("fp").alias("_fp")).distinct()
-    seen = C.cut(scanned.join(near(prints), F.col("mark") == F.col("_fp"), "left").where(F.col("mark").isNull() | F.col("_fp").isNotNull()).drop("_fp"))
-
-    touched = seen.where("mark is not null").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    touched = C.cut(touched)
-    touched = F.broadcast(touched) if C.small(touched, most_broadcast) else touched
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_body"))
-    hit_docs = docs.select("doc_id", "text").join(touched, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    hit_docs = hit_docs.select("doc_id", F.xxhash64("text").alias("body"), item_words(F.col("text")).alias("_words"))
+    lengths = docs.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("bigint").alias("n_words"))
+    scanned = own.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*marks))).alias("mark"))
+    prints = windows.select(F.col("fp").alias("mark")).distinct()
+    touched = C.cut(scanned.join(near(prints), "mark", "left_semi").select("doc_id", "body").distinct())
+    some = F.broadcast(touched) if C.small(touched, most_broadcast) else touched
+    texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.body") == F.col(f"{b}.body"))
+    hit_docs = texts.alias("a").join(some.alias("b"), same("a", "b"), "left_semi").dropDuplicates(["doc_id", "text"])
+    hit_docs = C.cut(hit_docs.select("doc_id", "body", item_words(F.col("text")).alias("_words")))
+    # places of fingerprints meet the windows without the words of the document; these come back once for all its hits
     placed = lambda hashes, m: F.transform(hashes, lambda h, i: F.struct(h.alias("fp"), i.alias("at"), F.lit(m).alias("m")))
     places = F.concat(placed(C.grams(tokens, k), width), *[placed(_short(tokens, m), m) for m in shorts])
-    laid = hit_docs.withColumn("_n", F.size(tokens)).withColumn("_p", F.explode(places)).select("doc_id", "body", "_words", "_p.*")
-    met = laid.join(near(windows.withColumnRenamed("words", "_item")), ["fp"]).where(F.col("n") == F.col("m"))
-    start = F.col("at") - F.col("off")
-    exact = met.where((start >= 0) & (F.slice("_words", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("_item"))).select("doc_id", "body", start.alias("s"), "n", "window")
-    exact = C.cut(exact)
+    laid = hit_docs.select("doc_id", "body", F.explode(places).alias("p")).select("doc_id", "body", "p.*")
+    met = laid.join(near(windows), "fp").where((F.col("n") == F.col("m")) & (F.col("at") >= F.col("off")))
+    spot = F.struct((F.col("at") - F.col("off")).alias("s"), "n", "window", F.col("words").alias("item"))
+    by_doc = met.groupBy("doc_id", "body").agg(F.collect_set(spot).alias("spots"))
+    whole = hit_docs.alias("a").join(by_doc.alias("b"), same("a", "b")).select("a.doc_id", "a.body", "_words", "spots")
+    equal = F.filter("spots", lambda x: F.slice(tokens, x["s"] + 1, x["n"]) == x["item"])
+    exact = C.cut(whole.select("doc_id", "body", F.explode(equal).alias("x")).select("doc_id", "body", "x.s", "x.n", "x.window"))
     spots = exact.select("doc_id", "body", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("w")).distinct().groupBy("doc_id", "body").agg(F.count("*").alias("n_hit"))
     names = exact.select("doc_id", "body", "window").distinct().join(near(held), "window").select("doc_id", "body", "item").distinct().groupBy("doc_id", "body").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = spots.alias("a").join(names.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.body") == F.col("b.body"))).select(F.col("a.doc_id").alias("_id"), F.col("a.body").alias("_body"), "n_hit", "items")
-    rows = seen.where("mark is null").drop("mark")
-    out = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["body"] == F.col("_body")), "left")
+    found = C.cut(spots.alias("a").join(names.alias("b"), same("a", "b")).select("a.doc_id", "a.body", "n_hit", "items"))
+    C.drop(touched, hit_docs, exact)
+    few_hits = F.broadcast(found) if found.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0] <= most_broadcast else found
+    out = lengths.alias("a").join(few_hits.alias("b"), same("a", "b"), "left").select("a.doc_id", "a.body", "n_words", "n_hit", "items")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id",
