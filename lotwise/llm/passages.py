@@ -61,6 +61,11 @@ def later(windows: DataFrame) -> DataFrame:
     return late.select("id", F.shiftright("spot", 32).cast("int").alias("body"), F.col("spot").bitwiseAND(0xFFFFFFFF).alias("start"))
 
 
+def few(table: DataFrame, array: str, most: int) -> bool:
+    """True if the rows of a cut table and the items of its array column are at most ``most`` together, so that it may be broadcast."""
+    return sum(table.agg(F.count("*"), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()) <= most
+
+
 def gathered(parts: DataFrame) -> DataFrame:
     """(id, body, lo, hi): of each document the word ranges (id, body, lo, hi) as two arrays."""
     both = parts.distinct().groupBy("id", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("p"))
@@ -120,8 +125,7 @@ def settle(docs: DataFrame, spans: DataFrame, touched: Callable, width: int, tex
                         row |= finished(text, n, mask)
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in full.names} for r in done], full)
 
-    size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("lo")), F.lit(0))).first()
-    if sum(size) <= most_broadcast:
+    if few(spans, "lo", most_broadcast):
         met = docs.join(F.broadcast(spans), ["id", "body"], "left")
     else:
         met = docs.mapInArrow(first_pass, SLIM).join(spans, ["id", "body"], "left")

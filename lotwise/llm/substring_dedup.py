@@ -1,9 +1,10 @@
 """Substring dedup with a count-min prefilter.
 
-Every window of ``width`` words is counted under the least-hashed half-length part inside it; equal windows share that part, so the
-part's count is never below the window's. Each task sketches its share of the documents (``depth`` rows of counters, sent as sparse
-blocks), the blocks are merged, and only the bits "counted twice or more" of the merged sketch go to all tasks. A second pass
-emits the windows estimated as repeated and groups them exactly; a window that the sketch lets through by mistake finds no partner there.
+A window of ``width`` words is counted under the least-hashed half-length part inside it; equal windows share that part. Each task sketches its share of the documents: for
+each of ``depth`` hash functions the counts of the cells that its parts fall into, runs of windows with the same part counting once. The sketches are merged by adding
+cells, as a table dealt over the cluster by cell, so no task and not the driver ever holds a whole sketch. A part's estimate is the least of its cells' counts: never
+below the number of its runs, so a window that stands in two documents is never missed. A second pass emits the windows whose part is estimated repeated and groups them exactly; a window that the
+sketch lets through by mistake finds no partner there.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,108 +20,100 @@ from lotwise.llm import common as C
 from lotwise.llm import passages as P
 from lotwise.llm import textnp as T
 
-_FLUSH = 1 << 21
+_FLUSH = 1 << 20
 
 
 def _cells(values: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return T.mix(values + np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> np.uint64(64 - bits)
+    """Cell numbers of a hash function; those of different functions differ."""
+    cell = T.mix(values + np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (2**64 - 1))) >> np.uint64(64 - bits)
+    return cell | np.uint64(row << bits)
 
 
-def _fresh(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Values without those equal to the one before in the same document."""
+def _runs(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts under which the windows of each text are counted, without those equal to the one before, and the text of each."""
+    values, _, bounds = T.sampled(hashes, first, width)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(bounds))
     new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    new[bounds[:-1][bounds[:-1] < len(values)]] = True
-    return values[new]
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], owner[new]
 
 
-def sketch(docs: DataFrame, width: int, bits: int, depth: int = 2, block_bits: int = 16) -> list[np.ndarray]:
-    """For each row of the merged sketch, packed bits: its cell was counted twice or more. Of a size set by ``bits`` alone."""
-    block_bits = min(block_bits, bits)
-
-    def blocks(values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for row in range(depth):
-            cells, counts = np.unique(_cells(values, row, bits), return_counts=True)
-            owner = cells >> np.uint64(block_bits)
-            edges = np.concatenate([np.flatnonzero(np.diff(owner, prepend=owner[:1] + np.uint64(1))), [len(cells)]])
-            keys = [row << (bits - block_bits) | int(owner[a]) for a in edges[:-1]]
-            low = (cells & np.uint64((1 << block_bits) - 1)).astype(np.uint32)
-            many = np.minimum(counts, 255).astype(np.uint8)
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()), pa.array([many[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary())], ["block", "cells", "counts"])
+def sketch(docs: DataFrame, width: int, bits: int, depth: int = 2) -> DataFrame:
+    """(cell, n): the merged sketch; cells without a count are left out."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            values = np.concatenate(held)
+            cells, counts = np.unique(np.concatenate([_cells(values, row, bits) for row in range(depth)]), return_counts=True)
+            return pa.record_batch([cells.view(np.int64), counts], ["cell", "n"])
+
         for batch in batches:
             for _, w in T.rows(batch):
-                values, _, bounds = T.sampled(w.hashes(), w.first, width)
-                held.append(_fresh(values, bounds))
+                held.append(_runs(w.hashes(), w.first, width)[0])
                 n += len(held[-1])
                 if n >= _FLUSH:
-                    yield from blocks(np.concatenate(held))
+                    yield out()
                     held, n = [], 0
         if n:
-            yield from blocks(np.concatenate(held))
+            yield out()
+
+    return docs.select("text").mapInArrow(part, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
-    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << block_bits, np.uint32)
-        for cells, counts in zip(group["cells"], group["counts"]):
-            total[np.frombuffer(cells, np.uint32)] += np.frombuffer(counts, np.uint8)
-        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()]})
 
-    merged = docs.mapInArrow(part, "block long, cells binary, counts binary").groupBy("block").applyInPandas(merge, "block long, bits binary")
-    rows = [np.zeros(max(1, 1 << bits >> 3), np.uint8) for _ in range(depth)]
-    step, per_row = max(1, 1 << block_bits >> 3), bits - block_bits
-    for got in merged.toLocalIterator():
-        at = (got["block"] & ((1 << per_row) - 1)) * step
-        rows[got["block"] >> per_row][at : at + step] = np.frombuffer(got["bits"], np.uint8)
-    return rows
+def estimated_repeated(docs: DataFrame, width: int, bits: int, depth: int = 2) -> DataFrame:
+    """(id, body, parts): of each document the parts whose estimate is two or more."""
+    crowded = C.cut(sketch(docs, width, bits, depth).where("n > 1").select("cell"))
 
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, w in T.rows(batch):
+                values, owner = _runs(w.hashes(), w.first, width)
+                ids = [rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("id", "body")]
+                yield pa.record_batch([values.view(np.int64), *[_cells(values, row, bits).view(np.int64) for row in range(depth)], *ids], ["part", *[f"c{row}" for row in range(depth)], "id", "body"])
 
-def _repeated(values: np.ndarray, rows: list[np.ndarray], bits: int) -> np.ndarray:
-    ok = np.ones(len(values), bool)
-    for i, row in enumerate(rows):
-        cells = _cells(values, i, bits)
-        ok &= (row[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return ok
+    found = docs.select("id", "body", "text").mapInArrow(probes, f"part long, {''.join(f'c{row} long, ' for row in range(depth))}id long, body int")
+    for row in range(depth):
+        found = found.join(crowded.withColumnRenamed("cell", f"c{row}"), f"c{row}", "left_semi").drop(f"c{row}")
+    return found.groupBy("id", "body").agg(F.collect_set("part").alias("parts"))
 
 
-def sketch_bits(docs: DataFrame, width: int, most_bits: int) -> int:
-    """Cells of a sketch row, as a power of two: about eight for each sampled part, up to ``most_bits``."""
+def sketch_bits(docs: DataFrame, width: int) -> int:
+    """Cells of a hash function, as a power of two: about eight for each sampled part."""
     n = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return int(min(most_bits, max(16, np.ceil(np.log2(8 * (n / 6) / (width / 4) + 1)))))
+    return int(min(48, max(16, np.ceil(np.log2(8 * (n / 6) / (width / 4) + 1)))))
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, most_bits: int = 30, most_broadcast: int = 2_000_000, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 50, bits: int | None = None, most_broadcast: int = 2_000_000, texts: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (null unless ``texts``), kept_sha256, spans (word ranges removed).
 
     A word is removed if a window of ``width`` words over it also starts in a document with a smaller doc_id, judged on the input. Null and empty texts
     have no words and stay as empty texts. Rows of one id and different texts are judged apart and never against each other; repeated rows give repeated
-    results. A null id counts as larger than all others. ``most_bits`` bounds the sketch (2 rows of 2**most_bits bits in each task); a larger corpus fills it more, which lets more windows into
+    results. A null id counts as larger than all others. Of equal windows (ties) those of the smallest id stay. Very long texts are worked on whole. An empty table gives an
+    empty result. Columns other than doc_id and text are not looked at, whatever their names. ``bits``: size of the sketch (from the corpus if None); a smaller one lets more windows into
     the exact pass and changes no result.
     """
     keyed = P.keyed(docs)
-    bits = sketch_bits(keyed, width, most_bits)
     own = P.with_copies(keyed, most_broadcast)
-    seen = docs.sparkSession.sparkContext.broadcast(sketch(own.where(~F.col("copied")), width, bits))
-
-    def likely(w: T.Words, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        hashes = w.hashes()
-        values, at, bounds = T.sampled(hashes, w.first, width)
-        owner = np.repeat(np.arange(len(w.first) - 1), np.diff(bounds))
-        yes = _repeated(values, seen.value, bits) & ~part.column("copied").to_numpy(zero_copy_only=False)[owner]
-        return hashes, at[yes], owner[yes], yes
+    fresh = own.where(~F.col("copied")).select("id", "body", "text")
+    repeated = C.cut(estimated_repeated(fresh, width, bits or sketch_bits(keyed, width)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, w in T.rows(batch):
-                hashes, at, owner, _ = likely(w, part)
-                yield P.window_rows(part, hashes, w.first, at, owner, width)
-
-    def touched(part: pa.RecordBatch, w: T.Words) -> np.ndarray:
-        mask = np.zeros(part.num_rows, bool)
-        mask[likely(w, part)[2]] = True
-        return mask
-
-    late = P.later(own.mapInArrow(emit, P.WINDOWS))
+                hashes = w.hashes()
+                values, at, bounds = T.sampled(hashes, w.first, width)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                yes = np.zeros(len(values), bool)
+                for i, parts in enumerate(part.column("parts")):
+                    mine = slice(bounds[i], bounds[i + 1])
+                    yes[mine] = np.isin(values[mine], parts.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                yield P.window_rows(part, hashes, w.first, at[yes], owner[yes], width)
+
+    near = F.broadcast(repeated) if P.few(repeated, "parts", most_broadcast) else repeated
+    windows = C.cut(fresh.join(near, ["id", "body"]).mapInArrow(emit, P.WINDOWS))
+    late = P.later(windows)
     spans = C.cut(P.gathered(late.select("id", "body", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))))
-    return P.settle(own, spans, touched, width, texts, most_broadcast)
+    C.drop(repeated, windows)
+    return P.settle(own, spans, lambda part, w: w.counts >= width, width, texts, most_broadcast)
