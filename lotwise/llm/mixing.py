@@ -167,14 +167,15 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), targets: dict[str, Dat
     """All columns of ``docs`` and topic (unless there), n_tokens, probability, kept.
 
     Null dimensions count as the value "". A document without words has no tokens, does not weigh and is not kept. The draw depends on doc_id and text alone: repeated rows
-    are kept or dropped together. Input columns n_tokens, probability and kept are replaced. Targets given must name every value; cells of a value without a target
+    are kept or dropped together. Input columns n_tokens, probability and kept are replaced, all others pass whatever their names. Very long texts weigh by all their words. A draw
+    that equals the probability (a tie) is not kept. An empty table gives an empty result. Targets given must name every value; cells of a value without a target
     are dropped, as their weight is 0.
     """
     own = docs.drop("n_tokens", "probability", "kept").withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("bigint"))
     own = own if "topic" in docs.columns else own.withColumn("topic", topic_of(F.col("text")))
-    keys = {f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS}
-    own = own.withColumns(keys)
-    cells = C.cut(own.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
+    names = dict(zip(DIMENSIONS, C.fresh(own, *[f"cell_{d}" for d in DIMENSIONS])))
+    own = own.withColumns({names[d]: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS})
+    cells = C.cut(own.groupBy(*[F.col(names[d]).alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     goals = {d: (targets or {}).get(d) for d in DIMENSIONS}
     goals = {d: t if t is not None else tempered_targets(cells, d, params.temper) for d, t in goals.items()}
     goals = goals_of(cells, goals)
@@ -182,9 +183,9 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), targets: dict[str, Dat
     chances, off = probabilities(ArrayCells(cells, goals) if few else FrameCells(cells, goals), params)
     if off > params.tolerance:
         warnings.warn(f"mixture: targets missed by up to {off:.2g} of their value after {params.most_rounds} rounds", stacklevel=2)
-    chances = C.cut(chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability"))
+    chances = C.cut(chances.select(*[F.col(d).alias(names[d]) for d in DIMENSIONS], "probability"))
     chances = F.broadcast(chances) if C.small(chances, params.most_broadcast) else chances
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(params.seed), "doc_id", "text"), 11) / float(2**53)
-    out = own.join(chances, list(keys), "left").drop(*keys)
+    out = own.join(chances, list(names.values()), "left").drop(*names.values())
     chance = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     return out.withColumn("probability", chance).withColumn("kept", draw < F.col("probability"))
