@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = FLAT / (2 - FLAT)
 _RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_FORWARD = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3)
-_BACK = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, _N**2 / 48 + _N**3 / 15, 17 / 480 * _N**3)
-_LAT = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+#: Coefficients of Krueger's series in the third flattening, to the fourth order.
+_FORWARD = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3 + 41 / 180 * _N**4, 13 / 48 * _N**2 - 3 / 5 * _N**3 + 557 / 1440 * _N**4, 61 / 240 * _N**3 - 103 / 140 * _N**4, 49561 / 161280 * _N**4)
+_BACK = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 / 1440 * _N**4, 17 / 480 * _N**3 - 37 / 840 * _N**4, 4397 / 161280 * _N**4)
+_LAT = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4, 7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4, 56 / 15 * _N**3 - 136 / 35 * _N**4, 4279 / 630 * _N**4)
 _ECC = 2 * _N**0.5 / (1 + _N)
 
 
@@ -21,6 +22,11 @@ def _sum(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def once(value: Column, body) -> Column:
+    """``body(x)`` with ``x`` bound to ``value``, which is evaluated once per row however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.pmod(F.floor((lon + 180.0) / 6.0), F.lit(60)) + 1).cast("int")
 
@@ -30,7 +36,7 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 
 def utm_xy(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
-    """Easting and northing in a UTM zone, by the Krueger series to the third order."""
+    """Easting and northing in a UTM zone, by the Krueger series to the fourth order."""
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     s = F.sin(phi)
     t = F.sinh(F.atanh(s) - _ECC * F.atanh(_ECC * s))
@@ -94,6 +100,64 @@ def boxes_overlap(a: tuple, b: tuple) -> Column:
     return F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
 
 
+def rounded_ring(ring: Column, digits: int = 6) -> Column:
+    return F.transform(ring, lambda p: F.struct(F.bround(p["x"], digits).alias("x"), F.bround(p["y"], digits).alias("y")))
+
+
+def projected(ring: Column, zone: Column) -> Column:
+    """A ring of degrees in metres of a UTM zone."""
+
+    def point(p: Column) -> Column:
+        x, y = utm_xy(p["x"], p["y"], zone)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, point)
+
+
+def ring_m2(ring: Column) -> Column:
+    """Square metres of a ring of degrees, by the UTM zone of its centre."""
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    zone = utm_zone((F.array_min(xs) + F.array_max(xs)) / 2)
+    return F.when(F.size(ring) < 3, 0.0).otherwise(once(projected(ring, zone), ring_area))
+
+
+def clipped(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The part of a ring inside a box, one side of the box after the other; exact for convex rings, and its area is for all."""
+
+    def cut(points: Column, inside, cross) -> Column:
+        n = F.size(points)
+
+        def step(q: Column, i: Column) -> Column:
+            p = F.get(points, (i + n - 1) % n)
+            return F.filter(F.array(F.when(inside(p) != inside(q), cross(p, q)), F.when(inside(q), q)), lambda v: v.isNotNull())
+
+        return F.flatten(F.transform(points, step))
+
+    halved = lambda f, inside, cross: lambda points: f(points, inside, cross)
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    at_x = lambda x: lambda p, q: point(x, p["y"] + (q["y"] - p["y"]) * (x - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0)))
+    at_y = lambda y: lambda p, q: point(p["x"] + (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)), y)
+    for inside, cross in ((lambda p: p["x"] >= x0, at_x(x0)), (lambda p: p["x"] <= x1, at_x(x1)), (lambda p: p["y"] >= y0, at_y(y0)), (lambda p: p["y"] <= y1, at_y(y1))):
+        ring = once(ring, halved(cut, inside, cross))
+    return ring
+
+
+def grid(w: Column, s: Column, e: Column, n: Column, gsd: Column) -> dict[str, Column]:
+    """The north-up pixel grid over a box of degrees in its UTM zone: epsg, left, bottom, right, top in metres on whole pixels, width and height in pixels."""
+    zone = utm_zone((w + e) / 2)
+    corners = [utm_xy(x, y, zone) for x, y in ((w, s), (w, n), (e, s), (e, n))]
+    left, right = F.floor(F.least(*[c[0] for c in corners]) / gsd) * gsd, F.ceil(F.greatest(*[c[0] for c in corners]) / gsd) * gsd
+    bottom, top = F.floor(F.least(*[c[1] for c in corners]) / gsd) * gsd, F.ceil(F.greatest(*[c[1] for c in corners]) / gsd) * gsd
+    cells = lambda a, b: F.greatest(F.lit(1), F.rint((b - a) / gsd).cast("int"))
+    return {"epsg": utm_epsg((w + e) / 2, (s + n) / 2), "left": left, "bottom": bottom, "right": right, "top": top, "width": cells(left, right), "height": cells(bottom, top)}
+
+
+def grid_degrees(left: Column, bottom: Column, right: Column, top: Column, zone: Column) -> tuple[Column, ...]:
+    """west, south, east, north of a grid's bounds."""
+    corners = [utm_lonlat(x, y, zone) for x, y in ((left, bottom), (left, top), (right, bottom), (right, top))]
+    return F.least(*[c[0] for c in corners]), F.least(*[c[1] for c in corners]), F.greatest(*[c[0] for c in corners]), F.greatest(*[c[1] for c in corners])
+
+
 def parse_bbox(given: str | list[float] | tuple[float, ...]) -> tuple[float, float, float, float]:
     """west, south, east, north from text or numbers; reversed ends are swapped."""
     parts = [float(x) for x in (given.split(",") if isinstance(given, str) else given)]

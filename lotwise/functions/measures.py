@@ -33,7 +33,7 @@ def brightness(blue: Column, green: Column, red: Column) -> Column:
 def damage_class(score: Column, detector: Detector = Detector()) -> Column:
     """Null and not-a-number are none."""
     out = F.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), CLASSES[0])
-    for limit, name in zip(detector.breaks, CLASSES):
+    for limit, name in zip(detector.class_breaks, CLASSES):
         out = out.when(score < limit, name)
     return out.otherwise(CLASSES[-1])
 

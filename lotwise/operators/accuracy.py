@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators.quantiles import quantiles
+
 
 def binary(pairs: DataFrame) -> DataFrame:
     """Counts and rates of boolean truth against boolean pred; rates without a denominator are 0."""
@@ -38,4 +40,11 @@ def best(swept: DataFrame) -> DataFrame:
 
 
 def quantiles_by(scores: DataFrame, state: str, qs: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    return scores.groupBy(state).agg(*[F.percentile("score", q).alias(f"p{round(100 * q)}") for q in qs], F.count("*").alias("n"))
+    """Quantiles of the score and counts by state; states are few."""
+    found = quantiles(scores, {"score": F.col("score")}, qs, F.col(state))
+    groups = list(dict.fromkeys(g for g, _, _ in found))
+    kind = dict(scores.dtypes)[state]
+    rows = [(g, *[float(found[g, "score", q]) for q in qs]) for g in groups]
+    table = scores.sparkSession.createDataFrame(rows, f"g {kind}, " + ", ".join(f"p{round(100 * q)} double" for q in qs))
+    counts = scores.groupBy(F.col(state)).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(table), F.col(state).eqNullSafe(F.col("g")), "left").select(state, *[f"p{round(100 * q)}" for q in qs], "n")

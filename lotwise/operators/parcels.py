@@ -59,6 +59,15 @@ def in_box(parcels: DataFrame, box: tuple[float, float, float, float], limit: in
     return found.limit(limit) if limit else found
 
 
+def meeting(boxes: DataFrame, parcels: DataFrame, size: float = TILE) -> DataFrame:
+    """Boxes (x0, y0, x1, y1) joined with the parcels (id) whose bounds they meet, by the tiles that both touch; a pair that meets in several tiles counts once."""
+    left = boxes.withColumn("tile", F.explode(tiles_of(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)))
+    right = parcels.select("id", "minx", "miny", "maxx", "maxy", F.explode(tiles_of(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"), size)).alias("tile"))
+    own = tile_of(F.greatest("x0", "minx"), F.greatest("y0", "miny"), size) == F.col("tile")  # the tile of the corner of what they share
+    met = geo.boxes_meet(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.col(c) for c in ("minx", "miny", "maxx", "maxy")))
+    return left.join(right, "tile").where(met & own).drop("tile")
+
+
 def in_ring(parcels: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
     """Parcels whose centre lies in a polygon."""
     xs, ys = [p[0] for p in ring], [p[1] for p in ring]
@@ -79,18 +88,32 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "id", order: str = "o
 
 
 def write(parcels: DataFrame, path: str) -> None:
-    """Stores parcels by tile."""
-    with_tile(parcels).write.mode("overwrite").partitionBy("tile").parquet(path)
+    """Stores parcels by the tile of their corner; one that is larger than a tile goes to a folder of its own that every search reads."""
+    wide = (F.col("maxx") - F.col("minx") > TILE) | (F.col("maxy") - F.col("miny") > TILE)
+    tile = F.when(wide, F.lit("wide")).otherwise(tile_of(F.col("minx"), F.col("miny")))
+    parcels.withColumn("tile", tile).write.mode("overwrite").partitionBy("tile").parquet(path)
 
 
-def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], largest: float = TILE) -> DataFrame:
-    """Stored parcels that meet a box; only the tiles around it are listed and read. ``largest``: the widest parcel."""
+def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Stored parcels that meet a box; only the tiles around it are listed and read."""
     w, s, e, n = box
-    span = lambda a, b: range(int((a - largest) // TILE), int(b // TILE) + 1)
+    span = lambda a, b: range(int((a - TILE) // TILE), int(b // TILE) + 1)
     tiles = [f"{i}_{j}" for i in span(w, e) for j in span(s, n)]
-    return candidates(spark.read.parquet(path).where(F.col("tile").isin(tiles)), box)
+    return candidates(spark.read.parquet(path).where(F.col("tile").isin(["wide", *tiles])), box)
 
 
 def set_meta(meta: DataFrame, key: str, value: Column) -> DataFrame:
-    row = meta.sparkSession.range(1).select(F.lit(key).alias("key"), F.to_json(F.struct(value.alias("v"))).alias("value"))
+    """``meta`` (key, value as JSON) with one value set."""
+    row = meta.sparkSession.range(1).select(F.lit(key).alias("key"), F.to_json(F.struct(value.alias("v"))).alias("text"))
+    row = row.select("key", F.expr("substring(text, 6, length(text) - 6)").alias("value"))  # the value of {"v":...}
     return meta.where(F.col("key") != key).unionByName(row)
+
+
+def get_meta(meta: DataFrame, key: str) -> str | None:
+    """The JSON text of a key; null if it is not set."""
+    row = meta.where(F.col("key") == key).select("value").first()
+    return row["value"] if row else None
+
+
+def all_meta(meta: DataFrame) -> DataFrame:
+    return meta.select("key", "value").orderBy("key")

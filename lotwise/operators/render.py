@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.measures import clip
+from lotwise.operators.quantiles import quantiles
 
 
 def stretched(pixels: DataFrame, bands: list[str], valid: str, low: float = 0.02, high: float = 0.98, gamma: float = 1.35) -> DataFrame:
     """``bands`` as 0-255 between two percentiles pooled over all of them; invalid pixels black."""
-    pooled = pixels.where(F.col(valid)).select(F.explode(F.array(*bands)).alias("v")).agg(F.percentile("v", low).alias("lo"), F.percentile("v", high).alias("hi"))
-    out = pixels.crossJoin(F.broadcast(pooled))
-    level = lambda b: F.pow(clip((F.col(b) - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)), 0.0, 1.0), 1 / gamma)
-    return out.withColumns({b: F.when(F.col(valid), F.bround(level(b) * 255, 0).cast("int")).otherwise(0) for b in bands}).drop("lo", "hi")
+    pooled = quantiles(pixels.where(F.col(valid)).select(F.explode(F.array(*bands)).alias("v")), {"v": F.col("v")}, (low, high))
+    lo, hi = (pooled.get((None, "v", q)) for q in (low, high))
+    if lo is None:
+        return pixels.withColumns({b: F.lit(0) for b in bands})
+    level = lambda b: F.pow(clip((F.col(b) - lo) / max(hi - lo, 1e-6), 0.0, 1.0), 1 / gamma)
+    return pixels.withColumns({b: F.when(F.col(valid), F.bround(level(b) * 255, 0).cast("int")).otherwise(0) for b in bands})
 
 
 def score_byte(score):

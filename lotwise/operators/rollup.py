@@ -30,22 +30,24 @@ def parcel_stats(change: DataFrame, detector: Detector = Detector()) -> DataFram
             F.avg(used(F.col("score"))).alias("score"),
             F.avg(used(F.col("flooded"))).alias("flooded"),
             F.avg(used(F.col("vegetation_loss"))).alias("veg_loss"),
-            F.avg(used(F.col("score") >= detector.breaks[1])).alias("changed"),
+            F.avg(used(F.col("score") >= detector.class_breaks[1])).alias("changed"),
         )
     )
 
 
-def structure_scores(change: DataFrame, structures: DataFrame, gsd: float, detector: Detector = Detector(), keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per structure: score, damage class, pixels, confidence. Approximate structures of a parcel share its zone: the strongest patch of the size of the
-    largest of them, else the 75th percentile, else the mean."""
-    per = structures.groupBy("parcel_id").agg(F.max("area_m2").alias("built"))
-    sizes = per.select(F.col("parcel_id").alias("zone"), M.focus_size(F.col("built"), F.lit(gsd)).alias("size"))
-    core = change.where("zone > 0")
-    stats = zonal.stats(core, LAYERS)
-    p75 = zonal.nearest_rank(core, "score", 0.75, "score_p75")
-    focus = focus_scores(change, sizes, keys=keys)
-    zones = stats.join(p75, "zone", "left").join(focus, "zone", "left")
-    joined = structures.join(zones.withColumnRenamed("zone", "parcel_id"), "parcel_id", "left")
+def structure_scores(change: DataFrame, structures: DataFrame, gsd: float, detector: Detector = Detector(), keys: tuple[str, ...] = (), zone: str = "structure_zone") -> DataFrame:
+    """Per structure: score, damage class, pixels, confidence. ``structures`` has the ``zone`` that each is scored on, and the pixels name it in the column ``zone`` of this call.
+
+    A mapped structure's score is the 75th percentile of its own zone, or the mean where that is of under four pixels. Approximate structures of a parcel share a zone: the strongest patch of the
+    size of the largest of them counts.
+    """
+    core = change.where(F.col(zone) > 0)
+    stats = zonal.stats(core, LAYERS, zone).withColumnRenamed(zone, "zone")
+    p75 = zonal.nearest_rank(core, "score", 0.75, "score_p75", zone).withColumnRenamed(zone, "zone")
+    zones = stats.join(p75, "zone", "left")
+    sizes = structures.where("approximate").groupBy("zone").agg(M.focus_size(F.max("area_m2"), F.lit(gsd)).alias("size"))
+    focus = focus_scores(change.withColumn("_zone", F.col(zone)), sizes.withColumnRenamed("zone", "_zone"), zone="_zone", keys=keys)
+    joined = structures.join(zones, "zone", "left").join(focus.withColumnRenamed("_zone", "zone"), "zone", "left")
     usual = F.when(F.col("pixels") >= 4, F.col("score_p75")).otherwise(F.col("score_mean"))
     score = F.when(F.col("approximate"), F.coalesce("focus", usual)).otherwise(usual)
     pixels = F.coalesce("pixels", F.lit(0))
@@ -66,6 +68,7 @@ def parcel_rollup(parcels: DataFrame, scored: DataFrame, stats: DataFrame, detec
         F.sum(area * _factor(kind)).alias("_lost"),
         F.sum(area).alias("_area"),
         F.min("approximate").alias("_all_approximate"),
+        F.max("approximate").alias("_any_approximate"),
     )
     joined = parcels.join(counted.withColumnRenamed("parcel_id", "id"), "id", "left").join(stats.withColumnRenamed("zone", "id"), "id", "left")
     own = M.class_rank(M.damage_class(F.col("score"), detector))
@@ -76,6 +79,7 @@ def parcel_rollup(parcels: DataFrame, scored: DataFrame, stats: DataFrame, detec
         "id", "address", "pin", "parid", "owner", "subdivision", "apr_bldg", zero("structures"), *[zero(f"n_{c}") for c in CLASSES], F.element_at(F.array(*[F.lit(c) for c in CLASSES]), rank + 1).alias("worst_class"), rank.alias("worst_rank"),
         F.col("score").alias("parcel_score"), F.col("flooded").alias("flooded_fraction"), F.col("veg_loss").alias("vegetation_loss_fraction"), (F.col("changed") * F.col("area_m2")).alias("changed_area_m2"),
         loss.alias("estimated_loss"), F.coalesce("pixels", F.lit(0)).alias("pixels"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("_all_approximate", F.lit(False)).alias("approximate_only"),
+        F.coalesce("_any_approximate", F.lit(False)).alias("any_approximate"),
     )
 
 

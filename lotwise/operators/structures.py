@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import geo
 from lotwise.functions import measures as M
 from lotwise.operators.parcels import tiles_of
-from lotwise.params import SQFT_TO_M2
+from lotwise.params import CORE_AREA_FACTOR, CORE_INSET_M, CORE_MIN_RADIUS_M, LARGE_PARCEL_M2, SQFT_TO_M2
 
 ASPECT = 1.35
 
@@ -56,6 +56,43 @@ def overlapping(footprints: DataFrame, parcels: DataFrame, size: float = 0.01) -
     return footprints.join(best, "fid", "left")
 
 
+def developed_core(lots: DataFrame, gsd: float = 1.0) -> DataFrame:
+    """Where the structures of a lot plausibly sit. ``lots``: box (x0, y0, x1, y1) in pixels of ``gsd`` metres and built_m2. Adds ring (the lot pulled back from its
+    edge, or all of it where little would be left) and, on large lots, a disc (cx, cy, radius in pixels) around its centre that the core is cut to."""
+    inset = CORE_INSET_M / gsd
+    inner = (F.col("x1") - F.col("x0") - 2 * inset, F.col("y1") - F.col("y0") - 2 * inset)
+    lot = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    whole = (inner[0] <= 0) | (inner[1] <= 0) | (inner[0] * inner[1] < 0.15 * lot)
+    by = F.when(whole, 0.0).otherwise(inset)
+    large = lot * gsd * gsd > LARGE_PARCEL_M2
+    radius = F.greatest(F.lit(CORE_MIN_RADIUS_M), F.sqrt(F.greatest(F.coalesce("built_m2", F.lit(0.0)), F.lit(40.0)) * CORE_AREA_FACTOR)) / gsd
+    return lots.withColumns(
+        {
+            "ring": geo.box_ring(F.col("x0") + by, F.col("y0") + by, F.col("x1") - by, F.col("y1") - by),
+            "cx": F.when(large, (F.col("x0") + F.col("x1")) / 2),
+            "cy": F.when(large, (F.col("y0") + F.col("y1")) / 2),
+            "radius": F.when(large, radius),
+        }
+    )
+
+
+def with_zone(structures: DataFrame) -> DataFrame:
+    """``structures`` with the zone that each is scored on: a mapped one has its own, the approximate ones of a parcel share one."""
+    own = F.when(F.col("approximate"), F.xxhash64("parcel_id")).otherwise(F.xxhash64("parcel_id", F.col("id").cast("string")))
+    return structures.withColumn("zone", F.pmod(own, F.lit(2**62)) + 1)
+
+
+def zones(structures: DataFrame, lots: DataFrame, gsd: float) -> DataFrame:
+    """(zone, ord, ring, cx, cy, radius): shapes to label in pixels. ``structures`` with zone, and ring (in pixels) for the mapped ones; ``lots``: parcel_id and box in pixels."""
+    disc = [F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")]
+    rank = F.struct(F.col("parcel_id").cast("bigint").alias("parcel"), F.col("approximate").alias("shared"), F.col("ord").cast("bigint").alias("ord")).alias("ord")
+    guessed = structures.where("approximate").groupBy("parcel_id", "zone").agg(F.sum("area_m2").alias("built_m2"), F.lit(True).alias("approximate"), F.max("ord").alias("ord"))
+    shared = developed_core(guessed.join(lots, "parcel_id"), gsd).select("zone", rank, "ring", "cx", "cy", "radius")
+    if "ring" not in structures.columns:
+        return shared
+    return structures.where(~F.col("approximate") & F.col("ring").isNotNull()).select("zone", rank, "ring", *disc).unionByName(shared)
+
+
 def choose_source(n_mapped: int, n_parcels: int, has_file: bool, per_hundred: float = 25.0) -> str:
     """Which structures to use: a footprint file, the mapped footprints if there are enough of them, else the tax roll."""
     if has_file:

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import geo
 
+#: Parts of a zone's range that its pixels are counted in before they are sorted.
+PARTS = 64
+
 
 def label_rings(zones: DataFrame, all_touched: bool = False) -> DataFrame:
     """(row, col, zone) from rings in pixel coordinates: pixels whose centre lies in the ring, or that the ring touches at all.
 
-    ``zones`` has (zone, ord, ring). Candidates are made per zone from its bounds; of several zones on a pixel the one with the largest ``ord`` stays.
+    ``zones`` has (zone, ord, ring), and (cx, cy, radius) where a zone is cut to a disc. Candidates are made per zone from its bounds; of several zones on a pixel the one
+    with the largest ``ord`` stays.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     whole = lambda c: F.floor(c).cast("long")
@@ -20,6 +24,9 @@ def label_rings(zones: DataFrame, all_touched: bool = False) -> DataFrame:
     inside = geo.in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("ring"))
     if all_touched:
         inside = inside | _edge_meets(F.col("ring"), F.col("col"), F.col("row"))
+    if "radius" in zones.columns:
+        away = lambda c, x: F.greatest(x - F.col(c), F.col(c) - x - 1, F.lit(0.0)) if all_touched else F.col(c) - x - 0.5
+        inside = inside & (F.col("radius").isNull() | (F.pow(away("cx", F.col("col")), F.lit(2)) + F.pow(away("cy", F.col("row")), F.lit(2)) < F.pow("radius", F.lit(2))))
     return cells.where(inside).groupBy("row", "col").agg(F.max_by("zone", "ord").alias("zone"))
 
 
@@ -52,12 +59,26 @@ def stats(pixels: DataFrame, layers: dict[str, str], zone: str = "zone", valid:
     return used.groupBy(zone).agg(F.count("*").alias("pixels"), *[mean(c).alias(n) for n, c in layers.items()])
 
 
-def nearest_rank(pixels: DataFrame, value: str, q: float, name: str, zone: str = "zone", valid: str = "valid") -> DataFrame:
-    """Per zone the value of rank rint(q * (n - 1)), without interpolation. Zones are sorted by the shuffle, so a zone of any size works."""
+def totals(pixels: DataFrame, layers: dict[str, str], zone: str = "zone", valid: str = "valid") -> DataFrame:
+    """Per zone: pixels and, for each name and layer, the sum."""
     used = pixels.where((F.col(zone) > 0) & F.col(valid))
-    w = Window.partitionBy(zone)
-    ranked = used.select(zone, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_r") == F.rint(F.lit(q) * (F.col("_n") - 1)) + 1).select(zone, F.col(value).alias(name))
+    return used.groupBy(zone).agg(F.count("*").alias("pixels"), *[F.sum(F.col(c).cast("double")).alias(n) for n, c in layers.items()])
+
+
+def nearest_rank(pixels: DataFrame, value: str, q: float, name: str, zone: str = "zone", valid: str = "valid") -> DataFrame:
+    """Per zone the value of rank rint(q * (n - 1)), without interpolation.
+
+    Zones are counted in equal parts of their range first, so only the pixels of the part that holds the rank are sorted: a zone of very many pixels stays spread over tasks until then.
+    """
+    used = pixels.where((F.col(zone) > 0) & F.col(valid)).select(F.col(zone).alias("z"), F.col(value).alias("v"))
+    range_of = used.groupBy("z").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
+    placed = used.join(range_of, "z").select("z", "v", part.alias("part"), (F.rint(F.lit(q) * (F.col("n") - 1)) + 1).alias("rank"))
+    counts = placed.groupBy("z", "part").agg(F.count("*").alias("k"), F.first("rank").alias("rank"))
+    below = F.coalesce(F.sum("k").over(Window.partitionBy("z").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = counts.withColumn("below", below).where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("k"))).select("z", "part", "below")
+    near = placed.join(wanted, ["z", "part"]).withColumn("r", F.row_number().over(Window.partitionBy("z").orderBy("v")) + F.col("below"))
+    return near.where("r = rank").select(F.col("z").alias(zone), F.col("v").alias(name))
 
 
 def for_all(zones: DataFrame, found: DataFrame, zone: str = "zone") -> DataFrame:

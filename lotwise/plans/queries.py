@@ -14,6 +14,7 @@ from lotwise.params import BANDS, CLASSES, NOT_STRUCTURES, STOREY_FACTOR
 from lotwise.plans.assessment import assess
 from lotwise.sources import files
 from lotwise.sources import testviews as V
+from lotwise.sources.tables import stored
 
 BOX = (-79.1752, 35.4790, -79.1701, 35.4822)
 GSD = 2.0
@@ -126,12 +127,12 @@ def coerce_fields(spark, d):
 
 @query(
     "upsert_replace",
-    """WITH new AS (SELECT o_custkey + 1 AS id, concat('NEW ', CAST(arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS VARCHAR)) AS owner FROM orders WHERE o_orderkey % 40 = 0 GROUP BY o_custkey)
+    """WITH new AS (SELECT o_custkey + 1 AS id, concat('NEW ', CAST(arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS VARCHAR)) AS owner FROM orders GROUP BY o_custkey)
     SELECT id, owner FROM new UNION ALL SELECT id, owner FROM parcels WHERE id NOT IN (SELECT id FROM new)""",
     ("parcels",),
 )
 def upsert_replace(spark, d):
-    new = V.table(spark, d, "orders").where("o_orderkey % 40 = 0").select((F.col("o_custkey") + 1).alias("id"), F.concat(F.lit("NEW "), F.col("o_orderkey").cast("string")).alias("owner"), F.struct("o_orderdate", "o_orderkey").alias("ord"))
+    new = V.table(spark, d, "orders").select((F.col("o_custkey") + 1).alias("id"), F.concat(F.lit("NEW "), F.col("o_orderkey").cast("string")).alias("owner"), F.struct("o_orderdate", "o_orderkey").alias("ord"))
     return parcels.upsert(V.parcels(spark, d).select("id", "owner"), new)
 
 
@@ -166,13 +167,13 @@ def utm_forward(spark, d):
     return rounded(_centres(spark, d).select("id", x.alias("x"), y.alias("y")), 4)
 
 
-@query("utm_round_trip", f"WITH {_CENTRE} SELECT id, round_even(lon, 8) AS lon, round_even(lat, 8) AS lat FROM c", ("parcels",))
+@query("utm_round_trip", f"WITH {_CENTRE} SELECT id, round_even(lon, 10) AS lon, round_even(lat, 10) AS lat FROM c", ("parcels",))
 def utm_round_trip(spark, d):
     """Forward and back gives the start."""
     x, y = geo.utm_xy(F.col("lon"), F.col("lat"), F.lit(17))
     out = _centres(spark, d).select("id", x.alias("x"), y.alias("y"))
     lon, lat = geo.utm_lonlat(F.col("x"), F.col("y"), F.lit(17))
-    return rounded(out.select("id", lon.alias("lon"), lat.alias("lat")), 8)
+    return rounded(out.select("id", lon.alias("lon"), lat.alias("lat")), 10)
 
 
 @query("utm_zone", "SELECT id, zone, CASE WHEN lat >= 0 THEN 32600 + zone ELSE 32700 + zone END AS epsg FROM (SELECT c_custkey AS id, CAST((floor(((c_custkey * 37 % 360) - 180e0 + 180e0) / 6e0) % 60) + 1 AS INTEGER) AS zone, (c_custkey * 13 % 160) - 80e0 AS lat FROM customer)")
@@ -230,9 +231,9 @@ def building_filter(spark, d):
     return V.parcels(spark, d).select("id", "ob_desc", M.is_structure(F.col("ob_desc")).alias("is_structure"))
 
 
-@query("storey_footprint", f"SELECT id, round_even({_ROOFM2}, 6) AS m2 FROM parcels WHERE dwel_sfla IS NOT NULL", ("parcels",))
+@query("storey_footprint", f"SELECT id, CASE WHEN dwel_sfla IS NOT NULL THEN round_even({_ROOFM2}, 6) END AS m2 FROM parcels", ("parcels",))
 def storey_footprint(spark, d):
-    return rounded(V.parcels(spark, d).where("dwel_sfla is not null").select("id", M.roof_m2(F.col("dwel_sfla"), F.col("dwel_desc")).alias("m2")))
+    return rounded(V.parcels(spark, d).select("id", F.when(F.col("dwel_sfla").isNotNull(), M.roof_m2(F.col("dwel_sfla"), F.col("dwel_desc"))).alias("m2")))
 
 
 _STRUCTURES = f"""h AS (SELECT id AS parcel_id, 'dwelling' AS kind, least({_ROOFM2}, greatest(20e0, area_m2 * 0.6e0)) AS area_m2, dwel_desc AS description FROM parcels WHERE coalesce(dwel_sfla, 0) > 0),
@@ -267,8 +268,8 @@ def footprint_overlap_join(spark, d):
 
 @query("source_fallback_ratio", "SELECT (SELECT count(*) FROM part) AS mapped, (SELECT count(*) FROM customer) AS parcels, CASE WHEN 100e0 * (SELECT count(*) FROM part) / (SELECT count(*) FROM customer) >= 25 THEN 'mapped' ELSE 'tax-roll' END AS source")
 def source_fallback_ratio(spark, d):
-    n = V.footprints(spark, d).agg(F.count("*").alias("mapped")).crossJoin(V.parcels(spark, d).agg(F.count("*").alias("parcels")))
-    return n.withColumn("source", F.when(100.0 * F.col("mapped") / F.col("parcels") >= 25, "mapped").otherwise("tax-roll"))
+    mapped, lots = V.footprints(spark, d).count(), V.parcels(spark, d).count()
+    return spark.createDataFrame([(mapped, lots, structures.choose_source(mapped, lots, False))], "mapped long, parcels long, source string")
 
 
 # -- zones -------------------------------------------------------------------------------------------------------------
@@ -420,7 +421,7 @@ _STABLE = f"""{_PX}, q AS (SELECT *, {_RAW} AS raw, valid AND {_index_sql("pre_n
 
 @query("stable_pixels", f"WITH {_STABLE} SELECT zone, count(*) FILTER (stable) AS stable FROM st GROUP BY zone", ("pixels",))
 def stable_pixels(spark, d):
-    return change.stable_pixels(_pixels(spark, d)).groupBy("zone").agg(F.count_if("stable").alias("stable"))
+    return change.stable_pixels(stored(_pixels(spark, d))).groupBy("zone").agg(F.count_if("stable").alias("stable"))
 
 
 def _fit_sql() -> str:
@@ -435,7 +436,7 @@ def _fit_sql() -> str:
 
 @query("ols_fit_trimmed", "WITH " + _fit_sql() + " SELECT " + ", ".join(f"round_even(gain_{b}, 6) AS gain_{b}, round_even(offset_{b}, 6) AS offset_{b}" for b in BANDS) + " FROM f3", ("pixels",))
 def ols_fit_trimmed(spark, d):
-    fits = change.band_fits(change.stable_pixels(_pixels(spark, d)))
+    fits = change.band_fits(change.stable_pixels(stored(_pixels(spark, d))))
     return rounded(spark.range(1).select(*[F.lit(v).alias(f"{k}_{b}") for b, pair in fits.items() for k, v in zip(("gain", "offset"), pair)]))
 
 
@@ -503,25 +504,25 @@ def _rollup_sql() -> str:
     # windowed means through integral sums over a clamped grid: each pixel with its neighbours, per window size in use
     parts.append("bd AS (SELECT max(\"row\") AS mr, max(col) AS mc FROM ch)")
     parts.append(
-        "nf AS (SELECT p.zone, p.\"row\", p.col, sz.size, least(greatest(p.\"row\" + dr, 0), mr) AS nr, least(greatest(p.col + dc, 0), mc) AS nc FROM ch p JOIN sz ON sz.zone = p.zone, bd, unnest(range(-(CAST(size / 2 AS BIGINT)), CAST(size / 2 AS BIGINT) + 1)) AS x(dr), unnest(range(-(CAST(size / 2 AS BIGINT)), CAST(size / 2 AS BIGINT) + 1)) AS y(dc) WHERE p.valid)".replace(
+        "nf AS (SELECT p.zone, p.\"row\", p.col, sz.size, least(greatest(p.\"row\" + dr, 0), mr) AS nr, least(greatest(p.col + dc, 0), mc) AS nc FROM ch p JOIN sz ON sz.zone = p.zone, bd, unnest(range(-(CAST(size / 2 AS BIGINT)), CAST(size / 2 AS BIGINT) + 1)) AS x(dr), unnest(range(-(CAST(size / 2 AS BIGINT)), CAST(size / 2 AS BIGINT) + 1)) AS y(dc) WHERE p.valid AND p.\"row\" % 10 BETWEEN 1 AND 7 AND p.col % 10 BETWEEN 1 AND 7)".replace(
             "CAST(size / 2 AS BIGINT)", "(size // 2)"
         )
     )
     parts.append("fm AS (SELECT nf.zone, nf.\"row\", nf.col, avg(CASE WHEN q.valid THEN q.score ELSE 0e0 END) AS t, avg(CASE WHEN q.valid THEN 1e0 ELSE 0e0 END) AS w FROM nf JOIN ch q ON q.\"row\" = nf.nr AND q.col = nf.nc GROUP BY ALL)")
     parts.append("fo AS (SELECT zone, max(CASE WHEN w > 0.15e0 THEN t / w ELSE 0e0 END) AS focus FROM fm GROUP BY zone)")
-    parts.append("zs AS (SELECT zone, count(*) AS pixels, avg(magnitude) AS magnitude FROM ch WHERE zone > 0 AND valid GROUP BY zone)")
+    parts.append("zs AS (SELECT zone, count(*) AS pixels, avg(magnitude) AS magnitude, avg(structure_loss) AS structure_loss, avg(v1 - v0) AS ndvi_delta, avg(CASE WHEN flooded THEN 1e0 ELSE 0e0 END) AS flooded FROM ch WHERE zone > 0 AND valid AND \"row\" % 10 BETWEEN 1 AND 7 AND col % 10 BETWEEN 1 AND 7 GROUP BY zone)")
     parts.append(
-        f"scored AS (SELECT s.parcel_id, s.ord, s.kind, s.area_m2, focus AS score, {_class_sql('focus')} AS damage_class, coalesce(pixels, 0) AS pixels, magnitude, CASE WHEN coalesce(pixels, 0) <= 0 THEN 'low' WHEN pixels >= 12 AND area_m2 / 4e0 >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM structures s LEFT JOIN fo ON fo.zone = parcel_id LEFT JOIN zs ON zs.zone = parcel_id)"
+        f"scored AS (SELECT s.parcel_id, s.ord, s.kind, s.area_m2, focus AS score, {_class_sql('focus')} AS damage_class, coalesce(pixels, 0) AS pixels, magnitude, zs.structure_loss, zs.ndvi_delta, zs.flooded AS flooded_fraction, s.description, CASE WHEN coalesce(pixels, 0) <= 0 THEN 'low' WHEN pixels >= 12 AND area_m2 / 4e0 >= 4 THEN 'medium' ELSE 'low' END AS confidence FROM structures s LEFT JOIN fo ON fo.zone = parcel_id LEFT JOIN zs ON zs.zone = parcel_id)"
     )
     rank = "CASE damage_class " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES)) + " END"
     factor = "CASE damage_class WHEN 'none' THEN 0e0 WHEN 'possible' THEN 0.05e0 WHEN 'moderate' THEN 0.25e0 WHEN 'severe' THEN 0.6e0 ELSE 1e0 END"
-    parts.append("ps AS (SELECT zone AS id, count(*) FILTER (valid) AS pixels, avg(CASE WHEN valid THEN 1e0 ELSE 0e0 END) AS coverage, avg(score) FILTER (valid) AS score, avg(CASE WHEN flooded THEN 1e0 ELSE 0e0 END) FILTER (valid) AS flooded, avg(CASE WHEN score >= 0.33e0 THEN 1e0 ELSE 0e0 END) FILTER (valid) AS changed FROM ch WHERE zone > 0 GROUP BY zone)")
+    parts.append("ps AS (SELECT zone AS id, count(*) FILTER (valid) AS pixels, avg(CASE WHEN valid THEN 1e0 ELSE 0e0 END) AS coverage, avg(score) FILTER (valid) AS score, avg(CASE WHEN flooded THEN 1e0 ELSE 0e0 END) FILTER (valid) AS flooded, avg(CASE WHEN vegetation_loss THEN 1e0 ELSE 0e0 END) FILTER (valid) AS veg, avg(CASE WHEN score >= 0.33e0 THEN 1e0 ELSE 0e0 END) FILTER (valid) AS changed FROM ch WHERE zone > 0 GROUP BY zone)")
     parts.append(f"sc AS (SELECT parcel_id AS id, count(*) AS structures, {', '.join(f'count(*) FILTER (damage_class = {chr(39)}{c}{chr(39)}) AS n_{c}' for c in CLASSES)}, max({rank}) AS worst, sum(area_m2 * {factor}) AS lost, sum(area_m2) AS area FROM scored GROUP BY parcel_id)")
     own = _class_sql("ps.score")
     names = "CASE worst " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLASSES)) + " END"
     zero = ", ".join(f"coalesce(n_{c}, 0) AS n_{c}" for c in CLASSES)
     parts.append(
-        f"rolled AS (SELECT p.id, coalesce(structures, 0) AS structures, {zero}, coalesce({names}, {own}) AS worst_class, ps.score AS parcel_score, ps.flooded AS flooded_fraction, changed * area_m2 AS changed_area_m2, CASE WHEN apr_bldg <> 0 AND structures IS NOT NULL THEN lost / CASE WHEN area = 0 THEN 1e0 ELSE area END * apr_bldg END AS estimated_loss, coalesce(ps.pixels, 0) AS pixels, coalesce(ps.coverage, 0e0) AS coverage FROM parcels p LEFT JOIN sc USING (id) LEFT JOIN ps USING (id))"
+        f"rolled AS (SELECT p.id, coalesce(structures, 0) AS structures, {zero}, coalesce({names}, {own}) AS worst_class, ps.score AS parcel_score, ps.flooded AS flooded_fraction, ps.veg AS vegetation_loss_fraction, changed * area_m2 AS changed_area_m2, CASE WHEN apr_bldg <> 0 AND structures IS NOT NULL THEN lost / CASE WHEN area = 0 THEN 1e0 ELSE area END * apr_bldg END AS estimated_loss, coalesce(ps.pixels, 0) AS pixels, coalesce(ps.coverage, 0e0) AS coverage FROM parcels p LEFT JOIN sc USING (id) LEFT JOIN ps USING (id))"
     )
     return ", ".join(parts)
 
@@ -529,8 +530,13 @@ def _rollup_sql() -> str:
 _ROLLUP = _rollup_sql()
 
 
+def _lots(spark, d):
+    x, y = F.col("lot_col") * 10.0, F.col("lot_row") * 10.0
+    return V.parcels(spark, d).select(F.col("id").alias("parcel_id"), x.alias("x0"), y.alias("y0"), (x + 9.0).alias("x1"), (y + 9.0).alias("y1"))
+
+
 def _assessed(spark, d):
-    return assess(V.parcels(spark, d), V.pixels(spark, d), GSD)
+    return assess(V.parcels(spark, d), V.pixels(spark, d), GSD, lots=_lots(spark, d))
 
 
 @query("structure_rollup", f"WITH {_ROLLUP} SELECT parcel_id, ord, kind, round_even(score, 3) AS score, damage_class, pixels, confidence, round_even(magnitude, 4) AS magnitude FROM scored", ("parcels", "pixels"))
@@ -572,14 +578,6 @@ def warnings(spark, d):
     return rollup.warnings(_assessed(spark, d).parcels)
 
 
-@query("parcels_csv_rows", f"WITH {_ROLLUP} SELECT CAST(r.id AS VARCHAR) AS \"Parcel\", coalesce(address, '') AS \"Address\", worst_class AS \"Worst damage\", CAST(structures AS VARCHAR) AS \"Structures\" FROM rolled r JOIN parcels USING (id)", ("parcels", "pixels"))
-def parcels_csv_rows(spark, d):
-    out = rollup.worst_first(_assessed(spark, d).parcels)
-    heads = {"id": "Parcel", "address": "Address", "worst_class": "Worst damage", "structures": "Structures"}
-    kinds = dict(out.dtypes)
-    return out.select(*[files.csv_value(F.col(c), kinds[c]).alias(h) for c, h in heads.items()])
-
-
 @query("geojson_features")
 def geojson_features(spark, d):
     ring = geo.box_ring(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
@@ -601,7 +599,7 @@ def render_ramp(spark, d):
     ("pixels",),
 )
 def percentile_stretch(spark, d):
-    px = V.pixels(spark, d).select("row", "col", "pre_red", "pre_green", "pre_blue", "pre_valid")
+    px = stored(V.pixels(spark, d).select("row", "col", "pre_red", "pre_green", "pre_blue", "pre_valid"))
     return render.stretched(px, ["pre_red", "pre_green", "pre_blue"], "pre_valid").select("row", "col", F.col("pre_red").alias("red"))
 
 
@@ -624,9 +622,9 @@ def scene_search(spark, d):
     return rounded(out.select("id", "provider", "cloud"))
 
 
-@query("scene_label", "SELECT id, concat_ws(' | ', strftime(datetime, '%Y-%m-%d'), platform, concat(CAST(CAST(round_even(cloud, 0) AS INTEGER) AS VARCHAR), nullif(CASE WHEN cloud IS NULL THEN '' ELSE '% cloud' END, '')), CASE WHEN synthetic THEN 'SYNTHETIC' END) AS label FROM scenes WHERE cloud IS NOT NULL", ("scenes",))
+@query("scene_label", "SELECT id, concat_ws(' | ', strftime(datetime, '%Y-%m-%d'), platform, CASE WHEN cloud IS NOT NULL THEN CAST(CAST(round_even(cloud, 0) AS INTEGER) AS VARCHAR) || '% cloud' END, CASE WHEN synthetic THEN 'SYNTHETIC' END) AS label FROM scenes", ("scenes",))
 def scene_label(spark, d):
-    return V.scenes(spark, d).where("cloud is not null").select("id", scenes.label().alias("label"))
+    return V.scenes(spark, d).select("id", scenes.label().alias("label"))
 
 
 @query("least_cloudy_scene", "SELECT provider, arg_min(id, (coalesce(cloud, 100e0), id)) AS id, round_even(min(coalesce(cloud, 100e0)), 6) AS cloud FROM scenes GROUP BY provider", ("scenes",))

@@ -14,7 +14,7 @@ _ROW, _COL = "CAST(floor(c_custkey / 50e0) AS BIGINT)", "c_custkey % 50"
 
 PARCEL = {
     "id": "c_custkey + 1",
-    "pin": "concat('TEST-', CAST(c_custkey + 1 AS STRING))",
+    "pin": "concat('LOT-', CAST(c_custkey + 1 AS STRING))",
     "parid": "concat('P', CAST(c_custkey + 1 AS STRING))",
     "owner": "c_name",
     "address": "CASE WHEN c_custkey % 11 = 0 THEN '' ELSE concat(CAST(100 + c_custkey AS STRING), ' ', c_mktsegment, ' ST') END",
@@ -29,9 +29,13 @@ PARCEL = {
     "apr_land": "30000e0",
     "dwel_desc": "CASE c_custkey % 6 WHEN 0 THEN 'RANCH' WHEN 1 THEN 'COLONIAL' WHEN 2 THEN ' split level ' WHEN 3 THEN 'GEODESIC' WHEN 4 THEN 'CAPE COD' ELSE NULL END",
     "dwel_sfla": "CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE 900e0 + 100e0 * (c_custkey % 17) END",
-    "ob_desc": "CASE c_custkey % 7 WHEN 0 THEN 'UTILITY SHED FRAME' WHEN 1 THEN 'PAVING ASPHALT PARKING LIGHT' WHEN 2 THEN 'BARN' WHEN 3 THEN 'OLD DWELLING' WHEN 4 THEN '' ELSE NULL END",
+    "ob_desc": "CASE c_custkey % 7 WHEN 0 THEN 'WOODEN SHED' WHEN 1 THEN 'ASPHALT YARD' WHEN 2 THEN 'BARN' WHEN 3 THEN 'OLD DWELLING' WHEN 4 THEN '' ELSE NULL END",
     "ob_area": "CASE WHEN c_custkey % 7 < 5 THEN 100e0 + 50e0 * (c_custkey % 13) ELSE NULL END",
     "area_m2": "324e0",
+    "acres": "0.08e0",
+    "dwel_yrblt": "CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE 1950 + c_custkey % 70 END",
+    "ob_yrblt": "CASE WHEN c_custkey % 7 < 5 THEN 1960 + c_custkey % 60 ELSE NULL END",
+    "tax_card": "concat('https://cards.invalid/', CAST(c_custkey AS STRING))",
 }
 
 _R, _C = f"({_ROW} * 10 + CAST(floor(k / 10e0) AS BIGINT))", f"(({_COL}) * 10 + k % 10)"

@@ -82,6 +82,6 @@ def test_water_raises_the_flood_flag(spark):
 
 
 def test_settings_are_checked():
-    assert Detector().with_overrides({"window": "9", "unknown": 1, "veg_ndvi": None}).window == 9
+    assert Detector().with_overrides({"structure_window": "9", "unknown": 1, "veg_ndvi_threshold": None}).structure_window == 9
     with pytest.raises(JobError):
-        Detector().with_overrides({"window": "wide"})
+        Detector().with_overrides({"structure_window": "wide"})

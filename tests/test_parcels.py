@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lotwise.functions import geo
 from lotwise.functions import measures as M
 from lotwise.operators import parcels, rollup, scenes, structures
-from lotwise.params import CLASSES, LOSS_FACTOR
+from lotwise.params import CLASSES, LOSS_FACTOR, JobError, Limits
+from lotwise.plans import reports
 from lotwise.sources import files
 
 SHAPE = "id long, pin string, parid string, address string, owner string, minx double, miny double, maxx double, maxy double, area_m2 double, apr_bldg double, dwel_sfla double, dwel_desc string, ob_area double, ob_desc string, subdivision string"
@@ -17,8 +18,8 @@ def block(spark):
     rows = []
     for i in range(8):
         x, y = -79.18 + 0.0006 * (i % 4), 35.478 + 0.0006 * (i // 4)
-        sheds = {0: "UTILITY SHED FRAME", 1: "UTILITY SHED FRAME", 2: "UTILITY SHED FRAME", 3: "PAVING ASPHALT PARKING LIGHT"}
-        rows.append((i + 1, f"TEST-{i:04d}", f"P{i}", f"{100 + i} TEST ST", f"OWNER {i}", x, y, x + 0.00054, y + 0.00054, 2900.0, 150000.0 if i < 6 else 0.0, 1600.0 if i < 6 else None, "RANCH" if i < 6 else None, 300.0 if i < 4 else None, sheds.get(i), "TESTWOOD"))
+        sheds = {0: "WOODEN SHED", 1: "WOODEN SHED", 2: "WOODEN SHED", 3: "ASPHALT YARD"}
+        rows.append((i + 1, f"LOT-{i:04d}", f"P{i}", f"{100 + i} MILL ROAD", f"OWNER {i}", x, y, x + 0.00054, y + 0.00054, 2900.0, 150000.0 if i < 6 else 0.0, 1600.0 if i < 6 else None, "RANCH" if i < 6 else None, 300.0 if i < 4 else None, sheds.get(i), "ELMS"))
     return spark.createDataFrame(rows, SHAPE)
 
 
@@ -29,7 +30,7 @@ def ids(df):
 def test_lookups(block):
     assert ids(parcels.by_pin(block, "P3")) == [4] and ids(parcels.by_id(block, 99)) == []
     assert ids(parcels.many(block, [5, 2, 99, 5, 1])) == [2, 5, 1]
-    assert ids(parcels.search(block, "owner 7")) == [8] and len(ids(parcels.search(block, "test st", 3))) == 3
+    assert ids(parcels.search(block, "owner 7")) == [8] and len(ids(parcels.search(block, "mill road", 3))) == 3
     assert parcels.extent(block).first()["n"] == 8
 
 
@@ -58,7 +59,7 @@ def test_tax_roll(block):
 
 
 def test_attribute_rules(spark):
-    rows = [("UTILITY SHED", True), ("paving", False), ("OLD DWELLING", False), ("", False), (None, False)]
+    rows = [("GARDEN SHED", True), ("paving", False), ("OLD DWELLING", False), ("", False), (None, False)]
     df = spark.createDataFrame(rows, "d string, want boolean")
     assert df.where(M.is_structure(F.col("d")) != F.col("want")).count() == 0
     roof = df.limit(1).select(M.roof_m2(F.lit(1900.0), F.lit("colonial ")).alias("a"), M.roof_m2(F.lit(1900.0), F.lit(None)).alias("b"), M.roof_m2(F.lit(10.0), F.lit("RANCH")).alias("c")).first()
@@ -105,6 +106,56 @@ def test_projection(spark):
         geo.parse_bbox("1,2,3")
 
 
+def test_rings_are_clipped_and_measured(spark):
+    shape = lambda pts: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in pts])
+    one = spark.range(1)
+    diamond = shape([(0, -2), (2, 0), (0, 2), (-2, 0)])
+    cut = geo.clipped(diamond, F.lit(-1.0), F.lit(-3.0), F.lit(1.0), F.lit(3.0))
+    away = geo.clipped(diamond, F.lit(5.0), F.lit(5.0), F.lit(6.0), F.lit(6.0))
+    got = one.select(geo.ring_area(cut).alias("a"), F.size(cut).alias("n"), geo.ring_area(away).alias("b")).first()
+    assert abs(got["a"] - 6) < 1e-12 and got["n"] == 6 and got["b"] == 0
+    lot = shape([(-79.18, 35.478), (-79.17, 35.478), (-79.17, 35.488), (-79.18, 35.488)])
+    size = one.select(geo.ring_m2(lot).alias("m2"), geo.bbox_km2(*map(F.lit, (-79.18, 35.478, -79.17, 35.488))).alias("km2")).first()
+    assert abs(size["m2"] / size["km2"] / 1e6 - 1) < 0.005
+    hook = shape([(0, 0), (10, 0), (10, 10), (8, 10), (8, 2), (0, 2)])  # its centre lies outside
+    at = one.select(reports.interior_point(hook).alias("p")).first()["p"]
+    assert (at["x"], at["y"]) == (9, 5)
+    grid = geo.grid(*map(F.lit, (-79.18, 35.478, -79.17, 35.488, 2.0)))
+    g = one.select(*[c.alias(n) for n, c in grid.items()]).first()
+    assert g["epsg"] == 32617 and (g["right"] - g["left"]) / 2 == g["width"] and g["left"] % 2 == 0
+    back = geo.grid_degrees(*[F.lit(g[c]) for c in ("left", "bottom", "right", "top")], F.lit(17))
+    w, s, e, n = one.select(*[c.alias(f"c{i}") for i, c in enumerate(back)]).first()
+    assert w <= -79.18 and s <= 35.478 and e >= -79.17 and n >= 35.488 and e - w < 0.0106
+
+
+def test_areas_of_jobs(block):
+    box, found = reports.area_of(block, ids=[2, 5])
+    assert ids(found) == [2, 5] and box[0] < -79.18 and box[2] > -79.18 + 0.0006 + 0.00054
+    assert len(ids(reports.area_of(block, box=(-79.1801, 35.4779, -79.1789, 35.4785))[1])) == 2
+    for given in ({"ids": [99]}, {"box": (0.0, 0.0, 1.0, 1.0)}, {}, {"box": (-82.0, 33.0, -77.0, 37.0)}):
+        with pytest.raises(JobError):
+            reports.area_of(block, **given)
+    with pytest.raises(JobError):
+        reports.area_of(block, ids=list(range(1, 9)), limits=Limits(parcels=3))
+
+
+def test_intake_keeps_gaps_and_meta(spark, tmp_path):
+    ring = lambda x, w: [(x, 0.0), (x + w, 0.0), (x + w, 0.001), (x, 0.001)]
+    raw = spark.createDataFrame([(0, ring(1.0, 0.001), " a ", "1990.0"), (1, ring(2.0, 0.0), "b", "1"), (2, None, "c", "1"), (3, ring(3.0, 0.05), "d", "0")], "seq long, ring array<struct<x:double,y:double>>, SITUS string, YRBLT string")
+    meta = {r["key"]: r["value"] for r in reports.ingest(raw, str(tmp_path / "layer"), "given.shp", "Lots").collect()}
+    assert meta["feature_count"] == "2" and meta["dataset_name"] == '"Lots"' and meta["extent"].startswith("[1.0,0.0")
+    got = {r["id"]: r for r in spark.read.parquet(str(tmp_path / "layer/parcels")).collect()}
+    assert set(got) == {1, 4} and got[1]["address"] == "a" and got[1]["dwel_yrblt"] == 1990 and got[4]["dwel_yrblt"] is None and got[1]["owner"] is None
+    assert ids(parcels.read_box(spark, str(tmp_path / "layer/parcels"), (3.04, 0.0, 3.045, 0.0005))) == [4]  # far from its corner's tile
+
+
+def test_features_make_a_collection(spark):
+    made = spark.createDataFrame([(0, '{"a":1}'), (1, '{"a":2}')], "ord long, feature string")
+    text = "\n".join(r["value"] for r in reports.collection(made, spark.createDataFrame([(5,)], "parcels long")).collect())
+    assert [f["a"] for f in json.loads(text)["features"]] == [1, 2] and json.loads(text)["properties"] == {"parcels": 5}
+    assert json.loads("".join(r["value"] for r in reports.collection(made.limit(0)).collect()))["features"] == []
+
+
 def test_files(spark, tmp_path):
     ring = [[[0, 0], [1, 0], [1, 1], [0, 0]]]
     feature = {"type": "Feature", "properties": {"id": "7", "n": 1}, "geometry": {"type": "Polygon", "coordinates": ring}}

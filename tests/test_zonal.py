@@ -2,8 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lotwise.functions import geo
-from lotwise.operators import zonal
-from lotwise.operators.quantiles import quantile
+from lotwise.operators import neighbourhood, zonal
+from lotwise.operators.quantiles import quantile, quantiles
 
 
 def labels(spark):
@@ -48,9 +48,38 @@ def test_later_zone_wins_and_touching_reaches_further(spark):
 def test_quantile_of_a_long_column(spark, monkeypatch):
     import lotwise.operators.quantiles as Q
 
-    monkeypatch.setattr(Q, "MOST", 50)
-    values = np.random.default_rng(3).normal(size=3000).round(2)
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    for q in (0.0, 0.4, 0.8, 0.95, 1.0):
-        assert abs(quantile(df, F.col("v"), q) - np.quantile(values, q)) < 1e-9
-    assert quantile(df.where("v > 100"), F.col("v"), 0.5) is None
+    rng = np.random.default_rng(3)
+    columns = {"smooth": rng.normal(size=3000), "round": rng.normal(size=3000).round(1), "two": np.where(rng.random(3000) < 0.5, 1e-9, 1e9), "apart": np.concatenate([rng.random(1500) * 1e-6, 1e6 + rng.random(1500)])}
+    group = rng.integers(0, 2, 3000)
+    df = spark.createDataFrame(list(zip(*[c.tolist() for c in columns.values()], group.tolist())), ", ".join(f"{c} double" for c in columns) + ", g long")
+    qs = (0.0, 0.4, 0.5, 0.95, 1.0)
+    for parts in (4, 4096):
+        monkeypatch.setattr(Q, "PARTS", parts)
+        got = quantiles(df, {c: F.col(c) for c in columns}, qs)
+        assert all(np.isclose(got[None, c, q], np.quantile(v, q), rtol=1e-12, atol=1e-12) for c, v in columns.items() for q in qs)
+    got = quantiles(df, {"v": F.col("smooth")}, qs, F.col("g"))
+    assert all(abs(got[g, "v", q] - np.quantile(columns["smooth"][group == g], q)) < 1e-12 for g in (0, 1) for q in qs)
+    assert quantile(df.where("smooth > 100"), F.col("smooth"), 0.5) is None
+
+
+def test_blocks_meet_at_their_edges(spark, monkeypatch):
+    """Windows that reach over several blocks, of an image and of several."""
+    monkeypatch.setattr(neighbourhood, "BLOCK", 8)
+    a = np.random.default_rng(1).random((2, 21, 30))
+    df = spark.createDataFrame([(k, r + 5, c + 3, float(a[k, r, c])) for k in range(2) for r in range(21) for c in range(30)], "image int, row int, col int, v double")
+    padded = np.pad(a, ((0, 0), (4, 4), (4, 4)), mode="edge")
+    want = np.array([[[padded[k, r : r + 9, c : c + 9].mean() for c in range(30)] for r in range(21)] for k in range(2)])
+    got = neighbourhood.box_mean(df, ["v"], 9, ("image",)).collect()
+    assert len(got) == a.size and max(abs(x["v"] - want[x["image"], x["row"] - 5, x["col"] - 3]) for x in got) < 1e-12
+    grown = neighbourhood.spread(df.where("image = 0"), F.col("v") > 0.99, 2, "near").collect()
+    flag = np.pad(a[0] > 0.99, 2)
+    assert all(x["near"] == flag[x["row"] - 5 : x["row"], x["col"] - 3 : x["col"] + 2].any() for x in grown)
+
+
+def test_discs_cut_a_zone(spark):
+    ring = geo.box_ring(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0))
+    disc = spark.range(1).select(F.lit(1).alias("zone"), F.lit(1).alias("ord"), ring.alias("ring"), F.lit(5.0).alias("cx"), F.lit(5.0).alias("cy"), F.lit(2.0).alias("radius"))
+    got = {(r["row"], r["col"]) for r in zonal.label_rings(disc).collect()}
+    assert got == {(r, c) for r in range(10) for c in range(10) if (r + 0.5 - 5) ** 2 + (c + 0.5 - 5) ** 2 < 4}
+    touched = {(r["row"], r["col"]) for r in zonal.label_rings(disc, all_touched=True).collect()}
+    assert got < touched and (5, 6) in touched and (0, 0) not in touched
