@@ -67,9 +67,23 @@ def few(table: DataFrame, array: str, most: int) -> bool:
 
 
 def gathered(parts: DataFrame) -> DataFrame:
-    """(id, body, lo, hi): of each document the word ranges (id, body, lo, hi) as two arrays."""
-    both = parts.distinct().groupBy("id", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("p"))
-    return both.select("id", "body", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi"))
+    """(id, body, lo, hi): of each document the word ranges (id, body, lo, hi) as two ascending arrays, ranges that touch made one: about as many as it has passages."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            los, his = [], []
+            for ranges in batch.column("p"):
+                lo, hi = (ranges.values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+                order = np.argsort(lo, kind="stable")
+                lo, reach = lo[order], np.maximum.accumulate(hi[order])
+                first = np.concatenate([[True], lo[1:] > reach[:-1]])
+                los.append(lo[first])
+                his.append(reach[np.concatenate([first[1:], [True]])])
+            kind = pa.list_(pa.int64())
+            yield pa.record_batch([batch.column("id"), batch.column("body"), pa.array(los, kind), pa.array(his, kind)], ["id", "body", "lo", "hi"])
+
+    both = parts.groupBy("id", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("p"))
+    return both.mapInArrow(merge, "id long, body int, lo array<long>, hi array<long>")
 
 
 def _result(text: bytes, n: int, gone: np.ndarray | None) -> dict:
