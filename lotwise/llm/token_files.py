@@ -181,7 +181,9 @@ class Shard:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_bytes: int = 1 << 23, frame_bytes: int = 1 << 16) -> None:
     """Writes the ids of every text, with ``end_id`` after each, as shards of about ``shard_bytes`` of ids below ``path``.
 
-    A null text is empty and has the end id alone. Rows without a doc_id come last under the largest number; rows of one id are ordered by their text.
+    A null text is empty and has the end id alone. Rows without a doc_id come last under the largest number; rows of one id are ordered by their text, repeated rows (ties) are
+    written as often as they come. Very long texts are encoded whole; a shard then has a frame of their size. An empty table gives no shard. Columns other than doc_id and text are not looked
+    at, whatever their names.
     """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +202,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_byt
             yield pa.record_batch([pa.array([pack(held, part, seq, frame_bytes)], pa.binary())], ["shard"])
 
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # ranges go on within an id, so repeated or missing ids spread by their texts
+    ordered = ordered.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string").alias("value"))
     made.write.option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<I", SEEKABLE).decode("latin-1")).option("compression", "none").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
