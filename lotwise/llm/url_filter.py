@@ -1,8 +1,8 @@
 """URL filters: rules first, then naive Bayes over the words of host and path.
 
 Host labels and path parts are often words written together ("freecasinobonus"). A unigram Viterbi search splits them into the most
-probable words; a multinomial naive Bayes model scores the words. Both models are learned from the hosts themselves: word counts from their parts that stand
-alone and a seed list, class counts from hosts that hold a seed word of the blocked kind and hosts that do not.
+probable words; a multinomial naive Bayes model scores the words. Word counts come from all addresses, the text of all pages and a seed list; class counts from addresses
+that hold a seed word of the blocked kind as a word of the split, and addresses that do not. Both classes are taken for equally likely beforehand.
 """
 
 from __future__ import annotations
@@ -20,19 +20,21 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import common as C
 
-BLOCKED = "adult bet betting bingo cam cams casino cheat crack escort fetish gambling hack hentai jackpot keygen lottery malware nude payday phishing pills poker porn replica scam sex slots spam torrent viagra warez webcam xxx".split()
+BLOCKED = "ads adserver adult bet betting bingo cam cams casino cheat crack escort fetish gambling hack hentai jackpot keygen lottery malware nude payday phishing pills poker porn replica scam sex slots spam torrent tracker viagra warez webcam xxx".split()
 ORDINARY = (
     "about academy ad air all api app archive art author auto baby bank best big bike bio blog blue board bonus book box brand build buy cafe car care cash center chat city clean click cloud club code "
     "coffee college com community cook cool craft data date day deal dental design dev digital direct docs dog drive easy edu energy event example expert fan farm fast film finance fire fit food forum free fresh "
     "fun game garden gift girl go gold good green group guide hair health help home host hot hotel house info job kids lab land law learn life light link live local love mail market media "
     "mobile money music my net new news night now office online open org page park party pay people pet phone photo plan play plus post power press pro shop school science search shoes site smart social soft "
-    "solar sport star stock store story street studio style tech top toy trade travel tube tv video vip water web wiki win wine world www zone"
+    "solar sport star stock store story street studio style tech top toy trade travel tube tv video vip water web wiki win wine world www zone tips "
+    "ac edu gov museum essex sussex middlesex wessex scunthorpe sextant sexton analysis adulthood spamalot camera cambridge campus cheating cheater"
 ).split()
 _BLOCKED = frozenset(BLOCKED)
 ENDINGS = ("s", "es", "ing", "er", "ers")
-#: Letters of the longest word that split_words knows.
-LONGEST = 20
-_PART = re.compile(r"[a-zß-ÿ]+|[0-9]+")
+#: Letters of the longest word that split_words knows, and of the longest name whose split is remembered.
+LONGEST, REMEMBERED = 40, 64
+#: Runs of letters of any script, and runs of digits.
+_PART = re.compile(r"[^\W\d_]+|\d+")
 
 
 @dataclass(frozen=True)
@@ -100,58 +102,71 @@ def url_words(host: str, path: str, words: dict[str, float], split) -> list[str]
     return out
 
 
+def splitter(words: dict[str, float]):
+    """``split_words`` with a bounded memory of short names."""
+    known = functools.lru_cache(maxsize=200_000)(lambda part: tuple(split_words(part, words)))
+    return lambda part: known(part) if len(part) <= REMEMBERED else split_words(part, words)
+
+
 def is_blocked(word: str) -> bool:
     """True for a seed word of the blocked kind and for one with a usual ending."""
     return word in _BLOCKED or any(word.endswith(x) and word[: -len(x)] in _BLOCKED for x in ENDINGS)
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """(word, n): in hosts and whole paths of all distinct addresses, the runs of letters that are no longer than the words of split_words."""
+    """(word, n): the runs of letters in hosts and whole paths of all distinct addresses, and in the texts of the pages where they are given, that are no longer than the words of split_words."""
     host, path = url_parts(F.col("url"))
-    pairs = pages.select(host.alias("host"), F.lower(path).alias("path")).where("host <> ''").distinct()
-    found = pairs.select(F.explode(F.regexp_extract_all(F.concat_ws("/", "host", "path"), F.lit("[a-zß-ÿ]+"), F.lit(0))).alias("word"))
+    texts = pages.select(host.alias("host"), F.lower(path).alias("path")).where("host <> ''").distinct().select(F.concat_ws("/", "host", "path").alias("text"))
+    if "html" in pages.columns:
+        texts = texts.unionByName(pages.select(F.lower(F.regexp_replace("html", r"(?s)<script.*?</script>|<[^>]*>", " ")).alias("text")))
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     return found.where(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(pages: DataFrame, most: int = 20_000) -> UrlModel:
-    """Word counts from all addresses; class counts from at most ``most`` distinct pairs of host and first path part, those with the least hash."""
+def train(pages: DataFrame, most: int = 20_000, vocabulary: int = 300_000) -> UrlModel:
+    """Word counts from all addresses and texts, of which the ``vocabulary`` most frequent words seen twice are kept; class counts from at most ``most`` distinct addresses, those
+    with the least hash."""
     host, path = url_parts(F.col("url"))
-    first = F.regexp_extract("path", r"^(/[^/]*)", 1)
-    pairs = pages.select(host.alias("host"), path.alias("path")).select("host", first.alias("path")).where("host <> ''").distinct()
+    pairs = pages.select(host.alias("host"), path.alias("path")).where("host <> ''").distinct()
     rows = sorted((r["host"], r["path"]) for r in pairs.orderBy(F.xxhash64("host", "path"), "host", "path").limit(most).collect())
     counts = Counter(dict.fromkeys(ORDINARY, 50) | dict.fromkeys(BLOCKED, 50))
     total = sum(counts.values())
     if rows:
         found = C.cut(word_counts(pages))
         total += found.agg(F.sum("n")).first()[0] or 0
-        counts.update({x["word"]: x["n"] for x in found.where("n > 1").collect()})
+        counts.update({x["word"]: x["n"] for x in found.where("n > 1").orderBy(F.col("n").desc(), "word").limit(vocabulary).collect()})
+        C.drop(found)
+    # seed words count as much as a frequent word of the corpus, so that names are split into them however large it is
+    least = max(50, total // 20_000)
+    counts.update({w: max(0, least - counts[w]) for w in (*ORDINARY, *BLOCKED)})
     words = {w: math.log(n / total) for w, n in counts.items()}
-    split = functools.lru_cache(maxsize=200_000)(lambda part: tuple(split_words(part, words)))
+    split = splitter(words)
     seen = {True: Counter(), False: Counter()}
-    docs = {True: 1, False: 1}
     for h, p in rows + [(f"{w}.example", "") for w in BLOCKED] + [(f"{w}.example", "") for w in ORDINARY]:
         got = url_words(h, p, words, split)
         bad = any(is_blocked(x.partition(":")[2]) for x in got)
-        docs[bad] += 1
         seen[bad].update(got)
     kinds = len(set(seen[True]) | set(seen[False])) + 1
     size = {c: sum(seen[c].values()) for c in seen}
     odds = lambda x: math.log((seen[True][x] + 0.5) / (size[True] + 0.5 * kinds)) - math.log((seen[False][x] + 0.5) / (size[False] + 0.5 * kinds))
-    # a word that was seen a few times says little, unless it is a seed word
+    # a word that was seen a few times says little, unless it is a seed word; a seed word that was never seen says as much as the average one
     trust = lambda x: 1.0 if is_blocked(x.partition(":")[2]) else (n := seen[True][x] + seen[False][x]) / (n + 10)
-    return UrlModel(words, {x: trust(x) * odds(x) for x in set(seen[True]) | set(seen[False])}, math.log(docs[True] / docs[False]))
+    weights = {x: trust(x) * odds(x) for x in set(seen[True]) | set(seen[False])}
+    return UrlModel(words, weights, 0.0)
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule (the longest that fits, else null), verdict (the rule's, else by naive Bayes), score (log odds of block).
 
-    A null url and one without ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows give repeated results. A rule's path of "" fits every path.
+    A null url and one without ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows give repeated results. A rule's path of "" fits every path; of equally
+    long rules that fit (ties) the last in the order of their texts holds. Log odds of exactly 0 allow. Very long urls are split and scored whole. An empty table gives an empty result. Columns other than
+    page_id, url and html are not looked at, whatever their names.
     """
     model = model or train(pages)
     host, path = url_parts(F.col("url"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = functools.lru_cache(maxsize=200_000)(lambda part: tuple(split_words(part, model.words)))
+        split = splitter(model.words)
         for batch in batches:
             odds = []
             for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
