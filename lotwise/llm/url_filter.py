@@ -2,7 +2,7 @@
 
 Host labels and path parts are often words written together ("freecasinobonus"). A unigram Viterbi search splits them into the most
 probable words; a multinomial naive Bayes model scores the words. Word counts come from all addresses, the text of all pages and a seed list; class counts from addresses
-that hold a seed word of the blocked kind as a word of the split, and addresses that do not. Both classes are taken for equally likely beforehand.
+that hold a seed word of the blocked kind as a word of the split, and addresses that do not. Both classes are taken for about equally likely beforehand.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ _BLOCKED = frozenset(BLOCKED)
 ENDINGS = ("s", "es", "ing", "er", "ers")
 #: Letters of the longest word that split_words knows, and of the longest name whose split is remembered.
 LONGEST, REMEMBERED = 40, 64
+#: Log odds that speak for blocking must exceed this: where words say next to nothing, a url is allowed.
+MARGIN = 0.5
+#: Words' worth of evidence that smoothing adds to each class.
+SMOOTHING = 10.0
 #: Runs of letters of any script, and runs of digits.
 _PART = re.compile(r"[^\W\d_]+|\d+")
 
@@ -146,13 +150,15 @@ def train(pages: DataFrame, most: int = 20_000, vocabulary: int = 300_000) -> Ur
         got = url_words(h, p, words, split)
         bad = any(is_blocked(x.partition(":")[2]) for x in got)
         seen[bad].update(got)
-    kinds = len(set(seen[True]) | set(seen[False])) + 1
     size = {c: sum(seen[c].values()) for c in seen}
-    odds = lambda x: math.log((seen[True][x] + 0.5) / (size[True] + 0.5 * kinds)) - math.log((seen[False][x] + 0.5) / (size[False] + 0.5 * kinds))
+    # smoothed towards the word's share in both classes together, so that a word that is rare or as frequent in both says nothing
+    share = lambda x: SMOOTHING * (seen[True][x] + seen[False][x]) / (size[True] + size[False])
+    chance = lambda x, c: math.log((seen[c][x] + share(x)) / (size[c] + SMOOTHING))
+    odds = lambda x: chance(x, True) - chance(x, False)
     # a word that was seen a few times says little, unless it is a seed word; a seed word that was never seen says as much as the average one
     trust = lambda x: 1.0 if is_blocked(x.partition(":")[2]) else (n := seen[True][x] + seen[False][x]) / (n + 10)
     weights = {x: trust(x) * odds(x) for x in set(seen[True]) | set(seen[False])}
-    return UrlModel(words, weights, 0.0)
+    return UrlModel(words, weights, -MARGIN)
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None) -> DataFrame:
