@@ -5,7 +5,7 @@ functions: the least hash over the set as an exponential variate, kept as a trun
 maximum and are equal about as often as the sets are similar. Documents with equal sets form one class at once. Classes that agree on all
 registers of a band share a bucket; each bucket's members are linked to its hub, the member with the most bucket mates, never to one
 another. A pair's joint maximum-likelihood similarity sorts out chance hits, and the full sets decide. What the hubs leave apart is searched once more by the
-rarest shingles of each set, which misses no pair above the threshold among documents that met in a bucket.
+rarest shingles of each set, which finds every pair above the threshold among documents that met in a bucket; of those the likelihood puts one aside with a probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -229,7 +229,8 @@ def near_dedup(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """Per row of ``docs``: doc_id, body (hash of the text), n_shingles, component_id (the least doc_id reachable over links), kept (doc_id = component_id).
 
     Null and empty texts and texts without words have an empty set, are linked with nothing and are kept. Repeated rows have equal results. A null
-    doc_id comes after all others: such a row is kept only in a component without any id. An empty table gives an empty result.
+    doc_id comes after all others: such a row is kept only in a component without any id. Very long texts have sets of all their shingles. A pair exactly at the threshold (a tie) is
+    linked. An empty table gives an empty result. Columns other than doc_id and text are not looked at, whatever their names.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.shiftright(F.xxhash64("text"), 33).cast("int").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
     rows = C.cut(sketched(own, params))

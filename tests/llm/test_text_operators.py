@@ -1,8 +1,10 @@
 import collections
+import functools
 import hashlib
 import random
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -13,14 +15,15 @@ from lotwise.llm import textnp as T
 from lotwise.llm import token_files
 from lotwise.llm.components import components
 from lotwise.llm.decontaminate import decontaminate
+from lotwise.llm import license_scan as licenses
 from lotwise.llm.license_scan import license_scan
 from lotwise.llm.mixing import MixParams, mix
 from lotwise.llm.near_dedup import NearParams, likelihood, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
-from lotwise.llm.suffix_dedup import shared_suffixes, suffix_dedup
-from lotwise.llm.toxicity import toxicity
-from lotwise.llm.url_filter import RULES, split_words, train, url_filter
+from lotwise.llm.suffix_dedup import Ordered, matches, ordered_rows, suffix_dedup
+from lotwise.llm.toxicity import Savings, ToxicityParams, _plain, fit, toxicity
+from lotwise.llm.url_filter import RULES, split_words, train, url_filter, url_words
 
 from .conftest import prose, table
 
@@ -54,6 +57,28 @@ def test_quality_rules_on_odd_rows(odd, rows, none):
     assert quality_rules(none).count() == 0
 
 
+def test_boilerplate_counts_documents(spark):
+    """Copies count each, documents with null texts count for their host, and both joins agree."""
+    line = "the same footer stands below every page"
+    rows = [(k, f"own words of page {k} and some more of them here\n{line}", "big") for k in range(12)] + [(100 + k, None, "big") for k in range(8)] + [(200 + k, f"{line}\nshort", "small") for k in range(3)]
+    rows += [(300 + k, f"one text that has many copies\n{line}", None) for k in range(6)] + [(None, f"no id at all here\n{line}", None)] * 4
+    for params, gone in ((QualityParams(min_docs=5, host_share=0.5), {"big", None}), (QualityParams(min_docs=5, host_share=0.7), {None}), (QualityParams(min_docs=12, host_share=0.1), set()), (QualityParams(min_docs=5, host_share=0.9, most_docs=11), {"big", None})):
+        for most in (1000, 0):
+            got = quality_rules(table(spark, rows), replace(params, most_broadcast=most)).collect()
+            assert len(got) == len(rows)
+            assert {r["source"] for r in got if r["n_boiler_words"]} == gone
+            assert all((line in r["clean_text"]) == (r["source"] not in gone) for r in got if r["text"])
+
+
+def test_clashing_names_pass(spark, rows):
+    """Columns named like those that the operators make on their way stay as they are."""
+    odd_names = ["words", "lines", "boiler", "key", "row", "host", "_row", "_id", "_body", "_words", "_source", "cell_source", "cell_lang", "a.b", "rest", "held", "probability", "c`d"]
+    docs = table(spark, rows[:12]).select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(f"given {n}") for n in odd_names})
+    for out, replaced in ((quality_rules(docs), set()), (mix(docs), {"probability"})):
+        for r in out.collect():
+            assert all(r[n] == f"given {n}" for n in odd_names if n not in replaced)
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -111,7 +136,7 @@ def kept_words(rows, width):
 
 @pytest.mark.parametrize("operator", [suffix_dedup, substring_dedup])
 def test_passages_equal_brute_force(operator, odd, rows, none):
-    got = operator(odd, most_broadcast=0 if operator is suffix_dedup else 1000)
+    got = operator(odd, most_broadcast=0)
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"]
     out = got.select(*cols).collect()
     assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == kept_words(rows, 50)
@@ -124,23 +149,42 @@ def test_crowded_passages(operator, spark):
     """Many documents of few words: windows repeat inside and across documents in every way."""
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choice("ab") for _ in range(rng.randrange(40))), "s") for k in range(300)]
-    got = operator(table(spark, rows), 6, texts=False).collect()
-    assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == kept_words(rows, 6)
+    rows += [(400 + k, "é" * 300 + " x " + "é" * 300 + " x y z u v " * (k % 3), "s") for k in range(6)]
+    for more in ({}, {"most_neighbours": 2} if operator is suffix_dedup else {"bits": 4}):
+        got = operator(table(spark, rows), 6, texts=False, **more).collect()
+        assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == kept_words(rows, 6)
 
 
-def test_large_shared_groups_go_out_whole(spark):
-    opening, closing, alone = [(0, 1, 0)], [(9, 1, 0)], [(5, 7, k) for k in range(6)]
-    shared = [(2, 1, 0), *[(2, 2, k) for k in range(40)]] + [(3, 1, k) for k in range(9)] + [(3, 2, 0)]
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    try:
-        for size in (2, 5, 7, 1000):
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-            array = spark.createDataFrame(opening + shared + alone + closing, "key long, id long, spot long").coalesce(1).sortWithinPartitions("key", "id", "spot")
-            got = sorted((r["id"], r["spot"]) for r in shared_suffixes(array, 4).collect() if r["id"] != 7)
-            assert got == sorted(x[1:] for x in opening + shared + closing)
-            assert shared_suffixes(array, 4).where("id = 7").count() == 0
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+def test_neighbours_equal_pairwise_comparison():
+    """Matches of sorted suffixes against all pairs: left and right words that agree, at least ``width`` of them."""
+    import pyarrow as pa
+
+    rng, width = random.Random(3), 6
+    back = width - width // 2
+    rows = []
+    for k in range(120):
+        before = [rng.choice("ab") for _ in range(rng.randrange(back + 1))]
+        after = [rng.choice("ab") for _ in range(rng.randrange(width // 2, width + 1))]
+        rows.append(("".join(w + " " for w in after), "".join(w + " " for w in before), rng.randrange(9), 0, 100 + k))
+    rows.sort()
+    parts, last = [], None
+    for k in range(0, len(rows), 7):  # in batches, as a task gets them
+        after, before, ids, body, at = zip(*rows[k : k + 7])
+        batch = pa.record_batch([pa.array(before), pa.array(after), pa.array(ids, pa.int64()), pa.array(body, pa.int32()), pa.array(at, pa.int64())], ["before", "after", "id", "body", "at"])
+        part, last = ordered_rows(batch, width, last)
+        parts.append(part)
+    got = {(r["id"], r["lo"], r["hi"]) for r in matches(Ordered.joined(parts), width).to_pylist()}
+    want = set()
+    for after, before, doc, _, at in rows:
+        hit = set()
+        for after2, before2, doc2, _, _ in rows:
+            if doc2 < doc:
+                same = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+                right, left = same(after.split(), after2.split()), same(before.split()[::-1], before2.split()[::-1])
+                hit |= {o for o in range(back + 1) if o <= left and width - o <= right}
+        if hit:
+            want.add((doc, at - max(hit), at - min(hit) + width))
+    assert got == want and len(want) > 20
 
 
 def test_words_of_arrow_columns():
@@ -199,6 +243,15 @@ def test_near_duplicates_equal_brute_force(spark, odd, rows, none):
     assert near_dedup(none).count() == 0
 
 
+def test_recall_of_near_duplicates(spark):
+    """Every row whose id is divisible by 50 against all rows of the given documents, by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: shingles(r["text"], 5) for r in docs.collect()}
+    group = {r["doc_id"]: r["component_id"] for r in near_dedup(docs).collect()}
+    found = [group[a] == group[b] for a, x in texts.items() if a % 50 == 0 and x for b, y in texts.items() if a != b and y and 100 * len(x & y) >= 80 * len(x | y)]
+    assert len(found) >= 3 and np.mean(found) >= 0.9
+
+
 def test_likelihood_of_sketches():
     n = np.array([100.0, 100.0])
     a = np.array([[5] * 200, [5] * 100 + [7] * 50 + [3] * 50], np.uint8)
@@ -294,6 +347,30 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity(none, known).count() == 0
 
 
+def test_window_lengths_equal_plain_compression():
+    """A window's saving is the difference of its compressed lengths under each dictionary, each computed alone."""
+    import zstandard
+
+    params = ToxicityParams()
+    rng = random.Random(2)
+    rows = [(k % 2, prose(rng, 60) + (" vilezork grubnatch" if k % 2 else "")) for k in range(80)]
+    model = fit(rows, 0.5, params)
+    doubled = lambda x: bytes(v for b in x for v in (b, (b * 167 + 91) % 256))
+    for text in (rows[1][1], rows[2][1], "", "é" * 500, "x"):
+        plain = _plain(text)
+        starts = [i // 2 for i in range(0, max(1, 2 * len(plain) - 16), 2 * params.step)]
+        want = []
+        for i in starts:
+            size = []
+            for dictionary in (model.ordinary, model.toxic):
+                how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=18, chain_log=18, search_log=9, min_match=6, target_length=999, strategy=zstandard.STRATEGY_LAZY2, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+                raw = zstandard.ZstdCompressionDict(dictionary, zstandard.DICT_TYPE_RAWCONTENT)
+                size.append(len(zstandard.ZstdCompressor(compression_params=how, dict_data=raw).compress(doubled(plain[i : i + params.window]) + model.toxic[-2 * params.tail :])))
+            want.append(size[0] - size[1])
+        assert np.abs(Savings(model.toxic, model.ordinary, params).windows(text) - want).max() <= 1
+    assert fit(rows[:6], 0.5) is None
+
+
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -335,28 +412,106 @@ def test_mixing_meets_targets_that_leave_no_room(spark, recwarn, few):
     assert any("targets missed" in str(w.message) for w in recwarn)
 
 
+def test_mixing_equals_plain_raking(spark):
+    """Where no cell lacks room the probabilities are those of raking by plain loops; ties of the draw and repeated rows go together."""
+    rng = random.Random(11)
+    docs = [(k, prose(rng, rng.randrange(55, 90)), f"s{k % 3}") for k in range(300)]
+    given = table(spark, docs).withColumns({"topic": F.when(F.col("doc_id") % 2 == 0, "x").otherwise("y"), "lang": F.when(F.col("doc_id") % 5 == 0, "de").otherwise("en")})
+    out = mix(given, MixParams(keep_share=0.4)).collect()
+    dims = ("source", "lang", "topic")
+    tokens = collections.Counter()
+    for r in out:
+        tokens[tuple(r[d] for d in dims)] += r["n_tokens"]
+    total, weight = sum(tokens.values()), dict(tokens)
+    goals = []
+    for i in range(3):
+        share = collections.Counter()
+        for c, t in tokens.items():
+            share[c[i]] += t / total
+        norm = sum(x**0.7 for x in share.values())
+        goals.append({k: total * x**0.7 / norm for k, x in share.items()})
+    for _ in range(60):
+        for i, goal in enumerate(goals):
+            has = collections.Counter()
+            for c, w in weight.items():
+                has[c[i]] += w
+            weight = {c: w * goal[c[i]] / has[c[i]] for c, w in weight.items()}
+    scale = min(0.4, min(tokens[c] / w for c, w in weight.items()))
+    assert all(abs(r["probability"] - scale * weight[tuple(r[d] for d in dims)] / tokens[tuple(r[d] for d in dims)]) < 1e-3 for r in out)
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_licences_are_told_apart(spark, odd, rows, none):
+@pytest.fixture(scope="module")
+def license_model(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licences_are_told_apart(spark, odd, rows, none, license_model):
     texts = {
         1: ("Some words.\nLicensed under the Apache License, Version 2.0.\nMore words.", "apache"),
         2: ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
-        3: ("Released under the MIT License.\nThe end", "mit"),
+        3: ("Released under the MIT License.\n\nThe end", "mit"),
         4: ("Licensed under CC BY-NC 4.0.", "cc"),
         5: ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
         6: ("He renewed his driving license and his software was granted permission to run", ""),
-        7: ("mit dem Hund und der License", ""),
+        7: ("mit dem Hund und der Freund", ""),
         8: ("Released under the MIT License.\nx\nLicensed under the Apache License, Version 2.0", "apache,mit"),
+        9: ("BSD 3-Clause", "bsd"),
+        10: ("GPL v2 or later", "gpl"),
+        11: ("Veröffentlicht unter der MIT-Lizenz", "mit"),
+        12: ("Distributed under GPLv3", "gpl"),
+        13: ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files", "mit"),
+        14: ("This font is licensed under the SIL Open Font License", ""),
+        15: ("word " * 30_000 + "\n \nSPDX-License-Identifier: MPL-2.0", "mpl"),
     }
-    got = {r["doc_id"]: r for r in license_scan(table(spark, [(k, v[0], "s") for k, v in texts.items()])).collect()}
-    assert {k: r["families"] for k, r in got.items()} == {k: v[1] for k, v in texts.items()}
-    assert got[8]["n_licensed"] == 2 and got[1]["n_paragraphs"] == 3
-    out = license_scan(odd).collect()
+    docs = table(spark, [(k, v[0], "s") for k, v in texts.items()] + [(15, texts[15][0], "s")])
+    got = license_scan(docs, model=license_model).collect()
+    assert {r["doc_id"]: r["families"] for r in got} == {k: v[1] for k, v in texts.items()} and len(got) == 16
+    by = {r["doc_id"]: r for r in got}
+    assert by[8]["n_licensed"] == 1 and by[1]["n_paragraphs"] == 1 and by[3]["n_paragraphs"] == 2 and (by[13]["n_licensed"], by[13]["n_unknown"]) == (1, 0)
+    out = license_scan(odd, model=license_model).collect()
     assert len(out) == len(rows) and all(r["families"] == "" for r in out)
     assert license_scan(none).count() == 0
 
 
+def test_licence_scores_equal_plain_sums(spark, license_model):
+    """Guess and probability of held wordings by plain loops over the weights; most are right, and no licence of another family is taken for one."""
+    held = [(family, text) for family, text, h in licenses._examples() if h]
+    units = spark.createDataFrame([(i, family, text.split()) for i, (family, text) in enumerate(held)], "i long, family string, words array<string>")
+    got = {r["i"]: r for r in licenses._scores(units, ["i"], license_model).collect()}
+    weights = collections.defaultdict(dict)
+    for gram, family, w in license_model.weights:
+        weights[gram][family] = w
+    right, known = 0, 0
+    for i, (family, text) in enumerate(held):
+        ws = text.split()
+        z = dict(license_model.bias)
+        runs = {" ".join(ws[a : a + n]) for n in (1, 2, 3) for a in range(len(ws) - n + 1)} & weights.keys()
+        for run in runs:
+            for f, w in weights[run].items():
+                z[f] += w
+        odds = {f: np.exp(min(x, 300.0)) for f, x in z.items()}
+        best = max((o, f) for f, o in odds.items() if f != licenses.UNKNOWN)
+        assert (i in got) == bool(runs) and (not runs or (got[i]["guess"] == best[1] and abs(got[i]["p"] - best[0] / sum(odds.values())) < 1e-9))
+        sure = bool(runs) and got[i]["p"] >= license_model.threshold
+        if family != licenses.UNKNOWN:
+            known += 1
+            right += sure and got[i]["guess"] == family
+    assert right / known > 0.8
+
+
+def test_recall_of_planted_licences(spark, license_model):
+    """The licence lines that stand in the given documents, in each language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines = {"mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0.", "cc": "Licensed under CC BY-NC 4.0.", "gpl": "licensed under the GNU General Public License, version 3."}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {i: {f for f, x in lines.items() if x in t} for i, t in text.items()}
+    got = {r["doc_id"]: set(filter(None, r["families"].split(","))) for r in license_scan(docs, model=license_model).collect()}
+    assert sum(map(bool, want.values())) > 10 and np.mean([got[i] == w for i, w in want.items() if w]) > 0.95 and not any(got[i] for i, w in want.items() if not w)
+
+
 # -- 10 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -392,14 +547,36 @@ def test_url_words_of_all_addresses(spark):
     assert {verdict[k] for k in range(60, 66)} == {"block"} and {verdict[k] for k in range(66, 96)} == {"allow"}
 
 
+def test_url_verdicts_equal_plain_scores(spark):
+    """Scores by plain loops, the longest of tied rules, and names that only look blocked."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = train(pages)
+    split = functools.partial(split_words, words=model.words)
+    names = {"essex.gov.uk": "allow", "sussex.ac.uk": "allow", "onlinebettingtips.com": "block", "freecasinobonus.net": "block", "daily-news.net": "allow", "казино-новости.net": "allow", "scunthorpe.gov.uk": "allow", "bestpokersite.info": "block"}
+    extra = spark.createDataFrame([(-1 - k, f"http://{h}/x") for k, h in enumerate(names)], "page_id long, url string")
+    out = url_filter(pages.select("page_id", "url").unionByName(extra), model=model).collect()
+    for r in out:
+        score = model.bias + sum(model.weights.get(w, 0.0) for w in url_words(r["host"], r["path"], model.words, split)) if r["host"] or r["path"] else -np.inf
+        assert abs(r["score"] - score) < 1e-9 or r["score"] == score
+        assert r["rule"] or r["verdict"] == ("block" if score > 0 else "allow")
+    assert {r["host"]: r["verdict"] for r in out if r["page_id"] < 0} == names
+    # held-out hosts of made words: precision and recall of the model over them
+    made = [f"{a}{b}{c}.net" for a, b, c in (("free", "casino", "club"), ("best", "poker", "net"), ("my", "betting", "blog"), ("web", "porn", "tube"), ("top", "lottery", "site"), ("easy", "payday", "cash"), ("online", "gambling", "house"), ("cheap", "viagra", "store"))]
+    clean = [f"{a}{b}{c}.net" for a, b, c in (("free", "garden", "club"), ("best", "book", "net"), ("my", "food", "blog"), ("web", "music", "tube"), ("top", "travel", "site"), ("easy", "travel", "cash"), ("online", "school", "house"), ("cheap", "shoes", "store"))]
+    score = lambda h: sum(model.weights.get(w, 0.0) for w in url_words(h, "/", model.words, split))
+    caught, wrong = sum(score(h) > 0 for h in made), sum(score(h) > 0 for h in clean)
+    assert caught >= 7 and wrong <= 1
+    ties = (RULES[0].__class__("allow", "net/a"), RULES[0].__class__("block", "net/b"), RULES[0].__class__("block", "x.net"))
+    got = url_filter(spark.createDataFrame([(1, "http://x.net/a"), (2, "http://x.net/c")], "page_id long, url string"), ties, model).collect()
+    assert {r["page_id"]: r["rule"] for r in got} == {1: "x.net", 2: "x.net"}
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, odd, rows, tmp_path, monkeypatch):
+def test_pipeline(spark, odd, rows, none, tmp_path):
     import corpus_pipeline as P
 
-    monkeypatch.setattr(P, "mix", lambda docs: mix(docs, MixParams(most_rounds=2)))
-
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     leak = " ".join(dict((i, t) for i, t, _ in rows)[21].split()[-15:])
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -417,3 +594,8 @@ def test_pipeline(spark, odd, rows, tmp_path, monkeypatch):
     assert 21 in second and 21 not in third and 20 in third
     assert P.run(spark, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert C.shared_dir(spark)
+    # no rows at all, and columns named like those of the operators
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, none, str(tmp_path)).columns == none.columns and stage(spark, none, str(tmp_path)).count() == 0
+        held = table(spark, rows).withColumns({n: F.lit(f"given {n}") for n in ("_id", "_body", "_row", "kept", "rest", "key", "a.b")})
+        assert all(r[n] == f"given {n}" for r in stage(spark, held, str(tmp_path)).collect() for n in ("_id", "_body", "_row", "kept", "rest", "key", "a.b"))
