@@ -35,6 +35,10 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return F.when(lat >= 0, 32600 + utm_zone(lon)).otherwise(32700 + utm_zone(lon))
 
 
+def box_epsg(w: Column, s: Column, e: Column, n: Column) -> Column:
+    return utm_epsg((w + e) / 2, (s + n) / 2)
+
+
 def utm_xy(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     """Easting and northing in a UTM zone, by the Krueger series to the fourth order."""
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))

@@ -48,3 +48,10 @@ def quantiles_by(scores: DataFrame, state: str, qs: tuple[float, ...] = (0.1, 0.
     table = scores.sparkSession.createDataFrame(rows, f"g {kind}, " + ", ".join(f"p{round(100 * q)} double" for q in qs))
     counts = scores.groupBy(F.col(state)).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(table), F.col(state).eqNullSafe(F.col("g")), "left").select(state, *[f"p{round(100 * q)}" for q in qs], "n")
+
+
+def calibration(scored: DataFrame, truth: DataFrame, damaged: tuple[str, ...] = ("major", "destroyed")) -> tuple[DataFrame, DataFrame]:
+    """Of structures (parcel_id, score) against the true states (parcel_id, state): the counts and rates at all thresholds, and the best of them."""
+    pairs = scored.join(truth, "parcel_id").select(F.coalesce("score", F.lit(0.0)).alias("score"), F.col("state").isin(*damaged).alias("truth"))
+    swept = sweep(pairs)
+    return swept, best(swept)

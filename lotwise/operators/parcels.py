@@ -102,6 +102,17 @@ def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, flo
     return candidates(spark.read.parquet(path).where(F.col("tile").isin(["wide", *tiles])), box)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """True if parcels are stored below ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)) and spark.read.parquet(path).limit(1).count() > 0
+
+
+def in_order(parcels: DataFrame) -> DataFrame:
+    """All parcels by id."""
+    return parcels.orderBy("id")
+
+
 def set_meta(meta: DataFrame, key: str, value: Column) -> DataFrame:
     """``meta`` (key, value as JSON) with one value set."""
     row = meta.sparkSession.range(1).select(F.lit(key).alias("key"), F.to_json(F.struct(value.alias("v"))).alias("text"))

@@ -39,6 +39,34 @@ def overview(pixels: DataFrame, column: str, factor: int) -> DataFrame:
     return pixels.groupBy(block("row"), block("col")).agg(F.avg(column).alias(column))
 
 
+def rgb(pixels: DataFrame, bands: list[str], valid: str = "valid", **how) -> DataFrame:
+    """(row, col, r, g, b) of three bands, each stretched on its own percentiles."""
+    out = pixels.select("row", "col", valid, *bands)
+    for b in bands:
+        out = stretched(out, [b], valid, **how)
+    return out.select("row", "col", *[F.col(b).alias(c) for b, c in zip(bands, "rgb")])
+
+
+def side_by_side(images: list[DataFrame], gap: int = 4, fill: int = 255) -> DataFrame:
+    """Pixel tables (row, col from 0, r, g, b) next to one another, as high as the lowest, with ``gap`` columns of ``fill`` between them."""
+    if not images:
+        raise ValueError("nothing to join")
+    sizes = [x.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).first() for x in images]
+    height, left, out = min(s["h"] for s in sizes), 0, None
+    for image, size in zip(images, sizes):
+        moved = image.where(F.col("row") < height).select(F.col("row").cast("bigint"), (F.col("col") + left).cast("bigint").alias("col"), *[F.col(c).cast("int").alias(c) for c in "rgb"])
+        if out is not None:
+            line = image.sparkSession.range(height).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(left - gap), F.lit(left - 1))).cast("bigint").alias("col"), *[F.lit(fill).alias(c) for c in "rgb"])
+            out = out.unionByName(line) if gap else out
+        out = moved if out is None else out.unionByName(moved)
+        left += size["w"] + gap
+    return out
+
+
+def hex_to_rgb(text: str) -> tuple[int, int, int]:
+    return tuple(bytes.fromhex(text.lstrip("#")[:6]))
+
+
 def png(image: np.ndarray) -> bytes:
     """An 8-bit PNG of a grey, RGB or RGBA array."""
     kind = {2: 0, 3: 2, 4: 6}[2 if image.ndim == 2 else image.shape[2]]

@@ -2,26 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.params import BANDS, JobError
+
 
 def search(scenes: DataFrame, start: str, end: str, west: float, east: float, limit: int, max_cloud: float | None = None) -> DataFrame:
-    """Per provider the first ``limit`` scenes of a date range whose footprint (0.1 degrees wide) meets the box; the cloud limit binds the catalogue only."""
+    """Per provider the first ``limit`` scenes of a date range whose footprint (west, east) meets the box, or that have none; the cloud limit binds the catalogue only."""
     day = F.to_date("datetime")
-    found = scenes.where(day.between(F.lit(start), F.lit(end)) & (F.col("west") <= east) & (F.col("west") + 0.1 >= west))
+    meets = F.coalesce((F.col("west") <= east) & (F.col("east") >= west), F.lit(True))
+    found = scenes.where(day.between(F.lit(start), F.lit(end)) & meets)
     if max_cloud is not None and max_cloud < 100:
         found = found.where((F.col("provider") != "catalogue") | (F.col("cloud") <= max_cloud))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("provider").orderBy("datetime", "id"))
     return found.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r").orderBy("datetime", "id")
 
 
+def search_all(spark: SparkSession, providers: dict[str, Callable[[], DataFrame]], *given, **more) -> tuple[DataFrame | None, DataFrame]:
+    """Scenes of several providers (a name and what makes their table) by time, and (provider, error) of those that failed: one that cannot be read does not sink the search."""
+    found, problems = [], []
+    for name, table in providers.items():
+        try:
+            found.append(search(table().withColumn("provider", F.lit(name)), *given, **more))
+        except Exception as e:  # whatever a source may raise
+            problems.append((name, str(e)[:500]))
+    scenes = reduce(DataFrame.unionByName, found).orderBy("datetime", "id") if found else None
+    return scenes, spark.createDataFrame(problems, "provider string, error string")
+
+
+def by_id(scenes: DataFrame, key: str) -> DataFrame:
+    """The scene of an id; none is a user error."""
+    found = scenes.where(F.col("id").cast("string") == key)
+    if not found.limit(1).count():
+        raise JobError(f"no scene {key!r}; search for imagery again")
+    return found
+
+
+def having(items: DataFrame, collection: str | None = None, max_cloud: float | None = None, bands: tuple[str, ...] = ()) -> DataFrame:
+    """Catalogue items of a collection, with at most so much cloud (unknown cloud passes) and with all of some bands among their assets."""
+    out = items if collection is None else items.where(F.col("collection") == collection)
+    out = out if max_cloud is None else out.where(F.col("cloud").isNull() | (F.col("cloud") <= max_cloud))
+    return out.where(F.size(F.array_except(F.array(*map(F.lit, bands)).cast("array<string>"), F.map_keys("assets"))) == 0) if bands else out
+
+
+def bands(assets: Column) -> Column:
+    """Names of the bands of a scene in their usual order, others behind them."""
+    usual = F.array(*map(F.lit, BANDS))
+    return F.concat(F.array_intersect(usual, F.map_keys(assets)), F.array_sort(F.array_except(F.map_keys(assets), usual)))
+
+
 def date(scene_time: Column) -> Column:
     return F.date_format(scene_time, "yyyy-MM-dd")
 
 
+def full_label() -> Column:
+    """Label of a scene with all that is known: date, platform or else collection, pixel size, cloud, SYNTHETIC."""
+    source = F.coalesce(F.nullif(F.col("platform"), F.lit("")), F.nullif(F.col("collection"), F.lit("")))
+    size = F.when(F.coalesce(F.col("gsd"), F.lit(0.0)) != 0, F.concat(F.regexp_replace(F.col("gsd").cast("string"), r"\.0$", ""), F.lit(" m")))
+    cloud = F.concat(F.bround("cloud", 0).cast("int").cast("string"), F.lit("% cloud"))
+    return F.concat_ws(" | ", date(F.col("datetime")), source, size, cloud, F.when(F.col("synthetic"), F.lit("SYNTHETIC")))
+
+
 def label() -> Column:
     cloud = F.when(F.col("cloud").isNotNull(), F.concat(F.bround("cloud", 0).cast("int").cast("string"), F.lit("% cloud")))
     return F.concat_ws(" | ", date(F.col("datetime")), F.col("platform"), cloud, F.when(F.col("synthetic"), F.lit("SYNTHETIC")))

@@ -98,3 +98,19 @@ def choose_source(n_mapped: int, n_parcels: int, has_file: bool, per_hundred: fl
     if has_file:
         return "file"
     return "mapped" if n_parcels and 100.0 * n_mapped / n_parcels >= per_hundred else "tax-roll"
+
+
+def sources(file: str | None = None, mapped: bool = False) -> list[dict]:
+    """The kinds of structures that may be used, with whether they can be."""
+    return [
+        {"id": "auto", "approximate": not file, "available": True},
+        {"id": "tax-roll", "approximate": True, "available": True},
+        {"id": "file", "approximate": False, "available": bool(file)},
+        {"id": "mapped", "approximate": False, "available": mapped},
+    ]
+
+
+def chosen(mapped: DataFrame | None, tax_roll: DataFrame, parcels: DataFrame, file: DataFrame | None = None, per_hundred: float = 25.0) -> tuple[str, DataFrame]:
+    """The structures to use and their kind: those of a file, the mapped ones if there are enough of them, else the tax roll's."""
+    kind = choose_source(0 if mapped is None else mapped.count(), parcels.count(), file is not None, per_hundred)
+    return kind, {"file": file, "mapped": mapped, "tax-roll": tax_roll}[kind]

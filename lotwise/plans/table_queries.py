@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotwise.functions import geo
-from lotwise.operators import change, parcels, rollup, structures, zonal
+from lotwise.operators import accuracy, change, parcels, render, rollup, scenes, structures, zonal
 from lotwise.params import CLASSES
 from lotwise.plans import reports
 from lotwise.plans.queries import BOX, GSD, _CHANGE, _E, _PX, _R0, _ROLLUP, _assessed, _class_sql, _footprints, _pixels, query, rounded
@@ -218,6 +218,43 @@ def buildings_csv_rows(spark, d):
     return reports.structures_file(reports.structure_report(V.parcels(spark, d), _assessed(spark, d).structures))
 
 
+@query(
+    "provider_union",
+    """WITH f AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY datetime, id) AS r FROM scenes WHERE provider <> 'catalogue' AND CAST(datetime AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND west <= -79.16e0 AND east >= -79.2e0)
+    SELECT id, provider, NULL AS error FROM f WHERE r <= 30 UNION ALL SELECT NULL, 'catalogue', 'not reachable'""",
+    ("scenes",),
+)
+def provider_union(spark, d):
+    """Two providers answer, one fails."""
+
+    def fails():
+        raise OSError("not reachable")
+
+    own = lambda name: lambda: V.scenes(spark, d).where(F.col("provider") == name)
+    found, problems = scenes.search_all(spark, {"local": own("local"), "demo": own("demo"), "catalogue": fails}, "2024-01-03", "2024-01-25", -79.2, -79.16, 30)
+    return found.select("id", "provider", F.lit(None).cast("string").alias("error")).unionByName(problems.select(F.lit(None).cast("bigint").alias("id"), "provider", "error"))
+
+
+@query("rgb_side_by_side", """WITH s AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM pixels) SELECT count(*) AS n, CAST(max(w * 2 + 4) AS BIGINT) AS width, count(*) FILTER (kind = 'gap') AS gap FROM
+    (SELECT 'a' AS kind, w FROM pixels, s UNION ALL SELECT 'b', w FROM pixels, s UNION ALL SELECT 'gap', w FROM s, range(100000) AS r(k) WHERE k < h * 4)""", ("pixels",))
+def rgb_side_by_side(spark, d):
+    """Both dates as stretched colours next to each other."""
+    px = stored(_pixels(spark, d))
+    both = render.side_by_side([render.rgb(px, [f"{p}_{b}" for b in ("red", "green", "blue")]) for p in ("pre", "post")])
+    edge = px.agg((F.max("col") + 1).alias("w")).first()["w"]
+    return both.agg(F.count("*").alias("n"), (F.max("col") + 1).alias("width"), F.count_if((F.col("col") >= edge) & (F.col("col") < edge + 4)).alias("gap"))
+
+
+@query("calibration_best", """WITH t AS (SELECT parcel_id, score, state IN ('major', 'destroyed') AS truth FROM (SELECT l_orderkey AS parcel_id, l_quantity / 60e0 AS score FROM lineitem) JOIN (SELECT o_orderkey AS parcel_id, CASE o_orderkey % 4 WHEN 0 THEN 'major' WHEN 1 THEN 'destroyed' WHEN 2 THEN 'minor' ELSE 'intact' END AS state FROM orders) USING (parcel_id)),
+    k AS (SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (truth AND score >= 0.05e0 + k * 0.005e0 - 1e-11) AS tp, count(*) FILTER (NOT truth AND score >= 0.05e0 + k * 0.005e0 - 1e-11) AS fp, count(*) FILTER (truth) AS a FROM t, range(161) AS r(k) GROUP BY k),
+    f AS (SELECT k, coalesce(2e0 * tp / nullif(2 * tp + fp + a - tp, 0), 0e0) AS f1 FROM k) SELECT arg_max(k, (round_even(f1, 9), -k)) AS k, round_even(max(f1), 9) AS f1 FROM f""")
+def calibration_best(spark, d):
+    scored = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("parcel_id"), (F.col("l_quantity") / 60.0).alias("score"))
+    state = F.element_at(F.array(*map(F.lit, ("major", "destroyed", "minor", "intact"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    truth = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("parcel_id"), state.alias("state"))
+    return rounded(accuracy.calibration(scored, truth)[1], 9)
+
+
 @query("result_features", f"WITH {_ROLLUP} SELECT r.id, worst_class AS damage_class, round_even(parcel_score, 3) AS parcel_score, structures AS buildings_total FROM rolled r", ("parcels", "pixels"))
 def result_features(spark, d):
     """The features of the parcel result, read back from their JSON."""

@@ -66,6 +66,7 @@ SCENE = {
     "platform": "event_type",
     "cloud": "CASE WHEN event_id % 19 = 0 THEN NULL ELSE least(abs(value), 100e0) END",
     "west": "-79.3e0 + 0.001e0 * (user_id % 200)",
+    "east": "-79.3e0 + 0.001e0 * (user_id % 200) + 0.1e0",
     "synthetic": "user_id % 3 = 1",
 }
 

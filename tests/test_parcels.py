@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import geo
 from lotwise.functions import measures as M
-from lotwise.operators import parcels, rollup, scenes, structures
+from lotwise.operators import parcels, render, rollup, scenes, structures
 from lotwise.params import CLASSES, LOSS_FACTOR, JobError, Limits
 from lotwise.plans import reports
 from lotwise.sources import files
@@ -172,6 +172,25 @@ def test_files(spark, tmp_path):
     assert got[0]["pin"] == "a" and got[1]["pin"] is None and got[0]["dwel_sfla"] == 12.9 and got[0]["apr_bldg"] is None and got[1]["apr_bldg"] == 0.0 and got[0]["owner"] is None
 
 
+def test_small_pieces(spark, block, tmp_path):
+    assert files.scale_of("uint8") == 255 and files.scale_of("int16") == 10_000 and files.scale_of("float32") == 1 and files.scale_of("uint8", 2.0) == 2
+    known = {"r": "red", "red": "red", "g": "green", "b": "blue", "nir": "nir"}
+    assert files.bands_of(["B", "g", "R"], known) == ["blue", "green", "red"] and files.bands_of(["", "", "", ""], known) == ["red", "green", "blue", "nir"] and files.bands_of(["x"], known, "nir, red") == ["nir", "red"]
+    for bad in ((["x"], "purple"), (["x", "y"], None)):
+        with pytest.raises(ValueError):
+            files.bands_of(bad[0], known, bad[1])
+    items = spark.createDataFrame([("a", "s2", 10.0, {"red": "x", "nir": "y"}), ("b", "s2", None, {"red": "x"}), ("c", "l8", 90.0, {"nir": "y", "red": "z"})], "id string, collection string, cloud double, assets map<string,string>")
+    assert {r["id"] for r in scenes.having(items, "s2", 50.0).collect()} == {"a", "b"} and {r["id"] for r in scenes.having(items, bands=("red", "nir")).collect()} == {"a", "c"}
+    assert items.where("id = 'a'").select(scenes.bands(F.col("assets")).alias("b")).first()["b"] == ["red", "nir"]
+    assert scenes.by_id(items, "b").count() == 1
+    with pytest.raises(JobError):
+        scenes.by_id(items, "z")
+    assert render.hex_to_rgb("#ff8000") == (255, 128, 0)
+    assert not parcels.exists(spark, str(tmp_path / "none")) and ids(parcels.in_order(block))[0] == 1
+    kind, some = structures.chosen(None, structures.from_tax_roll(block), block)
+    assert kind == "tax-roll" and some.count() == 9 and [x["id"] for x in structures.sources() if x["available"]] == ["auto", "tax-roll"]
+
+
 def test_calendar_and_grid_size(spark):
     got = [r["id"] for r in scenes.calendar(spark, "2024-02-20", "2024-03-20", "2024-03-03").collect()]
     assert "demo-2024-02-26" in got and "demo-2024-03-07" in got and got == sorted(got)
