@@ -56,7 +56,7 @@ def side_by_side(images: list[DataFrame], gap: int = 4, fill: int = 255) -> Data
     for image, size in zip(images, sizes):
         moved = image.where(F.col("row") < height).select(F.col("row").cast("bigint"), (F.col("col") + left).cast("bigint").alias("col"), *[F.col(c).cast("int").alias(c) for c in "rgb"])
         if out is not None:
-            line = image.sparkSession.range(height).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(left - gap), F.lit(left - 1))).cast("bigint").alias("col"), *[F.lit(fill).alias(c) for c in "rgb"])
+            line = image.sparkSession.range(height).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(left - gap).cast("bigint"), F.lit(left - 1).cast("bigint"))).alias("col"), *[F.lit(fill).alias(c) for c in "rgb"])
             out = out.unionByName(line) if gap else out
         out = moved if out is None else out.unionByName(moved)
         left += size["w"] + gap

@@ -150,7 +150,7 @@ def resolve_aoi_box(spark, d):
 
 @query(
     "ingest_rows",
-    """SELECT id, nullif(trim(address), '') AS address, CASE WHEN dwel_yrblt % 7 = 0 THEN NULL ELSE dwel_yrblt END AS dwel_yrblt, apr_bldg, round_even((minx + maxx) / 2e0, 7) AS lon, round_even((miny + maxy) / 2e0, 7) AS lat, maxx FROM parcels WHERE id % 13 <> 0""",
+    """SELECT id, nullif(trim(address), '') AS address, coalesce(CAST(CASE WHEN dwel_yrblt % 7 = 0 THEN NULL ELSE dwel_yrblt END AS VARCHAR), '') AS dwel_yrblt, apr_bldg, round_even((minx + maxx) / 2e0, 7) AS lon, round_even((miny + maxy) / 2e0, 7) AS lat, maxx FROM parcels WHERE id % 13 <> 0""",
     ("parcels",),
 )
 def ingest_rows(spark, d):
@@ -159,7 +159,8 @@ def ingest_rows(spark, d):
         (F.col("id") - 1).alias("seq"), geo.box_ring(F.col("minx"), F.col("miny"), F.when(F.col("id") % 13 == 0, F.col("minx")).otherwise(F.col("maxx")), F.col("maxy")).alias("ring"),
         F.col("address").alias("SITUS"), F.when(F.col("dwel_yrblt") % 7 == 0, "0").otherwise(F.concat(F.col("dwel_yrblt").cast("string"), F.lit(".0"))).alias("YrBlt"), F.col("apr_bldg").cast("string").alias("BLDGVAL"),
     )
-    return reports.parcel_rows(raw).select("id", "address", "dwel_yrblt", "apr_bldg", "lon", "lat", "maxx")
+    year = F.coalesce(F.col("dwel_yrblt").cast("string"), F.lit("")).alias("dwel_yrblt")
+    return reports.parcel_rows(raw).select("id", "address", year, "apr_bldg", "lon", "lat", "maxx")
 
 
 @query("meta_json", "SELECT 'count' AS key, CAST(count(*) AS VARCHAR) AS value FROM parcels UNION ALL SELECT 'ids', concat('[', min(id), ',', max(id), ']') FROM parcels UNION ALL SELECT 'name', '\"Lots\"'", ("parcels",))
@@ -221,7 +222,7 @@ def buildings_csv_rows(spark, d):
 @query(
     "provider_union",
     """WITH f AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY datetime, id) AS r FROM scenes WHERE provider <> 'catalogue' AND CAST(datetime AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25' AND west <= -79.16e0 AND east >= -79.2e0)
-    SELECT id, provider, NULL AS error FROM f WHERE r <= 30 UNION ALL SELECT NULL, 'catalogue', 'not reachable'""",
+    SELECT CAST(id AS VARCHAR) AS id, provider, '' AS error FROM f WHERE r <= 30 UNION ALL SELECT '', 'catalogue', 'not reachable'""",
     ("scenes",),
 )
 def provider_union(spark, d):
@@ -232,7 +233,7 @@ def provider_union(spark, d):
 
     own = lambda name: lambda: V.scenes(spark, d).where(F.col("provider") == name)
     found, problems = scenes.search_all(spark, {"local": own("local"), "demo": own("demo"), "catalogue": fails}, "2024-01-03", "2024-01-25", -79.2, -79.16, 30)
-    return found.select("id", "provider", F.lit(None).cast("string").alias("error")).unionByName(problems.select(F.lit(None).cast("bigint").alias("id"), "provider", "error"))
+    return found.select(F.col("id").cast("string").alias("id"), "provider", F.lit("").alias("error")).unionByName(problems.select(F.lit("").alias("id"), "provider", "error"))
 
 
 @query("rgb_side_by_side", """WITH s AS (SELECT max("row") + 1 AS h, max(col) + 1 AS w FROM pixels) SELECT count(*) AS n, CAST(max(w * 2 + 4) AS BIGINT) AS width, count(*) FILTER (kind = 'gap') AS gap FROM
