@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import common as C
 from lotwise.llm import token_files
+from lotwise.llm.collocations import collocations
 from lotwise.llm.decontaminate import decontaminate
 from lotwise.llm.filter_audit import filter_audit
 from lotwise.llm.license_scan import license_scan
@@ -71,6 +72,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(C.read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(C.read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
     "op12_filter_audit": op12_filter_audit,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -156,6 +162,22 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(doc_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = doc_id
 """
 
+_OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws[i:i + k - 1] AS ph FROM w, range(1, 4) AS q(k), unnest(range(1, len(ws) - k + 2)) AS r(i)),
+f AS (SELECT lang, ph, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+c AS (SELECT * FROM f WHERE len(ph) > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.ph, c.a, k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score
+         FROM c, range(1, 3) AS q(k) JOIN f x ON x.lang = c.lang AND x.ph = c.ph[1:k] JOIN f y ON y.lang = c.lang AND y.ph = c.ph[k + 1:] WHERE k < len(c.ph)),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+longer AS (SELECT lang, sub, max(a) AS m FROM (SELECT lang, ph[1:2] AS sub, a FROM c WHERE len(ph) = 3 UNION ALL SELECT lang, ph[2:3], a FROM c WHERE len(ph) = 3) GROUP BY ALL),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+o AS (SELECT low.lang, array_to_string(ph, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.sub = low.ph WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000
+"""
+
 _OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 lab AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
@@ -192,6 +214,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": _OP3,
     "op5_substring_dedup": _PASSAGES,
     "op9_near_dedup": _OP9,
+    "op11_collocations": _OP11,
     "op12_filter_audit": _OP12,
     "op13_line_dedup": _OP13,
 }

@@ -69,8 +69,8 @@ class Words:
         return np.diff(self.first)
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """The words of a string column; null is empty."""
+def words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """The words of a string column; null is empty. ``space``: which bytes part words."""
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -79,7 +79,7 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = LOWER[data]
     offsets = offsets - low
-    solid = ~SPACE[data]
+    solid = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin = solid.copy()
