@@ -113,7 +113,7 @@ def line_dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     made = ["n_lines", "n_dropped", "keep"]
     own = docs.drop(*made)
     rows = C.cut(line_rows(docs, params))
-    gone = rows.join(C.cut(common_lines(rows, params)), ["h", "g", "slice"])
+    gone = rows.join(C.cut(common_lines(rows, params)).hint("merge"), ["h", "g", "slice"])  # a small file may be many rows: never a broadcast
     if params.keep == "first":
         gone = gone.where(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     elif params.keep != "none":
