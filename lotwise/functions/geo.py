@@ -27,6 +27,12 @@ def once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(df, columns: dict[str, Column]):
+    """``df`` with new columns that are computed once per row, whatever stands above."""
+    made = df.withColumn("made_", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return made.select(*df.columns, *[F.col("made_")[n].alias(n) for n in columns])
+
+
 def utm_zone(lon: Column) -> Column:
     return (F.pmod(F.floor((lon + 180.0) / 6.0), F.lit(60)) + 1).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.functions import geo
+from lotwise.functions import geo, shapes
 
 #: Side of a spatial tile in degrees; parcels are stored by tile, and box queries name the tiles they touch.
 TILE = 0.01
@@ -53,9 +53,13 @@ def candidates(parcels: DataFrame, box: tuple[float, float, float, float]) -> Da
 
 
 def in_box(parcels: DataFrame, box: tuple[float, float, float, float], limit: int | None = None) -> DataFrame:
-    """Parcels of which a positive area lies in the box, by id; the limit applies after the exact test."""
+    """Parcels of which a positive area lies in the box, by id; the limit applies after the exact test. Parcels with a ``shape`` are cut as they are, others are their bounds."""
     own = tuple(F.col(c) for c in ("minx", "miny", "maxx", "maxy"))
-    found = candidates(parcels, box).withColumn("shared", geo.boxes_overlap(own, tuple(F.lit(v) for v in box))).where("shared > 0").orderBy("id")
+    w, s, e, n = (F.lit(v) for v in box)
+    bounds = geo.boxes_overlap(own, (w, s, e, n))
+    within = (own[0] >= w) & (own[1] >= s) & (own[2] <= e) & (own[3] <= n)
+    shared = F.when(F.col("shape").isNull(), bounds).when(within, shapes.area(F.col("shape"))).otherwise(shapes.shared_area(F.col("shape"), shapes.box(w, s, e, n))) if "shape" in parcels.columns else bounds
+    found = candidates(parcels, box).withColumn("shared", shared).where("shared > 0").orderBy("id")
     return found.limit(limit) if limit else found
 
 
@@ -68,12 +72,23 @@ def meeting(boxes: DataFrame, parcels: DataFrame, size: float = TILE) -> DataFra
     return left.join(right, "tile").where(met & own).drop("tile")
 
 
+def shape_of(parcels: DataFrame) -> Column:
+    """The parcels' shapes; of those without one, their bounds."""
+    bounds = shapes.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
+    return F.coalesce("shape", bounds) if "shape" in parcels.columns else bounds
+
+
+def in_area(parcels: DataFrame, area: list[list[tuple[float, float]]], limit: int | None = None) -> DataFrame:
+    """Parcels that have a point in common with an area of one or more rings (holes and parts are rings alike), by id, with the area that they share with it (``shared``)."""
+    xs, ys = [p[0] for ring in area for p in ring], [p[1] for ring in area for p in ring]
+    near = candidates(parcels, (min(xs), min(ys), max(xs), max(ys))).withColumn("own", shape_of(parcels))
+    found = near.where(shapes.meet(F.col("own"), shapes.given(area))).withColumn("shared", shapes.shared_area(F.col("own"), shapes.given(area))).drop("own").orderBy("id")
+    return found.limit(limit) if limit else found
+
+
 def in_ring(parcels: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Parcels whose centre lies in a polygon."""
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    shape = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring])
-    near = candidates(parcels, (min(xs), min(ys), max(xs), max(ys)))
-    return near.where(geo.in_ring((F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2, shape)).orderBy("id")
+    """Parcels that have a point in common with a polygon, by id."""
+    return in_area(parcels, [ring]).drop("shared")
 
 
 def extent(parcels: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions import geo
+from lotwise.functions import geo, shapes
 from lotwise.functions import measures as M
-from lotwise.operators.parcels import tiles_of
+from lotwise.operators.parcels import tile_of, tiles_of
+from lotwise.operators.zonal import shape_lines
 from lotwise.params import CORE_AREA_FACTOR, CORE_INSET_M, CORE_MIN_RADIUS_M, LARGE_PARCEL_M2, SQFT_TO_M2
 
 ASPECT = 1.35
@@ -42,20 +43,49 @@ def from_tax_roll(parcels: DataFrame, spread: float = 0.0) -> DataFrame:
 
 
 def overlapping(footprints: DataFrame, parcels: DataFrame, size: float = 0.01) -> DataFrame:
-    """Footprint boxes (fid, x0, y0, x1, y1) with the parcel that shares the most area with them, the smaller id on ties; null where none does.
+    """Footprints (fid, x0, y0, x1, y1, and shape unless they are boxes) with the parcel that shares the most area with them, the smaller id on ties; null where none does.
 
-    Both sides are keyed by the tiles they touch, so the join is an equi-join; a pair that meets in several tiles counts in one only.
+    Parcels with a ``shape`` count by it, others by their bounds. Both sides are keyed by the tiles they touch, so the join is an equi-join; a pair that meets in several tiles counts in one only.
     """
     f, p = ("x0", "y0", "x1", "y1"), ("minx", "miny", "maxx", "maxy")
     cols = lambda names: tuple(F.col(c) for c in names)
-    left = footprints.withColumn("tile", F.explode(tiles_of(*cols(f), size)))
-    right = parcels.select("id", *p, F.explode(tiles_of(*cols(p), size)).alias("tile"))
+    formed = {"f": "shape" in footprints.columns, "p": "shape" in parcels.columns}
+    left = footprints.select("fid", *f, *(["shape"] if formed["f"] else []), F.explode(tiles_of(*cols(f), size)).alias("tile"))
+    right = parcels.select("id", *p, *([F.col("shape").alias("lot")] if formed["p"] else []), F.explode(tiles_of(*cols(p), size)).alias("tile"))
+    own_tile = tile_of(F.greatest("x0", "minx"), F.greatest("y0", "miny"), size) == F.col("tile")
     shared = geo.boxes_overlap(cols(f), cols(p))
-    pairs = left.join(right, "tile").where(geo.boxes_meet(cols(f), cols(p))).withColumn("overlap", shared).where("overlap > 0")
-    best = pairs.groupBy("fid").agg(F.max_by("id", F.struct("overlap", -F.col("id"))).alias("parcel_id"), F.max("overlap").alias("overlap"))
+    if any(formed.values()):
+        a = F.coalesce("shape", shapes.box(*cols(f))) if formed["f"] else shapes.box(*cols(f))
+        b = F.coalesce("lot", shapes.box(*cols(p))) if formed["p"] else shapes.box(*cols(p))
+        shared = F.when(shared > 0, shapes.shared_area(a, b)).otherwise(0.0)
+    pairs = left.join(right, "tile").where(geo.boxes_meet(cols(f), cols(p)) & own_tile).select("fid", "id", shared.alias("overlap"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("bounds")).where("overlap > 0")
+    # shares of shapes that differ by rounding only are equal
+    rank = F.struct(F.bround(F.col("overlap") / F.col("bounds"), 9) if any(formed.values()) else F.col("overlap"), -F.col("id"))
+    best = pairs.groupBy("fid").agg(F.max_by("id", rank).alias("parcel_id"), F.max("overlap").alias("overlap"))
     return footprints.join(best, "fid", "left")
 
 
+def core_pixels(lots: DataFrame, gsd: float = 1.0) -> DataFrame:
+    """(zone, ord, row, col): where the structures of lots of any shape plausibly sit. ``lots``: zone, ord, shape (rings in pixels of ``gsd`` metres), built_m2.
+
+    The core is made of the pixels whose centre keeps a distance from all edges, or of all pixels where those are less than 0.15 of the lot's area. On a large lot it is cut to a disc around a point
+    that surely lies inside, unless nothing would be left of it.
+    """
+    area = shapes.area(F.col("shape")) * gsd * gsd
+    radius = F.greatest(F.lit(CORE_MIN_RADIUS_M), F.sqrt(F.greatest(F.coalesce("built_m2", F.lit(0.0)), F.lit(40.0)) * CORE_AREA_FACTOR)) / gsd
+    sized = geo.exploded(lots.select("zone", "ord", "shape", "built_m2"), {"area": area, "middle": shapes.interior_point(F.col("shape"))})
+    sized = sized.select("zone", "ord", "shape", "area", F.when(F.col("area") > LARGE_PARCEL_M2, F.struct(F.col("middle.x").alias("x"), F.col("middle.y").alias("y"), radius.alias("radius"))).alias("disc"))
+    reach = F.sqrt(F.pow("disc.radius", F.lit(2)) - F.pow(F.col("row") + 0.5 - F.col("disc.y"), F.lit(2)))  # null or nan where the disc does not meet the row
+    within = lambda c: F.col("disc").isNull() | F.coalesce(F.abs(c + 0.5 - F.col("disc.x")) < F.nanvl(reach, F.lit(0.0)), F.lit(False))
+    lines = shape_lines(sized, inset=CORE_INSET_M / gsd)
+    lines = lines.select("zone", "ord", "area", "row", "cols", "deep", F.filter("cols", within).alias("cols_near"), F.filter("deep", within).alias("deep_near"))
+    count = lambda c: F.sum(F.size(c))
+    facts = lines.groupBy("zone", "ord").agg((count("deep") * gsd * gsd < 0.15 * F.max("area")).alias("whole"), count("cols_near").alias("n"), count("deep_near").alias("m"))
+    facts = facts.select("zone", "ord", "whole", (F.when(F.col("whole"), F.col("n")).otherwise(F.col("m")) > 0).alias("cut"))
+    core = F.when(F.col("whole"), F.when(F.col("cut"), F.col("cols_near")).otherwise(F.col("cols"))).otherwise(F.when(F.col("cut"), F.col("deep_near")).otherwise(F.col("deep")))
+    return lines.join(facts, ["zone", "ord"]).select("zone", "ord", "row", F.explode(core).alias("col"))
+
+
 def developed_core(lots: DataFrame, gsd: float = 1.0) -> DataFrame:
     """Where the structures of a lot plausibly sit. ``lots``: box (x0, y0, x1, y1) in pixels of ``gsd`` metres and built_m2. Adds ring (the lot pulled back from its
     edge, or all of it where little would be left) and, on large lots, a disc (cx, cy, radius in pixels) around its centre that the core is cut to."""

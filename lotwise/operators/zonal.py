@@ -5,50 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions import geo
+from lotwise.functions import geo, shapes
 
 #: Parts of a zone's range that its pixels are counted in before they are sorted.
 PARTS = 64
+#: Rows of a band of a shape.
+BAND = 64
 
 
-def label_rings(zones: DataFrame, all_touched: bool = False) -> DataFrame:
-    """(row, col, zone) from rings in pixel coordinates: pixels whose centre lies in the ring, or that the ring touches at all.
+def shape_lines(zones: DataFrame, all_touched: bool = False, inset: Column | float | None = None) -> DataFrame:
+    """The columns of ``zones`` without its shapes, and each pixel row of each shape: row, cols (array of the columns of its pixels), and ``deep``, those of them whose centre keeps the distance ``inset`` from all
+    edges (with an inset only; a null one counts as 0).
 
-    ``zones`` has (zone, ord, ring), and (cx, cy, radius) where a zone is cut to a disc. Candidates are made per zone from its bounds; of several zones on a pixel the one
-    with the largest ``ord`` stays.
+    ``zones`` has a ``shape`` (rings in pixel coordinates, by the even-odd rule over all of them) or a ``ring``; pixels count whose centre lies in it, or that it touches at all. A shape is cut to bands of rows, a
+    band to its rows, and the edges that cross a row give the intervals of its pixels, so no row of data holds more than the edges of a band and the pixels of one line.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     whole = lambda c: F.floor(c).cast("long")
-    rows = F.sequence(whole(F.array_min(ys)), whole(F.array_max(ys)))
-    cells = zones.withColumn("row", F.explode(rows)).withColumn("col", F.explode(F.sequence(whole(F.array_min(xs)), whole(F.array_max(xs)))))
-    inside = geo.in_ring(F.col("col") + 0.5, F.col("row") + 0.5, F.col("ring"))
+    shape = F.col("shape") if "shape" in zones.columns else F.array("ring")
+    own = [c for c in zones.columns if c not in ("shape", "ring")]
+    keeps = F.lit(0.0) if inset is None else F.coalesce(inset if isinstance(inset, Column) else F.lit(float(inset)), F.lit(0.0))
+    every = zones.select(*own, shapes.edges(shape).alias("sides"), keeps.alias("keeps")).where(F.size("sides") > 0)
+    ends = F.concat(F.transform("sides", lambda e: e["y0"]), F.transform("sides", lambda e: e["y1"]))
+    reach = F.struct(F.array_min(ends).alias("lo"), F.array_max(ends).alias("hi"))
+    bands = every.withColumn("reach", reach).select("*", F.explode(F.sequence(whole(F.col("reach.lo") / BAND), whole(F.col("reach.hi") / BAND))).alias("band"))
+    low, high = F.col("band") * BAND, (F.col("band") + 1) * BAND
+    meets = F.filter("sides", lambda e: (F.greatest(e["y0"], e["y1"]) >= low - F.col("keeps")) & (F.least(e["y0"], e["y1"]) <= high + F.col("keeps")))
+    rows = F.sequence(F.greatest(whole(F.col("reach.lo")), low), F.least(whole(F.col("reach.hi")), high - 1))
+    lines = bands.select(*own, "keeps", meets.alias("near"), F.explode(rows).alias("row"))
+    # pixels whose centre lies in [lo, hi) of an interval
+    first, last = (lambda s: F.ceil(s["lo"] - 0.5).cast("long")), (lambda s: F.ceil(s["hi"] - 0.5).cast("long") - 1)
+    runs = F.transform(shapes.spans(F.col("near"), F.col("row") + 0.5), lambda s: F.struct(first(s).alias("a"), last(s).alias("b")))
     if all_touched:
-        inside = inside | _edge_meets(F.col("ring"), F.col("col"), F.col("row"))
-    if "radius" in zones.columns:
-        away = lambda c, x: F.greatest(x - F.col(c), F.col(c) - x - 1, F.lit(0.0)) if all_touched else F.col(c) - x - 0.5
-        inside = inside & (F.col("radius").isNull() | (F.pow(away("cx", F.col("col")), F.lit(2)) + F.pow(away("cy", F.col("row")), F.lit(2)) < F.pow("radius", F.lit(2))))
-    return cells.where(inside).groupBy("row", "col").agg(F.max_by("zone", "ord").alias("zone"))
+        runs = F.concat(runs, F.transform("near", lambda e: _touched(e, F.col("row"))))
+    filled = lambda r: F.flatten(F.transform(F.filter(r, lambda x: x["a"] <= x["b"]), lambda x: F.sequence(x["a"], x["b"])))
+    cols = F.array_distinct(filled(runs)) if all_touched else filled(runs)
+    if inset is None:
+        return geo.exploded(lines, {"cols": cols}).where(F.size("cols") > 0).select(*own, "row", "cols")
+    close = F.filter(F.transform("near", lambda e: _close(e, F.col("keeps"), F.col("row") + 0.5)), lambda s: s["lo"].isNotNull())
+    shut = F.transform(close, lambda s: F.struct((F.floor(s["lo"] - 0.5).cast("long") + 1).alias("a"), (F.ceil(s["hi"] - 0.5).cast("long") - 1).alias("b")))
+    deep = geo.once(cols, lambda c: F.struct(c.alias("cols"), F.when(F.col("keeps") > 0, F.array_except(c, filled(shut))).otherwise(c).alias("deep")))
+    out = geo.exploded(lines, {"both": deep})
+    return out.select(*own, "row", "both.cols", "both.deep").where(F.size("cols") > 0)
+
+
+def _close(e: Column, r: Column, y: Column) -> Column:
+    """(lo, hi) of the part of a level line that is nearer than ``r`` to an edge: a line meets what surrounds an edge, which is convex, in one interval."""
+    dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
+    length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
 
+    def round_end(k: str, sign: int) -> Column:
+        left = r * r - F.pow(y - e["y" + k], F.lit(2))
+        return F.when(left > 0, e["x" + k] + sign * F.sqrt(left))
 
-def _edge_meets(ring: Column, col: Column, row: Column) -> Column:
-    """True if an edge passes through the open square of a pixel (the edge is clipped to it)."""
-    n = F.size(ring)
+    def beside(sign: int) -> Column:
+        ox, oy = sign * r * dy / length, -sign * r * dx / length
+        a, b = e["y0"] + oy, e["y1"] + oy
+        return F.when((F.least(a, b) <= y) & (y <= F.greatest(a, b)), e["x0"] + ox + dx * (y - a) / F.nullif(dy, F.lit(0.0)))
 
-    def span(p: Column, d: Column, low: Column) -> tuple[Column, Column]:
-        a, b = (low - p) / F.nullif(d, F.lit(0.0)), (low + 1 - p) / F.nullif(d, F.lit(0.0))
-        within = (p > low) & (p < low + 1)
-        return (
-            F.coalesce(F.least(a, b), F.when(within, F.lit(0.0)).otherwise(F.lit(2.0))),
-            F.coalesce(F.greatest(a, b), F.when(within, F.lit(1.0)).otherwise(F.lit(-1.0))),
-        )
+    return F.struct(F.least(round_end("0", -1), round_end("1", -1), beside(1), beside(-1)).alias("lo"), F.greatest(round_end("0", 1), round_end("1", 1), beside(1), beside(-1)).alias("hi"))
 
-    def meets(p: Column, i: Column) -> Column:
-        q = F.get(ring, (i + 1) % n)
-        ax, bx = span(p["x"], q["x"] - p["x"], col)
-        ay, by = span(p["y"], q["y"] - p["y"], row)
-        return F.greatest(ax, ay, F.lit(0.0)) < F.least(bx, by, F.lit(1.0))
 
-    return F.size(F.filter(ring, lambda p, i: meets(p, i))) > 0
+def label_rings(zones: DataFrame, all_touched: bool = False) -> DataFrame:
+    """(row, col, zone) from shapes in pixel coordinates (see shape_lines); of several zones on a pixel the one with the largest ``ord`` stays.
+
+    ``zones`` has (zone, ord, ring or shape), (cx, cy, radius) where a zone is cut to a disc, and inset where it keeps a distance from its edges.
+    """
+    if "inset" in zones.columns:
+        cells = shape_lines(zones, all_touched, F.col("inset")).withColumn("col", F.explode("deep"))
+    else:
+        cells = shape_lines(zones, all_touched).withColumn("col", F.explode("cols"))
+    if "radius" in zones.columns:
+        away = lambda c, x: F.greatest(x - F.col(c), F.col(c) - x - 1, F.lit(0.0)) if all_touched else F.col(c) - x - 0.5
+        cells = cells.where(F.col("radius").isNull() | (F.pow(away("cx", F.col("col")), F.lit(2)) + F.pow(away("cy", F.col("row")), F.lit(2)) < F.pow("radius", F.lit(2))))
+    return cells.groupBy("row", "col").agg(F.max_by("zone", "ord").alias("zone"))
+
+
+def _touched(e: Column, row: Column) -> Column:
+    """The first and last pixel of a row whose open square an edge passes through."""
+    lo, hi = F.greatest(F.least(e["y0"], e["y1"]), row.cast("double")), F.least(F.greatest(e["y0"], e["y1"]), row + 1.0)
+    x_at = lambda y: e["x0"] + (e["x1"] - e["x0"]) * (y - e["y0"]) / F.nullif(e["y1"] - e["y0"], F.lit(0.0))
+    a, b = F.coalesce(F.least(x_at(lo), x_at(hi)), F.least(e["x0"], e["x1"])), F.coalesce(F.greatest(x_at(lo), x_at(hi)), F.greatest(e["x0"], e["x1"]))
+    level = (e["y0"] == e["y1"]) & (e["y0"] > row) & (e["y0"] < row + 1)
+    passes = ((lo < hi) | level) & ~((a == b) & (a == F.floor(a)))
+    first, last = F.floor(a).cast("long"), F.when(a == b, F.floor(a)).otherwise(F.ceil(b) - 1).cast("long")
+    return F.struct(F.when(passes, first).otherwise(1).alias("a"), F.when(passes, last).otherwise(0).alias("b"))
 
 
 def stats(pixels: DataFrame, layers: dict[str, str], zone: str = "zone", valid: str = "valid") -> DataFrame:

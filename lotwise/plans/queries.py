@@ -91,8 +91,9 @@ RING = [(-79.1790, 35.4785), (-79.1600, 35.4790), (-79.1650, 35.4900), (-79.1780
 @query(
     "parcels_in_ring",
     f"""WITH e AS (SELECT * FROM (VALUES {", ".join(f"({RING[i][0]}e0, {RING[i][1]}e0, {RING[(i + 1) % 4][0]}e0, {RING[(i + 1) % 4][1]}e0)" for i in range(4))}) AS v(ax, ay, qx, qy)),
-    c AS (SELECT id, (minx + maxx) / 2e0 AS x, (miny + maxy) / 2e0 AS y FROM parcels)
-    SELECT id FROM c, e WHERE (ay > y) <> (qy > y) AND x < (qx - ax) * (y - ay) / (qy - ay) + ax GROUP BY id HAVING count(*) % 2 = 1""",
+    c AS (SELECT id, unnest([minx, maxx, maxx, minx]) AS x, unnest([miny, miny, maxy, maxy]) AS y FROM parcels),
+    apart AS (SELECT id FROM c, e GROUP BY id, ax, ay HAVING max((qx - ax) * (y - ay) - (qy - ay) * (x - ax)) < 0)
+    SELECT id FROM parcels WHERE id NOT IN (SELECT id FROM apart) AND maxx >= {min(p[0] for p in RING)}e0 AND minx <= {max(p[0] for p in RING)}e0 AND maxy >= {min(p[1] for p in RING)}e0 AND miny <= {max(p[1] for p in RING)}e0""",
     ("parcels",),
 )
 def parcels_in_ring(spark, d):

@@ -79,6 +79,10 @@ FOOTPRINT = {
 }
 
 
+#: Lots of a form that is no box: two boxes on top of each other, the upper one narrower. The part of the width and of the height where it starts.
+NOTCH_X, NOTCH_Y = "minx + (maxx - minx) * (0.3e0 + 0.1e0 * (id % 3))", "miny + (maxy - miny) * 0.4e0"
+
+
 def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{x} AS {n}" for n, x in columns.items())
 
@@ -89,8 +93,13 @@ SQL_VIEWS = {
     "pixels": f"pixels AS (SELECT {select_list(PIXEL)} FROM customer, range(100) AS t(k))",
     "scenes": f"scenes AS (SELECT {select_list(SCENE)} FROM events)",
     "footprints": f"footprints AS (SELECT {select_list(FOOTPRINT)} FROM part)",
+    "lots": f"lots AS (SELECT id, minx AS x0, miny AS y0, maxx AS x1, {NOTCH_Y} AS y1 FROM parcels UNION ALL SELECT id, minx, {NOTCH_Y}, {NOTCH_X}, maxy FROM parcels)",
 }
 
+def notched(x0: str, y0: str, x1: str, y1: str, xm: str, ym: str):
+    """The six-cornered ring of two such boxes as a shape."""
+    return F.expr(f"array(array({', '.join(f'named_struct({chr(39)}x{chr(39)}, CAST({x} AS DOUBLE), {chr(39)}y{chr(39)}, CAST({y} AS DOUBLE))' for x, y in ((x0, y0), (x1, y0), (x1, ym), (xm, ym), (xm, y1), (x0, y1)))}))")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -114,3 +123,8 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*[f"{x} AS {n}" for n, x in FOOTPRINT.items()])
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parcels with six-cornered shapes."""
+    return parcels(spark, sf_dir).withColumn("shape", notched("minx", "miny", "maxx", "maxy", NOTCH_X, NOTCH_Y))
