@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: (session, path) of the tables that ``stored`` wrote and no ``scope`` has deleted.
+_TABLES: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a local session, as in tests, gets a folder of its own where that is unset."""
@@ -21,7 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from a table, so that several passes over it cost one computation and lost executors cost nothing."""
+    """``df`` computed once and read back from a table, so that several passes over it cost one computation and lost executors cost nothing.
+
+    The table stays until the ``scope`` ends in which it was made; without one, until the cluster clears the folder.
+    """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _TABLES.append((df.sparkSession, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the tables that were stored inside; for callers that have written their result by then."""
+    held = len(_TABLES)
+    try:
+        yield
+    finally:
+        while len(_TABLES) > held:
+            delete(*_TABLES.pop())
