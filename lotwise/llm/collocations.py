@@ -3,15 +3,16 @@
 A phrase can be frequent only if all its parts are (Apriori). So the keys of words and pairs are counted first, then those of triples over frequent pairs; what reaches the
 threshold is a candidate. The candidates, in blocks of a bounded size, get a minimal perfect hash whose slots store the keys. Mappers go over the texts with it: every run of
 words is looked up, the stored key tells whether it is a candidate, and occurrences are counted by slot (``bincount``) in one array for each task. The arrays are added up in a tree, a range of slots
-at a time. Scores need the counts of both sides of each cut; they are read from the summed array at the slots of the sides' keys.
+at a time; beside each count stands the least mark of an occurrence, and a last pass reads the phrase where that one stands, so no task names the phrases it only counts. Scores need the counts of both sides of each cut; they are read from the summed array at the slots of the sides' keys.
 
-Keys are 64 bits of hash of language and words. Whatever a task holds is bounded by ``block`` and ``filter_bits``; more candidates mean more blocks, each of which is one more pass over the texts.
+Keys are 64 bits of hash of language and words. Whatever a task holds is bounded by ``block`` and ``filter_bits``; more candidates mean more blocks, each of which is two more passes over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,13 @@ CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = CUT.copy()
 GAP[[0x20, 0x09]] = True
+WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 LONGEST = 3
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Keys that a task gathers before it counts them, rows of an Arrow batch, slots of a piece of an array, arrays that one step of the tree adds.
-_FLUSH, _ROWS, _RANGE, _FAN = 1 << 23, 1 << 18, 1 << 16, 16
+_FLUSH, _ROWS, _RANGE, _FAN = 1 << 22, 1 << 18, 1 << 16, 16
+#: Shares of a language that are ranked apart first.
+_SHARES = 64
 _BUCKET = 1 << 15
 
 
@@ -70,6 +74,12 @@ class Runs:
         w = self.words
         return b" ".join(w.data[w.starts[i] : w.ends[i]].tobytes() for i in range(at, at + n)).decode("utf-8", "replace")
 
+    def marks(self, at: np.ndarray) -> np.ndarray:
+        """A number for each of some places, from what stands there, the place and the length of the text: the same whichever task reads it."""
+        text = self.text[at]
+        place = at - self.words.first[text]
+        return (T.mix(self.keys[0][at] + place.astype(np.uint64) * _ODD + (self.words.counts[text].astype(np.uint64) << np.uint64(32))) >> np.uint64(33)).astype(np.uint32)
+
     def sides(self, at: np.ndarray, n: int) -> np.ndarray:
         """A row for each run of ``n`` words: its own key, then the keys of both sides of each cut."""
         cols = [self.keys[n - 1][at]]
@@ -140,76 +150,91 @@ def candidates(docs: DataFrame, params: PhraseParams) -> DataFrame:
     return every
 
 
-_FOUND = "node int, at int, slots binary, counts binary, key long, lang string, phrase string, sides array<long>, n long"
-_FOUND_ARROW = pa.schema([("node", pa.int32()), ("at", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary()), ("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("sides", pa.list_(pa.int64())), ("n", pa.int64())])
+_ARRAYS = "node int, at int, slots binary, counts binary, least binary"
+_PHRASES = "key long, lang string, phrase string, sides array<long>"
+_NONE = np.uint32(2**32 - 1)
 
 
-def _rows_out(columns: dict[str, list]) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.record_batch([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
+def _hits(r: Runs, table: PerfectHash) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of one, two and three words: how many, where those that are candidates begin, and their slots."""
+    for n, (keys, whole) in enumerate(zip(r.keys, r.whole), 1):
+        at = np.flatnonzero(whole)
+        slots = table.find(keys[at])
+        yield n, at[slots >= 0], slots[slots >= 0]
 
 
 def _by_slot(docs: DataFrame, found) -> DataFrame:
-    """What the tasks find in the texts with a perfect hash: their arrays of counts in sparse pieces (node, at, slots, counts), each phrase once a task (key, lang, phrase,
-    sides), and the words of each language (lang, n)."""
+    """The tasks' arrays over the slots of a perfect hash, in sparse pieces (node, at, slots, counts, least): occurrences of the slot's key, and the least number that marks one of them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: PerfectHash = found.value
-        totals, seen, node = np.zeros(len(table), np.int64), np.zeros(len(table), bool), TaskContext.get().partitionId()
-        words: dict[str, int] = {}
+        counts, least, node = np.zeros(len(table), np.int64), np.full(len(table), _NONE, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
             for r in runs(batch):
-                for lang, n in zip(r.langs, r.words.counts.tolist()):
-                    words[lang] = words.get(lang, 0) + n
                 hits = []
-                for n, (keys, whole) in enumerate(zip(r.keys, r.whole), 1):
-                    at = np.flatnonzero(whole)
-                    slots = table.find(keys[at])
-                    at, slots = at[slots >= 0], slots[slots >= 0]
+                for n, at, slots in _hits(r, table):
                     hits.append(slots)
                     if n > 1:
-                        new, first = np.unique(slots[~seen[slots]], return_index=True)
-                        where = at[~seen[slots]][first]
-                        seen[new] = True
-                        if len(new):
-                            sides = r.sides(where, n).view(np.int64)
-                            yield _rows_out({"key": sides[:, 0], "lang": [r.langs[t] for t in r.text[where]], "phrase": [r.phrase(i, n) for i in where.tolist()], "sides": list(sides)})
-                totals += np.bincount(np.concatenate(hits), minlength=len(table))
+                        np.minimum.at(least, slots, r.marks(at))
+                counts += np.bincount(np.concatenate(hits), minlength=len(table))
         for low in range(0, len(table), _RANGE):
-            some = np.flatnonzero(totals[low : low + _RANGE])
-            if len(some):
-                yield _rows_out({"node": [node], "at": [low // _RANGE], "slots": [some.astype("<u2").tobytes()], "counts": [totals[low + some].astype("<i8").tobytes()]})
-        if words:
-            yield _rows_out({"lang": list(words), "n": list(words.values())})
+            piece = _sparse(counts[low : low + _RANGE], least[low : low + _RANGE])
+            yield pa.record_batch([pa.array([node], pa.int32()), pa.array([low // _RANGE], pa.int32()), *[pa.array([x], pa.binary()) for x in piece]], ["node", "at", "slots", "counts", "least"])
 
-    return docs.select("lang", "text").mapInArrow(scan, _FOUND)
+    return docs.select("lang", "text").mapInArrow(scan, _ARRAYS)
 
 
-def _dense(table: pa.Table) -> np.ndarray:
-    """The sum of sparse pieces of one range of slots."""
-    total = np.zeros(_RANGE, np.int64)
-    for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist()):
-        total[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, "<i8")
-    return total
+def _sparse(counts: np.ndarray, least: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    some = np.flatnonzero(counts)
+    return some.astype("<u2").tobytes(), counts[some].astype("<i8").tobytes(), least[some].astype("<u4").tobytes()
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = _dense(table)
-    some = np.flatnonzero(total)
+    """The sum of sparse pieces of one range of slots, as one."""
+    counts, least = np.zeros(_RANGE, np.int64), np.full(_RANGE, _NONE, np.uint32)
+    for slots, n, low in zip(*[table.column(c).to_pylist() for c in ("slots", "counts", "least")]):
+        at = np.frombuffer(slots, "<u2")
+        counts[at] += np.frombuffer(n, "<i8")
+        least[at] = np.minimum(least[at], np.frombuffer(low, "<u4"))
     one = table.slice(0, 1)
-    return pa.table([one.column("node"), one.column("at"), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([total[some].astype("<i8").tobytes()], pa.binary())], ["node", "at", "slots", "counts"])
+    return pa.table([one.column("node"), one.column("at"), *[pa.array([x], pa.binary()) for x in _sparse(counts, least)]], ["node", "at", "slots", "counts", "least"])
 
 
-def _tree_sum(arrays: DataFrame, size: int) -> np.ndarray:
-    """The sum over all tasks' arrays; each step adds up to ``_FAN`` of them, a range of slots at a time. The sum has ``size`` numbers."""
+def _tree_sum(arrays: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and least marks over all tasks' arrays; each step adds up to ``_FAN`` of them, a range of slots at a time. Both have ``size`` numbers."""
     nodes = arrays.agg(F.max("node")).first()[0] or 0
     while nodes:
-        arrays = arrays.withColumn("node", (F.col("node") / _FAN).cast("int")).groupBy("at", "node").applyInArrow(_add, "node int, at int, slots binary, counts binary")
+        arrays = arrays.withColumn("node", (F.col("node") / _FAN).cast("int")).groupBy("at", "node").applyInArrow(_add, _ARRAYS)
         nodes //= _FAN
-    out = np.zeros(-(-size // _RANGE) * _RANGE, np.int64)
+    whole = -(-size // _RANGE) * _RANGE
+    counts, least = np.zeros(whole, np.int64), np.full(whole, _NONE, np.uint32)
     for r in arrays.collect():  # one row for each range
-        out[r["at"] * _RANGE + np.frombuffer(r["slots"], "<u2").astype(int)] = np.frombuffer(r["counts"], "<i8")
-    return out[:size]
+        at = r["at"] * _RANGE + np.frombuffer(r["slots"], "<u2").astype(int)
+        counts[at], least[at] = np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["least"], "<u4")
+    return counts[:size], least[:size]
+
+
+def _spelled(docs: DataFrame, found) -> DataFrame:
+    """(key, lang, phrase, sides): the phrases of a hash, read where their occurrence with the least mark stands; ``found`` is a broadcast (hash, least marks)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, least = found.value
+        seen = np.zeros(len(table), bool)
+        for batch in batches:
+            for r in runs(batch):
+                for n, at, slots in _hits(r, table):
+                    if n == 1 or not len(at):
+                        continue
+                    here = (r.marks(at) == least[slots]) & ~seen[slots]
+                    new, first = np.unique(slots[here], return_index=True)
+                    where = at[here][first]
+                    seen[new] = True
+                    if len(new):
+                        sides = r.sides(where, n).view(np.int64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * sides.shape[1], pa.int32()), pa.array(sides.ravel()))
+                        yield pa.record_batch([pa.array(sides[:, 0]), pa.array([r.langs[t] for t in r.text[where]], pa.string()), pa.array([r.phrase(i, n) for i in where.tolist()], pa.string()), lists], ["key", "lang", "phrase", "sides"])
+
+    return docs.select("lang", "text").mapInArrow(read, _PHRASES)
 
 
 def _read_slots(phrases: DataFrame, read) -> DataFrame:
@@ -228,30 +253,29 @@ def _read_slots(phrases: DataFrame, read) -> DataFrame:
     return phrases.mapInArrow(fill, phrases.schema)
 
 
-def counted_phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) -> tuple[DataFrame, DataFrame]:
-    """(key, lang, phrase, sides, got): every candidate phrase; ``got`` are the counts of itself and of both sides of each cut. (lang, n): words of each language."""
+def counted_phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
+    """(key, lang, phrase, sides, got): every candidate phrase; ``got`` are the counts of itself and of both sides of each cut."""
     sc = docs.sparkSession.sparkContext
     keys = candidates(docs, params)
-    n_keys = keys.count()
-    blocks = max(1, -(-n_keys // params.block))
-    reads, found = [], []
+    blocks = max(1, -(-keys.count() // params.block))
+    reads, parts = [], []
     for b in range(blocks):
         mine = keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow().column("key").to_numpy()
         table = PerfectHash(mine.view(np.uint64))
         sent = sc.broadcast(table)
-        found.append(C.cut(_by_slot(docs, sent)))
-        arrays = found[-1].where("slots is not null").select("node", "at", "slots", "counts")
-        reads.append(sc.broadcast((table, _tree_sum(arrays, len(table)))))
+        arrays = C.cut(_by_slot(docs, sent))
+        counts, least = _tree_sum(arrays, len(table))
+        C.drop(arrays)
+        marks = sc.broadcast((table, least))
+        parts.append(C.cut(_spelled(docs, marks).groupBy("key").agg(F.min(F.struct("lang", "phrase", "sides")).alias("it")).select("key", "it.*")))
+        reads.append(sc.broadcast((table, counts)))
         sent.unpersist()
-    words = found[0].where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = None
-    for f in found:
-        some = f.where("phrase is not null").groupBy("key").agg(F.min(F.struct("lang", "phrase", "sides")).alias("it")).select("key", "it.*")
-        phrases = some if phrases is None else phrases.union(some)
-    phrases = phrases.withColumn("got", F.transform("sides", lambda x: F.lit(0).cast("long")))
-    for k, read in enumerate(reads):  # a task holds one block at a time
-        phrases = _read_slots(phrases if k == 0 else C.cut(phrases), read)
-    return phrases, words
+        marks.unpersist()
+    phrases = reduce(DataFrame.union, parts).withColumn("got", F.transform("sides", lambda x: F.lit(0).cast("long")))
+    for read in reads:  # a task holds one block at a time
+        phrases = C.cut(_read_slots(phrases, read))
+    C.drop(keys, *parts)
+    return phrases
 
 
 def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
@@ -261,8 +285,9 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> Data
     (ties) the one after fewer words counts. A null or empty text has no words; a null lang is "und", as is a lang of that name. Repeated rows and repeated ids count each. Very long texts and words are
     read whole. An empty table gives an empty result. Columns other than lang and text are not looked at.
     """
-    phrases, words = counted_phrases(docs.select(C.quoted("lang").cast("string").alias("lang"), C.quoted("text").cast("string").alias("text")), params)
-    phrases = C.cut(phrases)
+    own = docs.select(F.coalesce(C.quoted("lang").cast("string"), F.lit("und")).alias("lang"), C.quoted("text").cast("string").alias("text"))
+    phrases = counted_phrases(own, params)
+    words = own.groupBy("lang").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))).cast("bigint").alias("n"))
     size = F.shiftright(F.size("sides"), 1) + 1
     whole = lambda x: x.cast("decimal(15,0)")
 
@@ -275,6 +300,8 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> Data
     longer = longer.where(F.col("of_longer") >= params.min_count).groupBy("key").agg(F.max("of_longer").alias("of_longer"))
     scored = phrases.withColumn("a", F.get("got", F.lit(0))).where(F.col("a") >= params.min_count).withColumn("low", F.array_min(F.array_compact(F.array(*[cut_at(k) for k in range(1, LONGEST)])))).withColumn("words", size)
     alone = scored.join(longer, "key", "left").where(F.col("of_longer").isNull() | (F.col("words") == LONGEST) | (100 * F.col("of_longer") < params.contained_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = alone.select("lang", "phrase", "a", "low.l", "low.r", "low.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= params.top)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= params.top)
+    named = alone.select("lang", "phrase", "a", "low.l", "low.r", "low.score", F.pmod("key", F.lit(_SHARES)).alias("share"))
+    best = ranked(ranked(named, "lang", "share").drop("rank", "share"), "lang")  # the best of each share of a language first, so none of its rows meet in one task before
     return best.join(words, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
