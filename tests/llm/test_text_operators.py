@@ -17,7 +17,7 @@ from lotwise.llm.components import components
 from lotwise.llm.decontaminate import decontaminate
 from lotwise.llm import license_scan as licenses
 from lotwise.llm.license_scan import license_scan
-from lotwise.llm.mixing import MixParams, mix
+from lotwise.llm.mixing import DIMENSIONS, MixParams, mix, mix_report
 from lotwise.llm.near_dedup import NearParams, likelihood, near_dedup
 from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
@@ -383,8 +383,7 @@ def test_mixing_meets_its_targets(spark, odd, rows, none):
     assert abs(weight.sum() / out["n_tokens"].sum() - 0.5) < 1e-6
     share = out.groupby("source")["n_tokens"].sum() / out["n_tokens"].sum()
     goal = share**0.7 / (share**0.7).sum()
-    if out["probability"].max() < 1:
-        assert (abs(weight.groupby(out["source"]).sum() / weight.sum() - goal) < 1e-3).all()
+    assert (abs(weight.groupby(out["source"]).sum() / weight.sum() - goal) < 1e-3).all()
     assert abs(out["kept"].mean() - 0.5) < 0.1 and out["kept"].dtype == bool
     again = mix(odd, MixParams(most_rounds=3)).collect()
     assert len(again) == len(rows) and all(not r["kept"] for r in again if not words(r["text"])) and {r["id"] for r in again} == {"z"}
@@ -393,23 +392,40 @@ def test_mixing_meets_its_targets(spark, odd, rows, none):
 
 
 @pytest.mark.parametrize("few", [200_000, 0])
-def test_mixing_meets_targets_that_leave_no_room(spark, recwarn, few):
+def test_mixing_keeps_what_was_asked_where_targets_leave_no_room(spark, few):
+    """Values that cannot reach their targets stay whole, all others keep the ratios of theirs; the report says so."""
     rng = random.Random(8)
     docs = [(k, prose(rng, 10 if k % 40 == 0 else rng.randrange(60, 90)), "big" if k % 9 else f"s{k % 2}") for k in range(720)]
-    out = mix(table(spark, docs), MixParams(most_broadcast=few)).toPandas()
+    params = MixParams(most_broadcast=few)
+    out = mix(table(spark, docs), params).toPandas()
     weight = out["probability"] * out["n_tokens"]
-    assert out["probability"].max() <= 1 and 0 < weight.sum() < 0.75 * out["n_tokens"].sum()
+    assert out["probability"].max() <= 1 and abs(weight.sum() / out["n_tokens"].sum() - 0.75) < 1e-6
     for d in ("source", "topic"):
-        share = out.groupby(d)["n_tokens"].sum() / out["n_tokens"].sum()
-        drawn = weight.groupby(out[d]).sum() / weight.sum()
-        assert (abs(drawn / (share**0.7 / (share**0.7).sum()) - 1) < 1e-3).all()
-    # the share kept is near to the most that the rarest topic allows, not only what the fullest cell of plain raking does
-    share = out.groupby("topic")["n_tokens"].sum() / out["n_tokens"].sum()
-    most = (share / (share**0.7 / (share**0.7).sum())).min()
-    assert weight.sum() / out["n_tokens"].sum() > 0.9 * most
-    recwarn.clear()
-    mix(table(spark, docs), MixParams(most_rounds=1, most_broadcast=few)).count()
-    assert any("targets missed" in str(w.message) for w in recwarn)
+        tokens = out.groupby(d)["n_tokens"].sum()
+        target = (tokens / tokens.sum()) ** 0.7
+        expected = weight.groupby(out[d]).sum()
+        full = expected > tokens * (1 - 1e-3)
+        assert full.any() and not full.all()
+        ratios = (expected / target)[~full]
+        assert ratios.max() / ratios.min() < 1 + 2e-3 and ((tokens / target)[full] <= ratios.max() * (1 + 2e-3)).all()
+    report = mix_report(table(spark, docs), params).toPandas()
+    whole = report[report["dimension"] == "all"].iloc[0]
+    assert abs(whole["expected"] - 0.75) < 1e-6 and abs(whole["misfit"]) < 1e-5
+    for d in DIMENSIONS:
+        some = report[report["dimension"] == d].set_index("value")
+        assert np.allclose(some["expected"], (weight.groupby(out[d]).sum() / weight.sum())[some.index]) and np.isclose(some["expected"].sum(), 1)
+        assert (some["tokens"] == out.groupby(d)["n_tokens"].sum()[some.index]).all()
+
+
+def test_draws_equal_to_the_probability_are_not_kept(spark):
+    docs = table(spark, [(k, f"word {k}", "a") for k in range(40)])
+    draws = docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(MixParams().seed), "doc_id", "text"), 11) / float(2**53))
+    for k, draw in draws.limit(5).collect():
+        # one source for each document, so that its probability is set by its target alone
+        own = docs.withColumn("source", F.col("doc_id").cast("string")).where(F.col("doc_id").isin(k, k + 1))
+        targets = spark.createDataFrame([(str(k), draw), (str(k + 1), 1 - draw)], "source string, target double")
+        got = {r["doc_id"]: r for r in mix(own, MixParams(keep_share=0.5), {"source": targets}).collect()}
+        assert abs(got[k]["probability"] - draw) < 1e-9 and got[k]["kept"] == (draw < got[k]["probability"])
 
 
 def test_mixing_equals_plain_raking(spark):
@@ -436,7 +452,8 @@ def test_mixing_equals_plain_raking(spark):
             for c, w in weight.items():
                 has[c[i]] += w
             weight = {c: w * goal[c[i]] / has[c[i]] for c, w in weight.items()}
-    scale = min(0.4, min(tokens[c] / w for c, w in weight.items()))
+    scale = 0.4
+    assert scale < min(tokens[c] / w for c, w in weight.items())
     assert all(abs(r["probability"] - scale * weight[tuple(r[d] for d in dims)] / tokens[tuple(r[d] for d in dims)]) < 1e-3 for r in out)
 
 
