@@ -2,8 +2,8 @@
 
 A window is ``width`` consecutive words of an item. Of the word ``k``-grams of each window the least hash is its fingerprint, in
 items and in documents alike, so any shared window has a shared fingerprint (``k`` + number of grams in a window - 1 = ``width``).
-Fingerprint hits are then extended: the item's window is laid over the document around the shared gram and the words
-are compared. An item of fewer words is one window whose only fingerprint is the hash of all its words.
+Fingerprint hits are then extended: where a document's window has a fingerprint of the benchmark, the hash of its words looks up the one window that can be equal, and the words of both
+are compared. So a place in a document meets one window, however many of the benchmark share its fingerprint. An item of fewer words is one window whose only fingerprint is the hash of all its words.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ def _minima(hashes: Column, w: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = 10, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(window, words, n, fp, off): the distinct windows with fingerprint and the fingerprint's offset; (window, item_id): who has them."""
+    """(window, words, n, fp, wh): the distinct windows with fingerprint and hash of all words; (window, item_id): who has them."""
     w = width - k + 1
     items = benchmark.select("item_id", item_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     cutup = F.when(F.size("words") < width, F.array(F.col("words"))).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1))), lambda i: F.slice("words", i, width))
     )
-    rows = items.select("item_id", F.explode(cutup).alias("words")).withColumn("window", F.sha2(F.array_join("words", " "), 256))
+    rows = items.select("item_id", F.explode(cutup).alias("words")).withColumn("window", F.unhex(F.sha2(F.array_join("words", " "), 256)))
     held = rows.select("window", "item_id").distinct()
     n = F.size("words")
     windows = (
@@ -47,7 +47,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10, k: int = 5) -> tupl
         .withColumn("n", n)
         .withColumn("_h", C.grams(F.col("words"), k))
         .withColumn("fp", F.when(F.col("n") < width, F.xxhash64(F.col("n"), "words")).otherwise(F.array_min("_h")))
-        .withColumn("off", F.when(F.col("n") < width, F.lit(0)).otherwise((F.array_position("_h", F.col("fp")) - 1).cast("int")))
+        .withColumn("wh", F.xxhash64("n", "words"))
         .drop("_h")
     )
     return windows, held
@@ -80,19 +80,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
     lengths = docs.select("doc_id", F.xxhash64("text").alias("body"), F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("bigint").alias("n_words"))
     scanned = own.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*marks))).alias("mark"))
     prints = windows.select(F.col("fp").alias("mark")).distinct()
-    touched = C.cut(scanned.join(near(prints), "mark", "left_semi").select("doc_id", "body").distinct())
-    some = F.broadcast(touched) if C.small(touched, most_broadcast) else touched
+    touched = C.cut(scanned.join(near(prints), "mark", "left_semi").groupBy("doc_id", "body").agg(F.collect_set("mark").alias("prints")))
+    some = F.broadcast(touched) if touched.agg(F.coalesce(F.sum(F.size("prints") + 1), F.lit(0))).first()[0] <= most_broadcast else touched
     texts = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.body") == F.col(f"{b}.body"))
-    hit_docs = texts.alias("a").join(some.alias("b"), same("a", "b"), "left_semi").dropDuplicates(["doc_id", "text"])
-    hit_docs = C.cut(hit_docs.select("doc_id", "body", item_words(F.col("text")).alias("_words")))
-    # places of fingerprints meet the windows without the words of the document; these come back once for all its hits
-    placed = lambda hashes, m: F.transform(hashes, lambda h, i: F.struct(h.alias("fp"), i.alias("at"), F.lit(m).alias("m")))
-    places = F.concat(placed(C.grams(tokens, k), width), *[placed(_short(tokens, m), m) for m in shorts])
+    hit_docs = texts.alias("a").join(some.alias("b"), same("a", "b")).select("a.doc_id", "a.body", "a.text", "prints").dropDuplicates(["doc_id", "text"])
+    hit_docs = C.cut(hit_docs.select("doc_id", "body", item_words(F.col("text")).alias("_words"), "prints"))
+    # a place with a fingerprint of the benchmark meets windows by the hash of its words, which come back once for all hits of the document
+    known = lambda h: F.array_contains("prints", h)
+    laid_over = lambda hashes, m: F.filter(
+        F.transform(hashes, lambda h, i: F.when(known(h), F.struct(i.alias("s"), F.lit(m).alias("n"), F.xxhash64(F.lit(m), F.slice(tokens, i + 1, m)).alias("wh")))), lambda p: p.isNotNull()
+    )
+    places = F.concat(laid_over(C.let(C.grams(tokens, k), lambda h: _minima(h, width - k + 1)), width), *[laid_over(_short(tokens, m), m) for m in shorts])
     laid = hit_docs.select("doc_id", "body", F.explode(places).alias("p")).select("doc_id", "body", "p.*")
-    met = laid.join(near(windows), "fp").where((F.col("n") == F.col("m")) & (F.col("at") >= F.col("off")))
-    spot = F.struct((F.col("at") - F.col("off")).alias("s"), "n", "window", F.col("words").alias("item"))
-    by_doc = met.groupBy("doc_id", "body").agg(F.collect_set(spot).alias("spots"))
+    met = laid.join(near(windows.select("wh", "n", "window")), ["wh", "n"])
+    spot = F.struct("s", "n", "window", F.col("words").alias("item"))
+    by_doc = met.join(windows.select("window", "words"), "window").groupBy("doc_id", "body").agg(F.collect_list(spot).alias("spots"))
     whole = hit_docs.alias("a").join(by_doc.alias("b"), same("a", "b")).select("a.doc_id", "a.body", "_words", "spots")
     equal = F.filter("spots", lambda x: F.slice(tokens, x["s"] + 1, x["n"]) == x["item"])
     exact = C.cut(whole.select("doc_id", "body", F.explode(equal).alias("x")).select("doc_id", "body", "x.s", "x.n", "x.window"))

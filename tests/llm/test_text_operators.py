@@ -14,7 +14,7 @@ from lotwise.llm import common as C
 from lotwise.llm import textnp as T
 from lotwise.llm import token_files
 from lotwise.llm.components import components
-from lotwise.llm.decontaminate import decontaminate
+from lotwise.llm.decontaminate import benchmark_windows, decontaminate
 from lotwise.llm import license_scan as licenses
 from lotwise.llm.license_scan import license_scan
 from lotwise.llm.mixing import DIMENSIONS, MixParams, mix, mix_report
@@ -112,6 +112,20 @@ def test_decontamination_equals_brute_force(spark, odd, rows, none):
     assert sorted((repr(r["doc_id"]), r["n_hit"]) for r in shuffled.collect()) == sorted((w[0], w[2]) for w in want)
 
 
+def test_items_that_share_a_fingerprint(spark):
+    """300 items around one phrase: each place of a document meets the one window that has its words."""
+    rng = random.Random(21)
+    phrase = "which of the following is"
+    items = [(k, f"{prose(rng, 4)} {phrase} {prose(rng, 6)}") for k in range(300)]
+    rows = [(k, f"{prose(rng, 8)} {items[k % 300][1] if k % 2 else phrase} {prose(rng, 8)}", "a") for k in range(400)] + [(1000, " ".join([phrase] * 400), "a"), (1001, " ".join(t for _, t in items), "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (1_000_000, 0):
+        got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate(table(spark, rows), bench, most_broadcast=most).collect())
+        assert got == sorted((i, *hits(t, items)) for i, t, _ in rows)
+    windows, _ = benchmark_windows(bench)
+    assert windows.groupBy("wh", "n").count().agg(F.max("count")).first()[0] == 1 and windows.groupBy("fp").count().agg(F.max("count")).first()[0] > 100
+
+
 # -- 1 and 5 -----------------------------------------------------------------------------------------------------------
 
 
