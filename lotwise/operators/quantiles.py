@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Equal parts that a range is counted in.
 PARTS = 4096
+#: Accuracy of the estimates that bracket a rank, and different values of a bracket that may reach the driver.
+ACCURACY, MOST_VALUES = 10_000, 200_000
 
 
 def _ranked(long: DataFrame, wanted: dict[tuple, tuple[float, float, int]]) -> dict[tuple, float]:
@@ -39,25 +41,88 @@ def _ranked(long: DataFrame, wanted: dict[tuple, tuple[float, float, int]]) -> d
     return out
 
 
+def _long(df: DataFrame, values: dict[str, Column], by: Column | None = None) -> DataFrame:
+    """(g, name, v): the values that are there, one a row."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()])
+    return df.select((F.lit(None).cast("string") if by is None else by).alias("g"), F.explode(pairs).alias("p")).select("g", "p.name", "p.v").where("v is not null and not isnan(v)")
+
+
+def _bracketed(df: DataFrame, values: dict[str, Column], qs: tuple[float, ...]) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """How many values each column has, and the value of the ranks that its quantiles need, in two passes over ``df`` (or one more for each factor of a thousand beyond half a billion rows).
+
+    A pass estimates values a little below and above each rank, all columns side by side. The last one counts what lies below a bracket and its different values. A rank that an estimate missed is left to the narrowing of ranges.
+    """
+    # the values are computed once a row: behind an explode no pass repeats their expressions
+    df = df.select(F.explode(F.array(F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())]))).alias("r")).select("r.*")
+    own = {n: F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")) for i, n in enumerate(values)}
+    first = df.agg(*[x for i, v in enumerate(own.values()) for x in (F.count(v).alias(f"n{i}"), F.percentile_approx(v, _places(qs), F.lit(ACCURACY)).alias(f"e{i}"))]).first()
+    counts = {n: first[f"n{i}"] for i, n in enumerate(own)}
+    brackets = {(n, q): (first[f"e{i}"][2 * k], first[f"e{i}"][2 * k + 1]) for i, n in enumerate(own) if counts[n] for k, q in enumerate(qs)}
+    within = {n: counts[n] for n in own}
+    while max(within.values(), default=0) * 8 // ACCURACY > MOST_VALUES:
+        inner = {k: F.when(own[k[0]].between(*b), own[k[0]]) for k, b in brackets.items()}
+        below = {k: F.count_if(own[k[0]] < b[0]) for k, b in brackets.items()}
+        row = df.agg(*[F.struct(below[k].alias("below"), F.count(v).alias("n")).alias(f"c{i}") for i, (k, v) in enumerate(inner.items())]).first()
+        aims = {k: [r for r in _ranks(k[1], counts[k[0]])] for k in brackets}
+        at = {k: [min(1.0, max(0.0, (r + d - row[f"c{i}"]["below"]) / max(1, row[f"c{i}"]["n"]) + e / ACCURACY)) for r, d, e in ((aims[k][0], 0, -2), (aims[k][1], 1, 2))] for i, k in enumerate(inner)}
+        new = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, at[k])), F.lit(ACCURACY)).alias(f"e{i}") for i, (k, v) in enumerate(inner.items())]).first()
+        smaller = {k: tuple(new[f"e{i}"] or b) for i, (k, b) in enumerate(brackets.items())}
+        if smaller == brackets:
+            break
+        within = {k: row[f"c{i}"]["n"] // (ACCURACY // 8) for i, k in enumerate(inner)}
+        brackets = smaller
+    marked = [F.struct(F.lit(f"{n}|{q!r}").alias("name"), F.when(own[n] >= lo, own[n]).alias("v"), (own[n] <= hi).alias("near")) for (n, q), (lo, hi) in brackets.items()]
+    out: dict[tuple[str, int], float] = {}
+    if not marked:
+        return counts, out
+    tally: dict[str, list] = {}
+    for r in df.select(F.explode(F.array(*marked)).alias("p")).where("p.near").groupBy("p.name", "p.v").count().collect():
+        tally.setdefault(r["name"], []).append((r["v"], r["count"]))
+    for n, q in brackets:
+        some = tally.get(f"{n}|{q!r}", [])
+        at = sum(c for v, c in some if v is None)
+        wanted = [r for r in _ranks(q, counts[n]) if r >= at]
+        for v, c in sorted((v, c) for v, c in some if v is not None):
+            out |= {(n, r): v for r in wanted if at <= r < at + c}
+            at += c
+    return counts, out
+
+
+def _places(qs: tuple[float, ...]) -> Column:
+    return F.array(*[F.lit(min(1.0, max(0.0, q + d))) for q in qs for d in (-2 / ACCURACY, 2 / ACCURACY)])
+
+
+def _ranks(q: float, n: int) -> tuple[int, int]:
+    x = q * (n - 1)
+    return int(x), min(int(x) + 1, n - 1)
+
+
 def quantiles(df: DataFrame, values: dict[str, Column], qs: tuple[float, ...], by: Column | None = None) -> dict:
     """{(group, name, q): the linear-interpolated quantile of the non-null values}, all columns, quantiles and groups at once; without ``by`` the group is null.
 
-    One pass takes counts and ranges; each further pass counts the values in equal parts of the open ranges and goes on with the part around each wanted rank,
-    until it holds one value. Only counts reach the driver: a few thousand for each open range. Groups are few.
+    Without groups estimates bracket each rank and the values of the brackets are counted. With them one pass takes counts and ranges, and each further pass counts the values in equal parts of the open
+    ranges and goes on with the part around each wanted rank, until it holds one value. Only counts reach the driver: a few thousand for each open range. Groups are few.
     """
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()])
-    long = df.select((F.lit(None).cast("string") if by is None else by).alias("g"), F.explode(pairs).alias("p")).select("g", "p.name", "p.v").where("v is not null and not isnan(v)")
-    stats = {(r["g"], r["name"]): r for r in long.groupBy("g", "name").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    place = {(*k, q): q * (r["n"] - 1) for k, r in stats.items() for q in qs}
-    wanted = {}
-    for (g, name, _), x in place.items():
-        r = stats[g, name]
-        for rank in (int(x), min(int(x) + 1, r["n"] - 1)):
-            wanted[g, name, rank] = (r["lo"], r["hi"], 0)
-    at = _ranked(long, wanted)
-    low = lambda g, name, x: at[g, name, int(x)]
-    high = lambda g, name, x: at[g, name, min(int(x) + 1, stats[g, name]["n"] - 1)]
-    return {(g, name, q): low(g, name, x) + (high(g, name, x) - low(g, name, x)) * (x - int(x)) for (g, name, q), x in place.items()}
+    if by is None:
+        counts, at = _bracketed(df, values, qs)
+        at = {(None, n, r): v for (n, r), v in at.items()}
+        stats = {(None, n): c for n, c in counts.items() if c}
+        missed = {(None, n, r) for (_, n), c in stats.items() for q in qs for r in _ranks(q, c)} - set(at)
+        if missed:
+            long = _long(df, {n: values[n] for _, n, _ in missed})
+            ends = {(r["g"], r["name"]): (r["lo"], r["hi"], 0) for r in long.groupBy("g", "name").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+            at |= _ranked(long, {k: ends[k[:2]] for k in missed})
+    else:
+        long = _long(df, values, by)
+        rows = long.groupBy("g", "name").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        stats = {(r["g"], r["name"]): r["n"] for r in rows}
+        at = _ranked(long, {(r["g"], r["name"], k): (r["lo"], r["hi"], 0) for r in rows for q in qs for k in _ranks(q, r["n"])})
+
+    def between(key: tuple, q: float) -> float:
+        low, high = (at[*key, r] for r in _ranks(q, stats[key]))
+        return low + (high - low) * (q * (stats[key] - 1) % 1.0)
+
+    return {(*key, q): between(key, q) for key in stats for q in qs}
 
 
 def quantile(df: DataFrame, value: Column, q: float) -> float | None:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import geo, shapes
+from lotwise.sources.tables import stored
 
-#: Parts of a zone's range that its pixels are counted in before they are sorted.
-PARTS = 64
+#: Parts of a large zone's range that its pixels are counted in.
+PARTS = 1024
+#: Pixels of a zone that are sorted as one array.
+MOST_AT_ONCE = 1 << 16
 #: Rows of a band of a shape.
 BAND = 64
 
@@ -105,20 +108,32 @@ def totals(pixels: DataFrame, layers: dict[str, str], zone: str = "zone", valid:
     return used.groupBy(zone).agg(F.count("*").alias("pixels"), *[F.sum(F.col(c).cast("double")).alias(n) for n, c in layers.items()])
 
 
-def nearest_rank(pixels: DataFrame, value: str, q: float, name: str, zone: str = "zone", valid: str = "valid") -> DataFrame:
+def nearest_rank(pixels: DataFrame, value: str, q: float, name: str, zone: str = "zone", valid: str = "valid", most: int = MOST_AT_ONCE) -> DataFrame:
     """Per zone the value of rank rint(q * (n - 1)), without interpolation.
 
-    Zones are counted in equal parts of their range first, so only the pixels of the part that holds the rank are sorted: a zone of very many pixels stays spread over tasks until then.
+    Zones are counted first. Those of up to ``most`` pixels are sorted as an array each. The range of a larger one is counted in equal parts, and the part with the wanted rank again, until it holds
+    no more than that or one value only; so no task ever sorts a large zone.
     """
-    used = pixels.where((F.col(zone) > 0) & F.col(valid)).select(F.col(zone).alias("z"), F.col(value).alias("v"))
-    range_of = used.groupBy("z").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0).cast("int")
-    placed = used.join(range_of, "z").select("z", "v", part.alias("part"), (F.rint(F.lit(q) * (F.col("n") - 1)) + 1).alias("rank"))
-    counts = placed.groupBy("z", "part").agg(F.count("*").alias("k"), F.first("rank").alias("rank"))
-    below = F.coalesce(F.sum("k").over(Window.partitionBy("z").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wanted = counts.withColumn("below", below).where((F.col("below") < F.col("rank")) & (F.col("rank") <= F.col("below") + F.col("k"))).select("z", "part", "below")
-    near = placed.join(wanted, ["z", "part"]).withColumn("r", F.row_number().over(Window.partitionBy("z").orderBy("v")) + F.col("below"))
-    return near.where("r = rank").select(F.col("z").alias(zone), F.col("v").alias(name))
+    used = pixels.where((F.col(zone) > 0) & F.col(valid)).select(F.col(zone).alias("z"), F.col(value).cast("double").alias("v"))
+    pick = lambda values, rank: F.get(F.sort_array(F.collect_list(values)), rank)
+    wanted = lambda n: F.rint(F.lit(q) * (n - 1)).cast("int")
+    large = stored(used.groupBy("z").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    some = large.limit(1).count() > 0
+    small = used.join(large.select("z"), "z", "left_anti") if some else used
+    out = small.groupBy("z").agg(pick("v", wanted(F.count("*"))).alias("v"))
+    if some:
+        open_ = stored(used.join(large, "z").groupBy("z").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k"), F.lit(0).cast("bigint").alias("below"), F.rint(F.lit(q) * (F.count("*") - 1)).cast("bigint").alias("rank")))
+        unsettled = (F.col("k") > most) & (F.col("lo") < F.col("hi"))
+        while open_.where(unsettled).limit(1).count():
+            met = used.join(open_, "z").where(F.col("v").between(F.col("lo"), F.col("hi")))
+            part = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS), F.lit(PARTS - 1))).otherwise(0)
+            counts = met.groupBy("z", part.cast("int").alias("part")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("k"), F.first("below").alias("start"), F.first("rank").alias("rank"))
+            before = F.coalesce(F.sum("k").over(Window.partitionBy("z").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most PARTS rows of a zone
+            placed = counts.withColumn("below", F.col("start") + before)
+            open_ = stored(placed.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("k"))).select("z", "lo", "hi", "k", "below", "rank"))
+        last = used.join(open_.where("lo < hi"), "z").where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("z").agg(pick("v", F.first(F.col("rank") - F.col("below")).cast("int")).alias("v"))
+        out = out.unionByName(last).unionByName(open_.where("lo = hi").select("z", F.col("lo").alias("v")))
+    return out.select(F.col("z").alias(zone), F.col("v").alias(name))
 
 
 def for_all(zones: DataFrame, found: DataFrame, zone: str = "zone") -> DataFrame:

@@ -1,8 +1,11 @@
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import geo
 from lotwise.operators import neighbourhood, zonal
+from lotwise.operators import quantiles as exact
 from lotwise.operators.quantiles import quantile, quantiles
 
 
@@ -83,3 +86,29 @@ def test_discs_cut_a_zone(spark):
     assert got == {(r, c) for r in range(10) for c in range(10) if (r + 0.5 - 5) ** 2 + (c + 0.5 - 5) ** 2 < 4}
     touched = {(r["row"], r["col"]) for r in zonal.label_rings(disc, all_touched=True).collect()}
     assert got < touched and (5, 6) in touched and (0, 0) not in touched
+
+
+@pytest.mark.parametrize("most", [1 << 16, 50])
+def test_ranks_of_large_zones(spark, most):
+    """One zone holds most pixels, one far value stretches its range, another has equal values only."""
+    rng = np.random.default_rng(5)
+    values = {1: np.append(rng.random(3000), 1e9), 2: np.full(400, 2.5), 3: rng.normal(size=40), 4: np.repeat(rng.random(7), 60), 5: np.array([4.0])}
+    df = spark.createDataFrame([(z, float(v), True) for z, some in values.items() for v in some] + [(1, -5.0, False), (0, 1.0, True)], "zone int, v double, valid boolean")
+    for q in (0.0, 0.25, 0.75, 1.0):
+        got = {r["zone"]: r["p"] for r in zonal.nearest_rank(df, "v", q, "p", most=most).collect()}
+        assert got == {z: np.sort(some)[int(np.rint(q * (len(some) - 1)))] for z, some in values.items()}
+
+
+def test_quantiles_by_brackets_and_by_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    data = pd.DataFrame({"a": rng.normal(size=n), "b": np.round(rng.random(n), 1), "c": np.where(rng.random(n) < 0.5, 0.0, rng.random(n)), "d": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n)), "none": np.nan})
+    df, qs = spark.createDataFrame(data), (0.0, 0.4, 0.5, 0.999, 1.0)
+    for most in (exact.MOST_VALUES, 1):
+        monkeypatch.setattr(exact, "MOST_VALUES", most)
+        got = quantiles(df, {c: F.col(c) for c in data}, qs)
+        assert {k[1] for k in got} == set("abcd")
+        assert all(abs(got[None, c, q] - np.nanquantile(data[c], q)) < 1e-12 for c in "abcd" for q in qs)
+    grouped = quantiles(df, {"a": F.col("a")}, (0.3,), by=F.col("b").cast("string"))
+    assert all(abs(v - np.quantile(data["a"][data["b"].astype(str) == g], 0.3)) < 1e-12 for (g, _, _), v in grouped.items())
+    assert quantile(df.limit(0), F.col("a"), 0.5) is None
