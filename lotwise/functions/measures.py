@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lotwise.params import CLASSES, FOCUS_SIZES, NOT_STRUCTURES, OTHER_STOREY_FACTOR, SQFT_TO_M2, STOREY_FACTOR, Detector
+from lotwise.params import CLASS_COLOURS, CLASSES, FOCUS_SIZES, NOT_STRUCTURES, OTHER_STOREY_FACTOR, SQFT_TO_M2, STOREY_FACTOR, Detector
 
 
 def clip(x: Column, low: float, high: float) -> Column:
@@ -92,7 +92,7 @@ def finite(x: Column) -> Column:
 
 def ramp(score: Column, valid: Column, detector: Detector = Detector(), alpha: int = 200) -> Column:
     """Colour of a score as a struct (r, g, b, a); transparent where there is no damage or no data."""
-    colours = {"possible": (255, 213, 79), "moderate": (255, 152, 0), "severe": (229, 57, 53), "destroyed": (123, 31, 162)}
+    colours = CLASS_COLOURS
     kind = damage_class(score, detector)
     out = F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"), F.lit(0).alias("a"))
     for name, (r, g, b) in colours.items():

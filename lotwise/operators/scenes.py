@@ -98,8 +98,15 @@ def calendar(spark: SparkSession, start: str, end: str, event: str, every: int =
 
 
 def upsert(scenes: DataFrame, new: DataFrame) -> DataFrame:
-    """Scenes with new ones registered, an id replacing its former row."""
-    return scenes.join(new, "id", "left_anti").unionByName(new.select(scenes.columns))
+    """Scenes with new ones registered, an id replacing its former row; of several new rows of an id the latest date holds."""
+    one = new.groupBy("id").agg(F.max_by(F.struct(*scenes.columns), "datetime").alias("r")).select("r.*")
+    return scenes.join(one, "id", "left_anti").unionByName(one)
+
+
+def remove(scenes: DataFrame, key: str) -> DataFrame:
+    """Scenes without the one of an id; none of it is a user error."""
+    by_id(scenes, key)
+    return scenes.where(F.col("id").cast("string") != key)
 
 
 def common_gsd(native_before: float, native_after: float, requested: float | None, width_m: float, height_m: float, most_pixels: int) -> float:

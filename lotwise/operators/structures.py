@@ -9,7 +9,7 @@ from lotwise.functions import geo, shapes
 from lotwise.functions import measures as M
 from lotwise.operators.parcels import tile_of, tiles_of
 from lotwise.operators.zonal import shape_lines
-from lotwise.params import CORE_AREA_FACTOR, CORE_INSET_M, CORE_MIN_RADIUS_M, LARGE_PARCEL_M2, SQFT_TO_M2
+from lotwise.params import CORE_AREA_FACTOR, CORE_INSET_M, CORE_MIN_RADIUS_M, LARGE_PARCEL_M2, SQFT_TO_M2, JobError
 
 ASPECT = 1.35
 
@@ -140,7 +140,31 @@ def sources(file: str | None = None, mapped: bool = False) -> list[dict]:
     ]
 
 
-def chosen(mapped: DataFrame | None, tax_roll: DataFrame, parcels: DataFrame, file: DataFrame | None = None, per_hundred: float = 25.0) -> tuple[str, DataFrame]:
-    """The structures to use and their kind: those of a file, the mapped ones if there are enough of them, else the tax roll's."""
-    kind = choose_source(0 if mapped is None else mapped.count(), parcels.count(), file is not None, per_hundred)
-    return kind, {"file": file, "mapped": mapped, "tax-roll": tax_roll}[kind]
+def chosen(mapped, tax_roll, parcels: DataFrame, file=None, per_hundred: float = 25.0) -> tuple[str, DataFrame, list[tuple[str, str]]]:
+    """The structures to use, their kind, and (kind, error) of the sources that failed: those of a file, the mapped ones if there are enough of them, else the tax roll's.
+
+    A source is a table or what makes one (None where there is none). Each is read for a first row before it is taken, and one that cannot be read is passed over; only a failing tax roll is an error.
+    """
+    problems: list[tuple[str, str]] = []
+
+    def tried(kind: str, source) -> DataFrame | None:
+        if source is None:
+            return None
+        try:
+            found = source() if callable(source) else source
+            found.limit(1).count()
+            return found
+        except Exception as e:  # whatever a source may raise
+            problems.append((kind, str(e)[:500]))
+            return None
+
+    given = tried("file", file)
+    if given is not None:
+        return "file", given, problems
+    found = tried("mapped", mapped)
+    if found is not None and choose_source(found.count(), parcels.count(), False, per_hundred) == "mapped":
+        return "mapped", found, problems
+    last = tried("tax-roll", tax_roll)
+    if last is None:
+        raise JobError(f"no source of structures can be read: {problems}")
+    return "tax-roll", last, problems

@@ -187,7 +187,7 @@ def test_small_pieces(spark, block, tmp_path):
         scenes.by_id(items, "z")
     assert render.hex_to_rgb("#ff8000") == (255, 128, 0)
     assert not parcels.exists(spark, str(tmp_path / "none")) and ids(parcels.in_order(block))[0] == 1
-    kind, some = structures.chosen(None, structures.from_tax_roll(block), block)
+    kind, some, failed = structures.chosen(None, structures.from_tax_roll(block), block)
     assert kind == "tax-roll" and some.count() == 9 and [x["id"] for x in structures.sources() if x["available"]] == ["auto", "tax-roll"]
 
 
