@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import raster
 from lotwise.plans.queries import query
+from lotwise.sources import catalogue
 from lotwise.sources import testviews as V
 from lotwise.sources.tables import shared_folder
 from lotwise.sources.tile_store import TileStore
@@ -107,3 +108,28 @@ def stored_upserts(spark, d):
     store.insert(again.withColumn("ord", F.lit(2)).unionByName(again.withColumns({"owner": F.lit("overtaken"), "ord": F.lit(1)})), order="ord")
     at = F.split("tile", "_")
     return store.read().select("id", "owner", F.bround("minx", 6).alias("minx"), at[0].cast("bigint").alias("tile_x"), at[1].cast("bigint").alias("tile_y"))
+
+
+# -- catalogue items ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    "catalogue_items",
+    """WITH i AS (SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS datetime, event_id % 3 AS c, event_id % 5 AS a, CASE WHEN event_id % 19 = 0 THEN NULL ELSE least(abs(value), 100e0) END AS cloud,
+      -79.3e0 + 0.001e0 * (user_id % 200) AS west FROM events)
+    SELECT id, datetime, cloud, round_even(west, 6) AS west, CASE WHEN a = 1 THEN 'blue,nir' ELSE 'blue,green,nir,red' END AS bands FROM i
+    WHERE c = 0 AND a <> 0 AND datetime >= '2024-01-05' AND datetime < '2024-01-21' AND west <= -79.16e0 AND west + 0.05e0 >= -79.24e0 AND cloud <= 40 ORDER BY datetime, id LIMIT 400""",
+)
+def catalogue_items(spark, d):
+    """Items in files, searched by the data source: box, days, cloud and collection."""
+    c = F.col
+    href = lambda b: F.struct(F.concat(F.lit(f"s3://{b}/"), c("event_id").cast("string")).alias("href")).alias(b)
+    west = -79.3 + 0.001 * (c("user_id") % 200)
+    assets = F.when(c("event_id") % 5 == 0, F.to_json(F.struct(href("thumbnail")))).when(c("event_id") % 5 == 1, F.to_json(F.struct(href("blue"), href("nir08")))).otherwise(F.to_json(F.struct(*[href(b) for b in ("blue", "green", "red", "nir08")])))
+    facts = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.when(c("event_id") % 19 != 0, F.least(F.abs("value"), F.lit(100.0))).alias("eo:cloud_cover")))
+    kind = F.when(c("event_id") % 3 == 0, "landsat-c2-l2").otherwise("sentinel-2-l2a")
+    line = F.concat(F.lit('{"id":"'), c("event_id").cast("string"), F.lit('","collection":"'), kind, F.lit('","bbox":['), F.concat_ws(",", west.cast("string"), F.lit("35.4"), (west + 0.05).cast("string"), F.lit("35.5")), F.lit('],"properties":'), facts, F.lit(',"assets":'), assets, F.lit("}"))
+    path = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    V.table(spark, d, "events").select(line.alias("value")).write.text(path)
+    found = catalogue.items(spark, path, (-79.24, 35.45, -79.16, 35.48), "2024-01-05", "2024-01-20", collection="landsat-c2-l2", max_cloud=40.0, limit=400)
+    return found.select("id", "datetime", "cloud", F.bround("west", 6).alias("west"), F.array_join(F.array_sort(F.map_keys("assets")), ",").alias("bands"))
