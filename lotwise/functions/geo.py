@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from math import pi
+from math import cos, log, pi, sin, sqrt, tan
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DEG = pi / 180
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = FLAT / (2 - FLAT)
 _RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
@@ -66,6 +68,72 @@ def utm_lonlat(x: Column, y: Column, zone: Column, south: bool = False) -> tuple
     return F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (zone * 6 - 183), F.degrees(lat)
 
 
+#: Metres of a US survey foot.
+SURVEY_FOOT = 1200 / 3937
+
+
+@dataclass(frozen=True)
+class Conic:
+    """A Lambert conformal conic projection with two standard parallels, in degrees; false easting and northing in metres, ``unit`` metres a unit of its coordinates. The ellipsoid is GRS 80 unless given."""
+
+    parallel1: float
+    parallel2: float
+    latitude0: float
+    longitude0: float
+    easting: float = 0.0
+    northing: float = 0.0
+    unit: float = 1.0
+    axis: float = 6378137.0
+    flattening: float = 1 / 298.257222101
+
+    def _constants(self) -> tuple[float, float, float, float]:
+        """Eccentricity, cone constant, scale and radius at the origin."""
+        e = sqrt(self.flattening * (2 - self.flattening))
+        m = lambda phi: cos(phi) / sqrt(1 - (e * sin(phi)) ** 2)
+        t = lambda phi: tan(pi / 4 - phi / 2) / ((1 - e * sin(phi)) / (1 + e * sin(phi))) ** (e / 2)
+        p1, p2, p0 = (x * DEG for x in (self.parallel1, self.parallel2, self.latitude0))
+        n = sin(p1) if p1 == p2 else (log(m(p1)) - log(m(p2))) / (log(t(p1)) - log(t(p2)))
+        scale = m(p1) / (n * t(p1) ** n)
+        return e, n, scale, self.axis * scale * t(p0) ** n
+
+    def xy(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        e, n, scale, rho0 = self._constants()
+        phi = F.radians(lat)
+        es = e * F.sin(phi)
+        t = F.tan(pi / 4 - phi / 2) / F.pow((1 - es) / (1 + es), F.lit(e / 2))
+        rho, theta = self.axis * scale * F.pow(t, F.lit(n)), n * F.radians(lon - self.longitude0)
+        return (self.easting + rho * F.sin(theta)) / self.unit, (self.northing + rho0 - rho * F.cos(theta)) / self.unit
+
+    def lonlat(self, x: Column, y: Column) -> tuple[Column, Column]:
+        """Longitude and latitude; the latitude by its series in the eccentricity."""
+        e, n, scale, rho0 = self._constants()
+        dx, dy = x * self.unit - self.easting, rho0 - (y * self.unit - self.northing)
+        sign = 1.0 if n > 0 else -1.0
+        rho = sign * F.sqrt(dx * dx + dy * dy)
+        chi = pi / 2 - 2 * F.atan(F.pow(rho / (self.axis * scale), F.lit(1 / n)))
+        e2 = e * e
+        terms = (
+            e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360, 7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520,
+            7 * e2**3 / 120 + 81 * e2**4 / 1120, 4279 * e2**4 / 161280,
+        )
+        lat = chi + _sum(c * F.sin(2 * j * chi) for j, c in enumerate(terms, 1))
+        return F.degrees(F.atan2(sign * dx, sign * dy) / n) + self.longitude0, F.degrees(lat)
+
+
+#: The state plane of North Carolina in survey feet, in which the county's parcel layer comes.
+NORTH_CAROLINA_FEET = Conic(34 + 20 / 60, 36 + 10 / 60, 33.75, -79.0, 609601.2192024384, 0.0, SURVEY_FOOT)
+
+
+def to_degrees(shape: Column, conic: Conic) -> Column:
+    """A shape in the coordinates of a conic projection, in degrees."""
+
+    def point(p: Column) -> Column:
+        lon, lat = conic.lonlat(p["x"], p["y"])
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return F.transform(shape, lambda ring: F.transform(ring, point))
+
+
 def bbox_km2(w: Column, s: Column, e: Column, n: Column) -> Column:
     return F.abs(111.320 * F.cos(F.radians((s + n) / 2)) * (e - w) * 110.574 * (n - s))
 
@@ -178,6 +246,3 @@ def parse_bbox(given: str | list[float] | tuple[float, ...]) -> tuple[float, flo
     if not (-180 <= w and e <= 180 and -90 <= s and n <= 90):
         raise ValueError("a box lies within 180 degrees of longitude and 90 of latitude")
     return w, s, e, n
-
-
-DEG = pi / 180

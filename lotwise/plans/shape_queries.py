@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.functions import shapes
-from lotwise.operators import parcels, structures, zonal
+from lotwise.functions import geo, shapes
+from lotwise.operators import parcels, rings, structures, zonal
 from lotwise.plans.queries import query
 from lotwise.sources import testviews as V
 
@@ -98,3 +98,58 @@ def developed_core_shapes(spark, d):
     lots = lots.withColumns({"xm": F.col("w") * 0.55, "ym": F.col("h") * 0.3 + 0.2 * F.col("h") * (F.col("zone") % 3)})
     lots = lots.withColumn("shape", V.notched("0", "0", "w", "h", "xm", "ym")).select("zone", "ord", "shape", "built_m2")
     return structures.core_pixels(lots, 2.0).groupBy("zone").agg(F.count("*").alias("pixels"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+# -- layers of parcels -------------------------------------------------------------------------------------------------
+
+_NC = "6378137e0 AS a, sqrt((2e0 - 1e0 / 298.257222101e0) / 298.257222101e0) AS e, radians(34e0 + 20e0 / 60e0) AS p1, radians(36e0 + 10e0 / 60e0) AS p2, radians(33.75e0) AS p0"
+_M = "cos({0}) / sqrt(1 - pow(e * sin({0}), 2))"
+_T = "tan(pi() / 4 - {0} / 2) / pow((1 - e * sin({0})) / (1 + e * sin({0})), e / 2)"
+
+
+@query(
+    "state_plane",
+    f"""WITH k AS (SELECT {_NC}), n AS (SELECT *, (ln({_M.format("p1")}) - ln({_M.format("p2")})) / (ln({_T.format("p1")}) - ln({_T.format("p2")})) AS n FROM k),
+    s AS (SELECT *, {_M.format("p1")} / (n * pow({_T.format("p1")}, n)) AS f FROM n), o AS (SELECT *, a * f * pow({_T.format("p0")}, n) AS rho0 FROM s),
+    p AS (SELECT id, minx, miny, a * f * pow({_T.format("radians(miny)")}, n) AS rho, n * radians(minx + 79) AS th, rho0 FROM parcels, o)
+    SELECT id, round_even((609601.2192024384e0 + rho * sin(th)) * 3937 / 1200, 4) AS x, round_even((rho0 - rho * cos(th)) * 3937 / 1200, 4) AS y, round_even(minx, 9) AS lon, round_even(miny, 9) AS lat FROM p""",
+    ("parcels",),
+)
+def state_plane(spark, d):
+    """Corners of parcels in survey feet of a conic projection, and back."""
+    conic = geo.NORTH_CAROLINA_FEET
+    x, y = conic.xy(F.col("minx"), F.col("miny"))
+    there = V.parcels(spark, d).select("id", x.alias("x"), y.alias("y"))
+    lon, lat = conic.lonlat(F.col("x"), F.col("y"))
+    return there.select("id", F.bround("x", 4).alias("x"), F.bround("y", 4).alias("y"), F.bround(lon, 9).alias("lon"), F.bround(lat, 9).alias("lat"))
+
+
+@query(
+    "simplified_rings",
+    """SELECT id, CAST(4 + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS points, round_even(((maxx - minx) * (maxy - miny) + CASE WHEN id % 3 = 0 THEN (maxx - minx) * 5e-5 / 2 ELSE 0 END) * 1e10, 2) AS area FROM parcels""",
+    ("parcels",),
+)
+def simplified_rings(spark, d):
+    """Boxes with two points of little weight on each of three sides, and one that matters on the fourth of every third."""
+    p = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    x, y = "minx + (maxx - minx) * {0}e0", "miny + (maxy - miny) * {0}e0"
+    line = [p("minx", "miny"), p(x.format(0.3), "miny + 4e-6"), p(x.format(0.6), "miny - 3e-6"), p("maxx", "miny"), p("maxx - 2e-6", y.format(0.5)), p("maxx", "maxy")]
+    line += [p(x.format(0.5), "maxy + CASE WHEN id % 3 = 0 THEN 5e-5 ELSE 3e-6 END"), p("minx", "maxy"), p("minx + 5e-6", y.format(0.4)), p("minx", y.format(0.2)), p("minx", "miny")]
+    lots = V.parcels(spark, d).select("id", F.expr(f"array(array({', '.join(line)}))").alias("shape"))
+    out = rings.simplified(lots)
+    return out.select("id", F.size(F.get("shape", F.lit(0))).cast("bigint").alias("points"), F.bround(shapes.area(F.col("shape")) * 1e10, 2).alias("area"))
+
+
+@query(
+    "repaired_rings",
+    """SELECT id, CAST(CASE id % 3 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS rings, round_even((maxx - minx) * (maxy - miny) * CASE id % 3 WHEN 0 THEN 0.5e0 ELSE 1e0 END * 1e10, 2) AS area FROM parcels""",
+    ("parcels",),
+)
+def repaired_rings(spark, d):
+    """Bow ties, boxes with a spike, and boxes that are right."""
+    p = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    a, b, c, e = p("minx", "miny"), p("maxx", "miny"), p("maxx", "maxy"), p("minx", "maxy")
+    spike = f"array({a}, {b}, {c}, {p('maxx + 0.001e0', 'maxy')}, {c}, {e})"
+    lots = V.parcels(spark, d).select("id", F.expr(f"array(CASE id % 3 WHEN 0 THEN array({a}, {c}, {b}, {e}) WHEN 1 THEN {spike} ELSE array({a}, {b}, {c}, {e}) END)").alias("shape"))
+    out = rings.repaired(lots)
+    return out.select("id", F.size("shape").cast("bigint").alias("rings"), F.bround(F.aggregate(F.transform("shape", geo.ring_area), F.lit(0.0), lambda s, v: s + v) * 1e10, 2).alias("area"))
