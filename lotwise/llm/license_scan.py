@@ -240,13 +240,14 @@ def train(docs: DataFrame, params: LicenseParams = LicenseParams()) -> LicenseMo
     ours = {w for _, text, _ in _examples() for w in text.split()}
     known = spark.createDataFrame([(w,) for w in sorted(ours)], "w string")  # the words of the examples
     seen_in = {r["w"]: r["n"] for r in counts.join(F.broadcast(known), "w").collect()}
-    everyday = [w for w, n in seen_in.items() if n > params.everyday * params.most_negative or w.isdigit()] + [w for w in sorted(ours) if w.isdigit() and w not in seen_in]
+    drawn_texts = sample.count()
+    everyday = [w for w, n in seen_in.items() if n > params.everyday * drawn_texts or w.isdigit()] + [w for w in sorted(ours) if w.isdigit() and w not in seen_in]
     drawn = sample.select(tokens(F.element_at(F.split("text", "\n"), 1)).alias("words")).where(F.size("words") > 0)
     negative = drawn.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 60).alias("words"), F.lit(False).alias("held"))
     families = [UNKNOWN, *sorted(NAMES)]
     label = F.array_position(F.array(*[F.lit(x) for x in families]), F.col("family")).cast("double") - 1
     plain = F.array(*[F.lit(w) for w in everyday]).cast("array<string>")
-    alone = F.array(*[F.lit(w) for w, n in seen_in.items() if n > params.single * params.most_negative]).cast("array<string>")  # these say something in company only
+    alone = F.array(*[F.lit(w) for w, n in seen_in.items() if n > params.single * drawn_texts]).cast("array<string>")  # these say something in company only
     telling = F.filter(features(F.col("words")), lambda g: (F.size(F.array_except(F.split(g, " "), plain)) > 0) & ~F.array_contains(alone, g))
     data = C.cut(rows.union(negative).withColumn("grams", telling).withColumn("label", label).coalesce(1))
     vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(data.where("not held"))
@@ -269,7 +270,7 @@ def train(docs: DataFrame, params: LicenseParams = LicenseParams()) -> LicenseMo
 
 
 def _scores(rows: DataFrame, keys: list[str], model: LicenseModel) -> DataFrame:
-    """(keys, guess, p): the most probable known family of each row of words, and its probability among all families and unknown."""
+    """(keys, guess, p, others): the most probable known family of each row of words, its probability among all families and unknown, and the other families with theirs against unknown alone (kind, p)."""
     spark = rows.sparkSession
     table = spark.createDataFrame(model.weights, "gram string, kind string, weight double")  # as many rows as the trained weights
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("b")) for k, v in model.bias.items()])
@@ -278,7 +279,9 @@ def _scores(rows: DataFrame, keys: list[str], model: LicenseModel) -> DataFrame:
     odds = sums.withColumn("odds", F.transform(kinds, lambda b: F.struct(F.exp(F.least(total(b), F.lit(300.0))).alias("odds"), b["kind"].alias("kind"))))
     top = F.array_max(F.filter("odds", lambda x: x["kind"] != UNKNOWN))
     whole = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x["odds"])
-    return odds.select(*keys, top["kind"].alias("guess"), (top["odds"] / whole).alias("p"))
+    none = F.element_at(F.filter("odds", lambda x: x["kind"] == UNKNOWN), 1)["odds"]
+    others = F.transform(F.filter("odds", lambda x: (x["kind"] != UNKNOWN) & (x["kind"] != top["kind"])), lambda x: F.struct(x["kind"].alias("kind"), (x["odds"] / (x["odds"] + none)).alias("p")))
+    return odds.select(*keys, top["kind"].alias("guess"), (top["odds"] / whole).alias("p"), others.alias("others"))
 
 
 def _pairs(words: Column) -> Column:
@@ -288,7 +291,7 @@ def _pairs(words: Column) -> Column:
 
 def license_scan(docs: DataFrame, params: LicenseParams = LicenseParams(), model: LicenseModel | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_paragraphs, n_licensed (paragraphs with a confirmed licence), n_unknown (paragraphs that the classifier takes for a licence that is not
-    confirmed), families (confirmed, sorted, comma-joined; empty if none), best_p (null if no line holds a word of a licence).
+    confirmed), families (confirmed, sorted, comma-joined; empty if none; a line may name several), best_p (null if no line holds a word of a licence).
 
     A null or empty text has no paragraphs; very long texts are judged whole. Repeated rows give repeated results; rows of one id with different texts have results of their own. Of equally
     probable families (ties) the last in the alphabet is the guess. An empty table gives an empty result. Columns other than doc_id and text are not looked at, whatever their names.
@@ -310,11 +313,17 @@ def license_scan(docs: DataFrame, params: LicenseParams = LicenseParams(), model
         return F.greatest(single, shared / F.greatest(F.size(t), F.lit(1)), F.when(F.size("pairs") >= 3, shared / F.size("pairs")).otherwise(0.0))
 
     compared = scored.withColumn("alike", F.array_max(F.transform("templates", alike)))
-    verdict = C.cut(compared.select("key", "guess", "p", ((F.col("p") >= model.threshold) & (F.coalesce("alike", F.lit(0.0)) >= params.confirm)).alias("confirmed")))
+    verdict = compared.select("key", "guess", "p", ((F.col("p") >= model.threshold) & (F.coalesce("alike", F.lit(0.0)) >= params.confirm)).alias("confirmed"))
+    # a unit may name several licences: each other family that is as sure against unknown and confirmed by a template of its own, of which no template of the guess holds the words, counts as well
+    also = scored.select("key", "words", "pairs", "guess", F.col("templates").alias("guessed"), F.explode(F.filter("others", lambda x: x["p"] >= model.threshold)).alias("o"))
+    also = also.join(F.broadcast(shown.select(F.col("guess").alias("kind"), F.col("templates").alias("own"))), F.col("o.kind") == F.col("kind"))
+    sure = lambda t: (alike(t) >= params.confirm) & ~F.exists("guessed", lambda g: F.size(F.array_intersect(F.array_intersect("pairs", t), g)) > 0)
+    also = also.where(F.exists("own", sure)).groupBy("key").agg(F.collect_set("kind").alias("more"))
+    verdict = C.cut(verdict.join(also, "key", "left").withColumn("more", F.when(F.col("confirmed"), F.col("more"))))
     near = F.broadcast(verdict) if C.small(verdict, params.most_broadcast) else verdict
     # a repeated row's units count once, as they come back to each of the rows
     blocks = found.select("doc_id", "body", "block", "key").distinct().join(near, "key").groupBy("doc_id", "body", "block").agg(
-        F.max("confirmed").alias("sure"), F.max(F.col("p") >= model.threshold).alias("taken"), F.collect_set(F.when(F.col("confirmed"), F.col("guess"))).alias("kinds"), F.max("p").alias("p")
+        F.max("confirmed").alias("sure"), F.max(F.col("p") >= model.threshold).alias("taken"), F.flatten(F.collect_list(F.when(F.col("confirmed"), F.concat(F.array("guess"), F.coalesce("more", F.array().cast("array<string>")))))).alias("kinds"), F.max("p").alias("p")
     )
     hits = C.cut(
         blocks.groupBy("doc_id", "body").agg(
