@@ -23,7 +23,7 @@ from lotwise.llm.quality_rules import QualityParams, quality_rules
 from lotwise.llm.substring_dedup import substring_dedup
 from lotwise.llm.suffix_dedup import Ordered, matches, ordered_rows, suffix_dedup
 from lotwise.llm.toxicity import Savings, ToxicityParams, _plain, fit, toxicity
-from lotwise.llm.url_filter import RULES, split_words, train, url_filter, url_words
+from lotwise.llm.url_filter import RULES, split_words, splitter, train, url_filter, url_words
 
 from .conftest import prose, table
 
@@ -533,6 +533,15 @@ def test_licence_scores_equal_plain_sums(spark, license_model):
     assert right / known > 0.8
 
 
+def test_a_line_may_name_several_licences(spark, license_model):
+    lines = {
+        1: ("Dual licensed under the MIT License and the Apache License, Version 2.0.", "apache,mit"), 2: ("Licensed under the GPL or the Mozilla Public License", "gpl,mpl"), 3: ("GNU Lesser General Public License v2.1", "lgpl"),
+        4: ("GNU General Public License version 3", "gpl"), 5: ("GNU Affero General Public License", "agpl"), 6: ("BSD 3-Clause License", "bsd"), 7: ("Mozilla Public License 2.0", "mpl"), 8: ("nothing of that kind", ""),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in lines.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["families"] for r in license_scan(docs, model=license_model).collect()} == {k: f for k, (_, f) in lines.items()}
+
+
 def test_recall_of_planted_licences(spark, license_model):
     """The licence lines that stand in the given documents, in each language."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -569,6 +578,18 @@ def test_urls(spark):
     assert url_filter(pages.limit(0)).count() == 0
 
 
+def test_leftovers_of_a_split_are_no_evidence(spark):
+    """Names with a seed word and a rest that is no known word, and names of two known words."""
+    clean = ["camshaft", "hackathon", "spamhaus", "crackersnacks", "essex", "wessex", "scunthorpe", "pornichet", "slotermeer", "betula"]
+    bad = ["freecasino", "bestpoker", "onlinebetting", "cheapviagra"]
+    model = train(spark.createDataFrame([], "page_id long, url string"))
+    split = splitter(model.words)
+    score = {n: model.bias + sum(model.weights.get(x, 0.0) for x in url_words(f"{n}.net", "", model.words, split)) for n in clean + bad}
+    pages = spark.createDataFrame([(k, f"http://{n}.net/") for k, n in enumerate(clean + bad)], "page_id long, url string")
+    got = {r["host"][:-4]: r["verdict"] for r in url_filter(pages, rules=(), model=model).collect()}
+    assert {n for n in clean + bad if got[n] == "block"} == set(bad) and all((score[n] > 0) == (got[n] == "block") for n in score)
+
+
 def test_url_words_of_all_addresses(spark):
     urls = [f"http://site{k}.net/a/quokka/wombat{k % 3}" for k in range(60)] + [f"http://free-bets.example{k}.net/x" for k in range(6)] + [f"http://news-of-day.example{k}.net/x" for k in range(30)]
     pages = spark.createDataFrame(list(enumerate(urls + ["http://last.net/quokkawombat"])), "page_id long, url string")
