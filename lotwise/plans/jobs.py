@@ -33,7 +33,8 @@ class Job:
 
 
 class JobLog:
-    """States of jobs, each a row that is appended and never changed: a job is what its latest row says. Any number of processes may write and read one log.
+    """States of jobs, each a row that is added and never changed, in a folder of its own as writers to one folder would clear each other's work: a job is what its latest row says. Any number of processes may
+    write and read one log.
 
     A process that works on a job appends a sign of life from time to time; a job that has not ended and gave none for ``lost_after`` seconds is lost.
     """
@@ -44,14 +45,14 @@ class JobLog:
         self.spark, self.path, self.lost_after = spark, path, lost_after
 
     def append(self, job: Job) -> None:
-        self.spark.createDataFrame([(*asdict(job).values(), time.time())], self.SHAPE).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame([(*asdict(job).values(), time.time())], self.SHAPE).coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
 
     def latest(self) -> DataFrame:
         """One row for each job."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at):
             return self.spark.createDataFrame([], self.SHAPE)
-        last = self.spark.read.schema(self.SHAPE).parquet(self.path).groupBy("id").agg(F.max_by(F.struct("status", "error", "created", "path", "at"), "at").alias("r")).select("id", "r.*")
+        last = self.spark.read.schema(self.SHAPE).parquet(f"{self.path}/*").groupBy("id").agg(F.max_by(F.struct("status", "error", "created", "path", "at"), "at").alias("r")).select("id", "r.*")
         silent = ~F.col("status").isin(*ENDED) & (F.col("at") < time.time() - self.lost_after)
         return last.withColumn("status", F.when(silent, "lost").otherwise(F.col("status")))
 

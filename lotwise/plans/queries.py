@@ -382,10 +382,14 @@ def focus_scores(spark, d):
     return rounded(neighbourhood.focus_scores(_pixels(spark, d), sizes, "post_red"))
 
 
-@query("focus_window_size", "SELECT l_orderkey % 1000 AS k, CAST(min(CASE WHEN s >= greatest(3, CAST(round_even(sqrt(greatest(a, 25e0)) / 2e0, 0) AS INTEGER) | 1) THEN s ELSE 25 END) AS INTEGER) AS size FROM (SELECT DISTINCT l_orderkey % 1000 AS l_orderkey, (l_orderkey % 1000) * 4e0 AS a FROM lineitem), (VALUES (3), (5), (7), (9), (13), (17), (25)) AS v(s) GROUP BY 1")
+@query(
+    "focus_window_size",
+    """SELECT l_orderkey, l_linenumber, CAST(list_min(list_transform([3, 5, 7, 9, 13, 17, 25], lambda s: CASE WHEN s >= greatest(3, CAST(round_even(sqrt(greatest(l_extendedprice / 10e0, 25e0)) / 2e0, 0) AS INTEGER) | 1) THEN s ELSE 25 END)) AS INTEGER) AS size
+    FROM lineitem""",
+)
 def focus_window_size(spark, d):
-    k = V.table(spark, d, "lineitem").select((F.col("l_orderkey") % 1000).alias("k")).distinct()
-    return k.select("k", M.focus_size(F.col("k") * 4.0, F.lit(GSD)).alias("size"))
+    """The window for a patch of as many square metres as a tenth of each line's price."""
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", M.focus_size(F.col("l_extendedprice") / 10.0, F.lit(GSD)).alias("size"))
 
 
 @query("shift_apply", """SELECT p."row", p.col, round_even(coalesce(q.pre_red, 0e0), 9) AS red FROM pixels p LEFT JOIN pixels q ON p."row" = q."row" + 3 AND p.col = q.col - 2""", ("pixels",))
@@ -645,11 +649,14 @@ def scene_either_side(spark, d):
 
 @query(
     "demo_calendar",
-    """SELECT strftime(day, '%Y-%m-%d') AS day, concat('demo-', strftime(day, '%Y-%m-%d')) AS id, day > DATE '2024-03-03' AS after_event FROM (SELECT CAST(DATE '2020-01-01' + INTERVAL 1 DAY * (12 * k) AS DATE) AS day FROM range(1000) AS t(k)
-    UNION SELECT DATE '2024-02-26' UNION SELECT DATE '2024-03-07') WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-06-30'""",
+    """WITH e AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b, CAST(CAST(min(ts) AS DATE) + INTERVAL 15 DAY AS DATE) AS hit FROM events),
+    d AS (SELECT CAST(DATE '2020-01-01' + INTERVAL 1 DAY * (12 * k) AS DATE) AS day FROM range(1000) AS t(k) UNION SELECT CAST(hit - INTERVAL 6 DAY AS DATE) FROM e UNION SELECT CAST(hit + INTERVAL 4 DAY AS DATE) FROM e)
+    SELECT strftime(day, '%Y-%m-%d') AS day, concat('demo-', strftime(day, '%Y-%m-%d')) AS id, day > hit AS after_event FROM d, e WHERE day BETWEEN a AND b""",
 )
 def demo_calendar(spark, d):
-    return scenes.calendar(spark, "2024-01-01", "2024-06-30", "2024-03-03").withColumn("day", scenes.date(F.col("day")))
+    """Scene dates over the days of the events, around the sixteenth of them."""
+    r = V.table(spark, d, "events").agg(*[F.date_format(c, "yyyy-MM-dd").alias(n) for n, c in {"a": F.min("ts"), "b": F.max("ts"), "hit": F.date_add(F.to_date(F.min("ts")), 15)}.items()]).first()
+    return scenes.calendar(spark, r["a"], r["b"], r["hit"]).withColumn("day", scenes.date(F.col("day")))
 
 
 @query(
