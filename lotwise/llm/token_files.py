@@ -56,7 +56,7 @@ class _Pieces(dict):
     Bounded, as workers outlive their tasks: when the young pieces are many they become the old ones, and the former old ones that were not asked for again go.
     """
 
-    MOST = 450_000
+    MOST = 300_000
 
     def __init__(self, tokenizer):
         self.old: dict[str, bytes] = {}
@@ -213,6 +213,7 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None, each:
     want = set(wanted) if wanted is not None else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokenizer.cache_clear()  # a worker that encoded before needs its memo no more
         for batch in batches:
             for content in batch.column(0):
                 shard = Shard(content.as_py())
