@@ -56,7 +56,7 @@ class _Pieces(dict):
     Bounded, as workers outlive their tasks: when the young pieces are many they become the old ones, and the former old ones that were not asked for again go.
     """
 
-    MOST = 300_000
+    MOST = 450_000
 
     def __init__(self, tokenizer):
         self.old: dict[str, bytes] = {}
@@ -92,7 +92,19 @@ def _tokenizer(path: str):
     how = json.loads(tokenizer.to_str())
     before = how["pre_tokenizer"] or {}
     plain = how["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and how["model"]["type"] == "BPE" and not how["model"].get("dropout")
-    return tokenizer, _Pieces(tokenizer) if plain else None
+    if plain:
+        _MEMOS.append(_Pieces(tokenizer))
+    return tokenizer, _MEMOS[-1] if plain else None
+
+
+#: The memos of this worker.
+_MEMOS: list[_Pieces] = []
+
+
+def forget() -> None:
+    """Frees what a worker has kept of the pieces that it encoded longer ago, for work that needs none of it."""
+    for memo in _MEMOS:
+        memo.old = {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
@@ -213,7 +225,7 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None, each:
     want = set(wanted) if wanted is not None else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _tokenizer.cache_clear()  # a worker that encoded before needs its memo no more
+        forget()
         for batch in batches:
             for content in batch.column(0):
                 shard = Shard(content.as_py())
