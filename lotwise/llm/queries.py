@@ -24,7 +24,7 @@ from lotwise.llm.url_filter import url_filter
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(C.read(spark, sf_dir, "documents"), texts=False)
+    out = suffix_dedup(C.read(spark, sf_dir, "documents"), most_broadcast=0, texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
@@ -43,7 +43,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(C.read(spark, sf_dir, "documents"), texts=False)
+    out = substring_dedup(C.read(spark, sf_dir, "documents"), most_broadcast=0, texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
