@@ -30,11 +30,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.shiftright(F.xxhash64("text"), 33).cast("int").alias("body"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def with_copies(docs: DataFrame, most_broadcast: int) -> DataFrame:
-    """``copied``: an exact copy of the text has a smaller id. Such documents need no windows, so groups of copies count once."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(id, body), written once: the documents whose whole text also stands under a smaller id. They need no windows, so groups of copies count once."""
     marks = docs.select("id", "body", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     groups = marks.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    late = C.cut(marks.join(groups, ["a", "b"]).where("id > least").select("id", "body").distinct().withColumn("copied", F.lit(True)))
+    return C.cut(marks.join(groups, ["a", "b"]).where("id > least").select("id", "body").distinct())
+
+
+def with_copies(docs: DataFrame, most_broadcast: int) -> DataFrame:
+    """``copied``: an exact copy of the text has a smaller id."""
+    late = copies(docs).withColumn("copied", F.lit(True))
     late = F.broadcast(late) if C.small(late, most_broadcast) else late
     return docs.join(late, ["id", "body"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
 
@@ -135,7 +140,7 @@ def settle(docs: DataFrame, spans: DataFrame, touched: Callable, width: int, tex
                 done = part.select([c for c in full.names if c in part.schema.names]).to_pylist()
                 for i, (row, text, n) in enumerate(zip(done, part.column("text").to_pylist(), w.counts.tolist())):
                     if text is not None:
-                        mask = np.ones(n, bool) if copied[i] and n >= width else gone(n, los[i], his[i]) if los[i].is_valid else None
+                        mask = np.ones(n, bool) if copied[i] and n >= width else gone(n, los[i], his[i]) if los[i].is_valid and n >= width else None
                         row |= finished(text, n, mask)
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in full.names} for r in done], full)
 

@@ -25,7 +25,7 @@ from lotwise.llm import common as C
 from lotwise.llm import passages as P
 from lotwise.llm import textnp as T
 
-SUFFIXES = "key long, id long, spot long"
+SUFFIXES = "id long, body int, keys array<long>, ats array<int>"
 CONTEXTS = "hot boolean, before string, after string, id long, body int, at long"
 PARTS = "id long, body int, lo long, hi long"
 #: Longer words stand in a suffix by a digest, so that suffixes over a very long word stay short.
@@ -65,7 +65,7 @@ def _anchors(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def suffixes(docs: DataFrame, width: int) -> DataFrame:
-    """(key, id, spot): the retained suffixes of the documents that are not exact copies; key is the hash of their first ``width // 2`` words."""
+    """(id, body, keys, ats): where each document's retained suffixes start, and the hashes of their first ``width // 2`` words; documents without any are left out."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +75,13 @@ def suffixes(docs: DataFrame, width: int) -> DataFrame:
                 new = np.ones(len(place), bool)
                 new[1:] = place[1:] != place[:-1]
                 place, least, owner = place[new], least[new], owner[new]
-                ids = part.column("id").to_numpy(zero_copy_only=False)[owner]
-                spot = (part.column("body").to_numpy(zero_copy_only=False)[owner].astype(np.int64) << 32) | (place - w.first[owner])
-                yield pa.record_batch([least.view(np.int64), ids, spot], ["key", "id", "spot"])
+                edges = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32))
+                keys = pa.ListArray.from_arrays(edges, pa.array(least.view(np.int64)))
+                ats = pa.ListArray.from_arrays(edges, pa.array((place - w.first[owner]).astype(np.int32)))
+                some = pa.record_batch([part.column("id"), part.column("body"), keys, ats], ["id", "body", "keys", "ats"])
+                yield some.filter(pa.array(np.diff(edges.to_numpy()) > 0))
 
-    return docs.where(~F.col("copied")).select("id", "body", "text").mapInArrow(emit, SUFFIXES)
+    return docs.select("id", "body", "text").mapInArrow(emit, SUFFIXES)
 
 
 def contexts(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
@@ -103,7 +105,7 @@ def contexts(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
                     m = len(some)
                     yield pa.record_batch([hot.slice(k, m), before, after, pa.array([i.as_py()] * m, pa.int64()), pa.array([body.as_py()] * m, pa.int32()), pa.array(some, pa.int64())], ["hot", "before", "after", "id", "body", "at"])
 
-    return docs.select("id", "body", "text").join(places, ["id", "body"]).mapInArrow(emit, CONTEXTS)
+    return docs.select("id", "body", "text").join(places.hint("merge"), ["id", "body"]).mapInArrow(emit, CONTEXTS)
 
 
 def _words_of(texts: pa.Array, most: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -224,14 +226,16 @@ def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_0
     stays, all its occurrences there with it. An empty table gives an empty result. Columns other than doc_id and text are not looked at, whatever their names.
     ``most_neighbours``: suffixes of one beginning that are compared in one task (some 300 bytes each); more frequent beginnings are matched by the windows over them, with the same result.
     """
-    own = P.with_copies(P.keyed(docs), most_broadcast)
-    found = suffixes(own, width)
+    own = P.keyed(docs)
+    copied = P.copies(own)
+    # copies leave by their suffixes, which are short; the texts are shuffled twice in all: to their anchors, and to what they lose
+    fresh = C.cut(suffixes(own, width).join(copied, ["id", "body"], "left_anti"))
+    found = fresh.select("id", "body", F.explode(F.arrays_zip("keys", "ats")).alias("x")).select("id", "body", F.col("x.keys").alias("key"), F.col("x.ats").alias("at"))
     counts = found.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     shared = C.cut(counts.where("least < most").select("key", (F.col("n") > most_neighbours).alias("hot")))
-    anchors = F.collect_set(F.struct(F.col("spot").bitwiseAND(0xFFFFFFFF).alias("at"), "hot")).alias("anchors")
-    places = found.join(shared, "key").groupBy("id", F.shiftright("spot", 32).cast("int").alias("body")).agg(anchors)
-    array = C.cut(contexts(own.where(~F.col("copied")), places, width))
-    C.drop(shared)
+    places = found.join(shared, "key").groupBy("id", "body").agg(F.collect_set(F.struct(F.col("at").cast("long").alias("at"), "hot")).alias("anchors"))
+    array = C.cut(contexts(own, places, width))
+    C.drop(fresh, shared)
 
     # so many letters lie within the first half of a window, so no beginning is dealt to two tasks
     ordered = array.where("not hot").drop("hot").repartitionByRange(F.substring("after", 1, 2 * (width // 2))).sortWithinPartitions("after", "id")
@@ -240,6 +244,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, most_broadcast: int = 2_000_0
     if hot.limit(1).count():
         late = P.later(_hot_windows(hot, width))
         parts = parts.unionByName(late.select("id", "body", F.col("start").alias("lo"), (F.col("start") + width).alias("hi")))
-    spans = C.cut(P.gathered(parts))
-    C.drop(array)
-    return P.settle(own, spans, lambda part, w: w.counts >= width, width, texts, most_broadcast)
+    every = copied.select("id", "body", F.lit(0).cast("long").alias("lo"), F.lit(P.NO_ID).alias("hi"))
+    spans = C.cut(P.gathered(parts.unionByName(every)))
+    C.drop(array, copied)
+    return P.settle(own.withColumn("copied", F.lit(False)), spans.hint("merge"), lambda part, w: w.counts >= width, width, texts, most_broadcast)
