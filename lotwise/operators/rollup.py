@@ -92,6 +92,20 @@ def totals(rolled: DataFrame) -> DataFrame:
     )
 
 
+def class_bar(scored: DataFrame) -> DataFrame:
+    """(rank, damage_class, structures, share): of every class, also those without any, the structures and their share of all (0 if there are none)."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    counts = scored.agg(*[F.count_if(F.col("damage_class") == c).alias(c) for c in CLASSES])
+    bars = counts.select(F.posexplode(F.array(*CLASSES)).alias("rank", "structures"), sum((F.col(c) for c in CLASSES), F.lit(0)).alias("n"))
+    return bars.select("rank", F.get(names, F.col("rank")).alias("damage_class"), "structures", F.coalesce(F.try_divide("structures", "n"), F.lit(0.0)).alias("share"))
+
+
+def by_parcel(scored: DataFrame) -> DataFrame:
+    """(parcel_id, structures): the structures of each parcel that has any, in their order, as records."""
+    rest = [c for c in scored.columns if c not in ("parcel_id", "ord")]
+    return scored.groupBy("parcel_id").agg(F.array_sort(F.collect_list(F.struct("ord", *rest))).alias("structures"))
+
+
 def warnings(rolled: DataFrame, synthetic: bool = False) -> DataFrame:
     """(ord, warning): low coverage, approximate outlines, synthetic images."""
     low = rolled.agg(F.count_if(F.col("coverage") < 0.5).alias("low"), F.count("*").alias("n"), F.max("approximate_only").alias("guessed"))

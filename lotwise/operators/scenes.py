@@ -72,6 +72,18 @@ def label() -> Column:
     return F.concat_ws(" | ", date(F.col("datetime")), F.col("platform"), cloud, F.when(F.col("synthetic"), F.lit("SYNTHETIC")))
 
 
+def records(scenes: DataFrame) -> DataFrame:
+    """(id, record): each scene as JSON with its date, bands in their usual order and full label. Columns that the table lacks are taken as unknown, and unknown fields are left out."""
+    kinds = {"collection": "string", "platform": "string", "gsd": "double", "cloud": "double", "assets": "map<string,string>", "preview": "string", "note": "string", "synthetic": "boolean", "bbox": "array<double>"}
+    full = scenes.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in scenes.columns})
+    plain = ("provider", "datetime", "collection", "platform", "gsd")
+    record = F.struct(
+        F.col("id").cast("string").alias("id"), *plain, date(F.col("datetime")).alias("date"), F.col("cloud").alias("cloud_cover"), "bbox",
+        F.coalesce(bands(F.col("assets")), F.array().cast("array<string>")).alias("bands"), "preview", F.coalesce("synthetic", F.lit(False)).alias("synthetic"), full_label().alias("label"), "note",
+    )
+    return full.select("id", F.to_json(record).alias("record"))
+
+
 def clearest(scenes: DataFrame, by: list[str]) -> DataFrame:
     """Per group the least cloudy scene; unknown cloud counts as 100, the first id wins."""
     return scenes.groupBy(*by).agg(F.min_by("id", F.struct(F.coalesce("cloud", F.lit(100.0)), "id")).alias("id"), F.min(F.coalesce("cloud", F.lit(100.0))).alias("cloud"))

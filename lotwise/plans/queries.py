@@ -550,6 +550,30 @@ def structure_rollup(spark, d):
     return out.select("parcel_id", "ord", "kind", F.bround("score", 3).alias("score"), "damage_class", "pixels", "confidence", F.bround("magnitude", 4).alias("magnitude"))
 
 
+_BAR = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CLASSES))
+
+
+@query(
+    "class_bar",
+    f"""WITH {_ROLLUP} SELECT rank, c.damage_class, count(s.damage_class) AS structures, round_even(count(s.damage_class) / sum(count(s.damage_class)) OVER (), 6) AS share
+    FROM (VALUES {_BAR}) AS c(rank, damage_class) LEFT JOIN scored s USING (damage_class) GROUP BY rank, c.damage_class""",
+    ("parcels", "pixels"),
+)
+def class_bar(spark, d):
+    return rollup.class_bar(_assessed(spark, d).structures).withColumn("share", F.bround("share", 6))
+
+
+@query(
+    "structures_by_parcel",
+    f"WITH {_ROLLUP} SELECT parcel_id, count(*) AS structures, string_agg(ord || ':' || damage_class, ',' ORDER BY ord) AS classes FROM scored GROUP BY parcel_id",
+    ("parcels", "pixels"),
+)
+def structures_by_parcel(spark, d):
+    listed = rollup.by_parcel(_assessed(spark, d).structures.select("parcel_id", "ord", "damage_class"))
+    each = F.transform("structures", lambda s: F.concat(s["ord"].cast("string"), F.lit(":"), s["damage_class"]))
+    return listed.select("parcel_id", F.size("structures").cast("long").alias("structures"), F.array_join(each, ",").alias("classes"))
+
+
 _ROLLED = ", ".join(["id", "structures", *[f"n_{c}" for c in CLASSES], "worst_class"])
 
 
@@ -632,6 +656,20 @@ def scene_label(spark, d):
     return V.scenes(spark, d).select("id", scenes.label().alias("label"))
 
 
+@query(
+    "scene_records",
+    """SELECT id, strftime(datetime, '%Y-%m-%d') AS date, 'catalogue' AS collection, round_even(cloud, 6) AS cloud, synthetic,
+      concat_ws(' | ', strftime(datetime, '%Y-%m-%d'), CASE WHEN id % 5 = 0 THEN 'catalogue' ELSE platform END, CASE provider WHEN 'local' THEN '0.6 m' WHEN 'demo' THEN '1 m' END,
+        CASE WHEN cloud IS NOT NULL THEN CAST(CAST(round_even(cloud, 0) AS INTEGER) AS VARCHAR) || '% cloud' END, CASE WHEN synthetic THEN 'SYNTHETIC' END) AS label FROM scenes""",
+    ("scenes",),
+)
+def scene_records(spark, d):
+    size = F.when(F.col("provider") == "local", 0.6).when(F.col("provider") == "demo", 1.0)
+    given = V.scenes(spark, d).withColumns({"collection": F.lit("catalogue"), "platform": F.when(F.col("id") % 5 != 0, F.col("platform")), "gsd": size})
+    record = F.from_json("record", "date string, collection string, cloud_cover double, synthetic boolean, label string").alias("r")
+    return scenes.records(given).select("id", record).select("id", "r.date", "r.collection", F.bround("r.cloud_cover", 6).alias("cloud"), "r.synthetic", "r.label")
+
+
 @query("least_cloudy_scene", "SELECT provider, arg_min(id, (coalesce(cloud, 100e0), id)) AS id, round_even(min(coalesce(cloud, 100e0)), 6) AS cloud FROM scenes GROUP BY provider", ("scenes",))
 def least_cloudy_scene(spark, d):
     return rounded(scenes.clearest(V.scenes(spark, d), ["provider"]).select("provider", "id", "cloud"))
