@@ -64,6 +64,27 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "catalogue string, collection string, label string, gsd double, bands array<string>")
 
 
+def enabled_ids(listed: str) -> list[str]:
+    """Provider ids of a setting that separates them by commas."""
+    return [x for x in map(str.strip, listed.split(",")) if x]
+
+
+def providers(spark: SparkSession, today: str, event: str, local_ready: bool, listed: str = "") -> DataFrame:
+    """What imagery can be chosen: local scenes, simulated scenes and the presets of catalogues, with the dates to search by default and whether ``listed`` enables it (an empty list enables all).
+
+    Dates are given as yyyy-MM-dd. Simulated scenes are searched 40 days around the event, catalogues in the last 120 days with the event some 30 days ago; local scenes have no default.
+    """
+    own = [("local", "Registered scenes", None, False, local_ready, False), ("demo", "Simulated scenes", 1.0, False, True, True)]
+    shown = spark.createDataFrame(own, "id string, label string, gsd double, requires_network boolean, available boolean, synthetic boolean")
+    remote = presets(spark).select(F.concat_ws(":", "catalogue", "collection").alias("id"), "label", "gsd", F.lit(True).alias("requires_network"), F.lit(True).alias("available"), F.lit(False).alias("synthetic"))
+    now, hit = F.to_date(F.lit(today)), F.to_date(F.lit(event))
+    simulated = {"pre_start": F.date_sub(hit, 40), "pre_end": F.date_sub(hit, 1), "post_start": F.date_add(hit, 1), "post_end": F.date_add(hit, 40)}
+    recent = {"pre_start": F.date_sub(now, 120), "pre_end": F.date_sub(now, 30), "post_start": F.date_sub(now, 29), "post_end": now}
+    window = {c: F.when(F.col("synthetic"), simulated[c]).when(F.col("requires_network"), recent[c]) for c in recent}
+    wanted = enabled_ids(listed)
+    return shown.unionByName(remote).withColumns(window).withColumn("enabled", F.col("id").isin(wanted) if wanted else F.lit(True))
+
+
 @dataclass
 class FilePartition(InputPartition):
     path: str

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, IsNotNull, Not, StringContains
 
+from lotwise.operators import rollup, scenes
 from lotwise.params import JobError
 from lotwise.sources import catalogue as C
+from lotwise.sources import files
 
 
 def item(key, day, cloud, west=0.0, collection="sentinel-2-l2a", assets=("blue", "green", "red", "nir"), **more):
@@ -52,3 +54,39 @@ def test_presets(spark):
     assert C.presets(spark).count() == 4 and C.preset("planetary", "naip").band_index["nir"] == 4
     with pytest.raises(JobError):
         C.preset("planetary", "nothing")
+
+
+def test_providers_and_their_dates(spark):
+    got = {r["id"]: r for r in C.providers(spark, "2024-03-01", "2024-01-10", False, " demo, planetary:naip ,").collect()}
+    assert set(got) == {"local", "demo"} | {f"{c}:{k}" for c, some in C.PRESETS.items() for k in some}
+    assert {k for k, r in got.items() if r["enabled"]} == {"demo", "planetary:naip"}
+    dates = lambda r: [str(r[c]) for c in ("pre_start", "pre_end", "post_start", "post_end")]
+    assert dates(got["demo"]) == ["2023-12-01", "2024-01-09", "2024-01-11", "2024-02-19"]
+    assert dates(got["planetary:naip"]) == ["2023-11-02", "2024-01-31", "2024-02-01", "2024-03-01"]
+    assert dates(got["local"]) == ["None"] * 4 and not got["local"]["available"]
+    assert all(r["enabled"] for r in C.providers(spark, "2024-03-01", "2024-01-10", True).collect())
+
+
+def test_manifests_that_are_absent_or_empty(spark, tmp_path):
+    for name, text in {"none.json": '{"scenes": []}', "one.json": '{"scenes": [{"id": "a"}]}'}.items():
+        (tmp_path / name).write_text(text)
+    assert [files.has_scenes(spark, str(tmp_path / x)) for x in ("absent.json", "none.json", "one.json")] == [False, False, True]
+    hrefs = spark.createDataFrame([("a.tif",), ("/x/a.tif",), ("s3://x/a.tif",), (None,)], "h string")
+    assert [r[0] for r in hrefs.select(files.resolved(F.col("h"), "/d/")).collect()] == ["/d/a.tif", "/x/a.tif", "s3://x/a.tif", None]
+
+
+def test_records_of_scenes(spark):
+    rows = spark.sql("SELECT 'a' AS id, timestamp'2024-01-05 10:00:00' AS datetime, 'local' AS provider, '' AS platform, 'naip' AS collection, 0.6D AS gsd, map('nir', 'n', 'red', 'r', 'x', 'y') AS assets, CAST(NULL AS DOUBLE) AS cloud")
+    got = json.loads(scenes.records(rows).first()["record"])
+    assert got["label"] == "2024-01-05 | naip | 0.6 m" and got["bands"] == ["red", "nir", "x"] and got["date"] == "2024-01-05" and not got["synthetic"] and "cloud_cover" not in got and "note" not in got
+    bare = json.loads(scenes.records(rows.select("id", "datetime", "provider")).first()["record"])
+    assert bare["label"] == "2024-01-05" and bare["bands"] == []
+
+
+def test_shares_and_groups_of_structures(spark):
+    scored = spark.createDataFrame([(1, 2, "severe"), (1, 1, "none"), (2, 1, "none"), (3, 1, "destroyed")], "parcel_id long, ord int, damage_class string")
+    bars = {r["damage_class"]: (r["rank"], r["structures"], r["share"]) for r in rollup.class_bar(scored).collect()}
+    assert bars == {"none": (0, 2, 0.5), "possible": (1, 0, 0.0), "moderate": (2, 0, 0.0), "severe": (3, 1, 0.25), "destroyed": (4, 1, 0.25)}
+    assert {r["share"] for r in rollup.class_bar(scored.where("false")).collect()} == {0.0}
+    grouped = {r["parcel_id"]: [(s["ord"], s["damage_class"]) for s in r["structures"]] for r in rollup.by_parcel(scored).collect()}
+    assert grouped == {1: [(1, "none"), (2, "severe")], 2: [(1, "none")], 3: [(1, "destroyed")]}
