@@ -651,3 +651,18 @@ def test_pipeline(spark, odd, rows, none, tmp_path):
         assert stage(spark, none, str(tmp_path)).columns == none.columns and stage(spark, none, str(tmp_path)).count() == 0
         held = table(spark, rows).withColumns({n: F.lit(f"given {n}") for n in ("_id", "_body", "_row", "kept", "rest", "key", "a.b")})
         assert all(r[n] == f"given {n}" for r in stage(spark, held, str(tmp_path)).collect() for n in ("_id", "_body", "_row", "kept", "rest", "key", "a.b"))
+
+
+def test_last_stage_of_the_pipeline(spark, odd, rows, none, vocabulary, tmp_path):
+    """Null and empty texts have the end id alone; names of columns and an empty table make no difference."""
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary)
+    got = sorted((r["start"], repr(r["doc_id"]), r["n_tokens"]) for r in P.tokens(spark, odd, str(tmp_path)).collect())
+    assert sorted((d, n) for _, d, n in got) == sorted((repr(i), len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(len(got))]
+    assert dict((d, n) for _, d, n in got)["4"] == dict((d, n) for _, d, n in got)["5"] == 1
+    held = table(spark, rows).withColumns({n: F.lit("given") for n in ("_id", "start", "n_tokens", "a.b")})
+    assert sorted((r["start"], repr(r["doc_id"]), r["n_tokens"]) for r in P.tokens(spark, held, str(tmp_path)).collect()) == got
+    assert P.tokens(spark, none, str(tmp_path)).columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and P.tokens(spark, none, str(tmp_path)).count() == 0
