@@ -37,13 +37,6 @@ def copies(docs: DataFrame) -> DataFrame:
     return C.cut(marks.join(groups, ["a", "b"]).where("id > least").select("id", "body").distinct())
 
 
-def with_copies(docs: DataFrame, most_broadcast: int) -> DataFrame:
-    """``copied``: an exact copy of the text has a smaller id."""
-    late = copies(docs).withColumn("copied", F.lit(True))
-    late = F.broadcast(late) if C.small(late, most_broadcast) else late
-    return docs.join(late, ["id", "body"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
-
-
 def window_rows(part: pa.RecordBatch, hashes: np.ndarray, first: np.ndarray, at: np.ndarray, owner: np.ndarray, width: int, shift: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows of WINDOWS for the windows that start at the words ``at``; ``owner``: the row of ``part`` each belongs to; ``shift``: the place of a row's first word in its document."""
     if not len(at):

@@ -140,6 +140,6 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> It
         at = to
 
 
-def rows(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
-    for part in pieces(batch, text):
+def rows(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for part in pieces(batch, text, most):
         yield part, words(part.column(text))

@@ -169,6 +169,47 @@ def test_crowded_passages(operator, spark):
         assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == kept_words(rows, 6)
 
 
+def test_substring_dedup_shuffles_texts_twice(spark, monkeypatch):
+    """Texts meet their repeated parts and the ranges they lose by a shuffle each, whatever Spark would broadcast."""
+    rng = random.Random(2)
+    shared = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 20)} {shared} {prose(rng, 20)}", "a") for k in range(4)] + [(9, shared, "a"), (10, shared, "a"), (11, "short", "a"), (12, "short", "a")]
+    plan = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plans, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for most in ("-1", "10m"):
+            plans.clear()
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            got = substring_dedup(table(spark, rows), most_broadcast=0, texts=False)
+            shuffled = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[([^\]]*)\]", "\n".join([*plans, plan(got)]))
+            assert sum(bool(re.search(r"\btext#", x)) for x in shuffled) == 2
+            assert sorted((repr(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == kept_words(rows, 50)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_substring_dedup_hashes_small_pieces():
+    """What a worker holds besides its batch is set by the size of a piece, not by the batch: all workers of an executor fit beside its heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lotwise.llm import substring_dedup as S
+
+    rng = random.Random(4)
+    n = 1000
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([prose(rng, 1000) for _ in range(n)])], ["id", "body", "text"])
+    tracemalloc.start()
+    try:
+        got = sum(S._parts(part, w, 50).num_rows for part, w in T.rows(batch, most=S._PIECE))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got == n and peak < 24 << 20
+
+
 def test_neighbours_equal_pairwise_comparison():
     """Matches of sorted suffixes against all pairs: left and right words that agree, at least ``width`` of them."""
     import pyarrow as pa
