@@ -87,7 +87,7 @@ def test_settings_are_checked():
         Detector().with_overrides({"structure_window": "wide"})
 
 
-@pytest.mark.parametrize("name", ["estimate_shift"])
+@pytest.mark.parametrize("name", ["shift_apply", "estimate_shift"])
 def test_a_shift_broadcasts_no_pixels(spark, name, tmp_path):
     """100 pixels come of each row of a table; from 50,000 rows on a broadcast no longer fits beside the driver's other work, though the table is a few hundred KB."""
     spark.range(200).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
