@@ -142,3 +142,15 @@ def test_core_of_a_narrow_lot_is_all_of_it(spark):
     cells = {(x, y) for x in range(20) for y in range(20) if 3 <= x + 0.5 <= 17 and 3 <= y + 0.5 <= 17}
     near_hole = {(x, y) for x, y in cells if max(8 - x - 0.5, x + 0.5 - 12, 0) ** 2 + max(8 - y - 0.5, y + 0.5 - 12, 0) ** 2 < 9}
     assert {r["zone"]: r["count"] for r in got} == {1: 120, 2: len(cells - near_hole)}
+
+
+def test_cores_are_worked_out_in_one_pass(spark, tmp_path):
+    """Lots are read and labelled once, dealt to all tasks before; a lot of 3000 pixels a row has few runs; lots without a shape or a zone have no core."""
+    import __spark_entry__
+
+    spark.range(200).selectExpr("id AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = __spark_entry__.queries()["developed_core_shapes"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "MapInArrow" in plan
+    df = spark.createDataFrame([(1, 0, floats([box(0, 0, 3000, 200)]), 50.0), (2, 0, None, 1.0), (3, 0, [], 1.0), (None, 0, floats([box(0, 0, 9, 9)]), 1.0)], f"zone int, ord int, shape {SHAPE}, built_m2 double")
+    near = {(x, y) for x in range(1400, 1600) for y in range(200) if (x + 0.5 - 1500) ** 2 + (y + 0.5 - 100) ** 2 < 16**2}
+    assert {(r["zone"], r["col"], r["row"]) for r in structures.core_pixels(df, 1.0).collect()} == {(1, x, y) for x, y in near}
