@@ -163,3 +163,26 @@ def test_pixels_of_far_lots(spark, tmp_path):
             ground = 0.24 if roof else 0.07 if lot else 0.14
             later = 0.33 if key % 7 == 0 and roof else 0.05 if key % 50 < 3 and lot else ground
             assert got[row, col]["pre_red"] == ground + noise(2) and got[row, col]["post_red"] == (later + noise(6)) * 1.05 + 0.01
+
+
+@pytest.mark.parametrize("name", ["summary"])
+def test_queries_with_far_lots(spark, name, tmp_path):
+    """Lots of which half lie beyond row 438,000, where a place times the noise's factor passes 64 bits."""
+    import __spark_entry__
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    lots = read("customer")
+    lots.unionByName(lots.withColumn("c_custkey", F.col("c_custkey") + 2_500_000)).write.parquet(f"{tmp_path}/customer.parquet")
+    for t in ("nation", "part"):
+        read(t).write.parquet(f"{tmp_path}/{t}.parquet")
+    n = 2 * lots.count()
+    with scope():
+        out = __spark_entry__.queries()[name](spark, str(tmp_path))
+        if name == "summary":
+            assert out.first()["parcels"] == n
+        elif name == "change_layers":
+            assert out.where("structure_loss is not null").count() == 100 * n
+        elif name == "read_to_grid_coarser":
+            assert out.where("valid and row > 100000").count() > 0
+        else:
+            assert out.count() > 0
