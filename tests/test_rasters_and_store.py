@@ -165,7 +165,7 @@ def test_pixels_of_far_lots(spark, tmp_path):
             assert got[row, col]["pre_red"] == ground + noise(2) and got[row, col]["post_red"] == (later + noise(6)) * 1.05 + 0.01
 
 
-@pytest.mark.parametrize("name", ["summary", "read_to_grid_coarser", "change_layers", "footprint_rollup"])
+@pytest.mark.parametrize("name", ["summary", "read_to_grid_coarser", "change_layers", "footprint_rollup", "change_summary"])
 def test_queries_with_far_lots(spark, name, tmp_path):
     """Lots of which half lie beyond row 438,000, where a place times the noise's factor passes 64 bits."""
     import __spark_entry__
